@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.leaks import find_leaks, remove_leaks
 from tessella.llm.pairs import associations, basket_items
 from tessella.llm.terms import distinctiveness, term_frequencies, top_terms
 
@@ -40,6 +41,19 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return term_frequencies(_t(spark, d, "text_terms"), _t(spark, d, "lexicon"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_spans(spark, d).select("doc_id", "item_id")
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(_t(spark, d, "documents"), _t(spark, d, "test_items"))
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    done = remove_leaks(_t(spark, d, "documents"), _t(spark, d, "test_items"))
+    return done.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_words", "doc_words", "dropped")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_divergence": p2_divergence,
@@ -47,6 +61,9 @@ QUERIES = {
     "p3_lift": p3_lift,
     "p4_found": p4_found,
     "p4_frequencies": p4_frequencies,
+    "p6_found": p6_found,
+    "p6_spans": p6_spans,
+    "p6_cleaned": p6_cleaned,
 }
 
 ENTRIES = """
