@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.leaks import find_leaks, remove_leaks
+from tessella.llm.mixing import mix, shares
 from tessella.llm.pairs import associations, basket_items
 from tessella.llm.terms import distinctiveness, term_frequencies, top_terms
 
@@ -54,6 +55,14 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", F.length("text").cast("long").alias("n_chars"), "removed_words", "doc_words", "dropped")
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p7_mix(spark, d), _t(spark, d, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_divergence": p2_divergence,
@@ -64,6 +73,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_spans": p6_spans,
     "p6_cleaned": p6_cleaned,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 
 ENTRIES = """
