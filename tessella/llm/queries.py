@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.encodings import find_garbled, garbled_documents, restore
 from tessella.llm.leaks import find_leaks, remove_leaks
 from tessella.llm.mixing import mix, shares
 from tessella.llm.pairs import associations, basket_items
 from tessella.llm.terms import distinctiveness, term_frequencies, top_terms
+from tessella.session import cut
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,6 +65,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(p7_mix(spark, d), _t(spark, d, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_documents(_t(spark, d, "documents"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    return restore(documents, cut(find_garbled(documents), "garbled"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_divergence": p2_divergence,
@@ -75,6 +86,8 @@ QUERIES = {
     "p6_cleaned": p6_cleaned,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 ENTRIES = """
