@@ -28,6 +28,8 @@ LOST = re.compile("[\\s\x7f-\xa0\xad]")
 UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 STRIPPED = "—–“”„‘’‚…•"
 MARK = "�"
+C1 = re.compile("[\x80-\x84\x86-\x9f]")
+META = {chr(b): bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def _table(codec: str) -> str:
@@ -67,7 +69,7 @@ class Rules:
 
     def __init__(self, names: list[str] | None = None) -> None:
         every = _rules()
-        self.names = [n for n in every if names is None or n in names]
+        self.names = [n for n in every if names is None or n in names or every[n][0] == "utf-8"]
         self.multi = [n for n in self.names if every[n][0] == "utf-8"]
         self.single = [n for n in self.names if every[n][0] != "utf-8"]
         self.read = {n: str.maketrans({c: chr(b) for b, c in enumerate(_table(every[n][1]), 128)}) for n in self.multi}
@@ -270,6 +272,8 @@ def _hits(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
                 text = plain(raw)
                 if MARK in text:
                     rows.append((doc, "mark", MARK, "", "cp1252>utf-8", False))
+                for c in set(C1.findall(text)):
+                    rows.append((doc, "mark", c, META.get(c, ""), "cp1252>latin-1", False))
                 for r in set(RUN.findall(text)):
                     if r not in runs:
                         if len(runs) > 200_000:
@@ -311,13 +315,15 @@ def _judge(hits: DataFrame, terms: DataFrame) -> DataFrame:
     loose = ~F.col("wordlike")
     odd = (loose & (F.col("n_clean") >= 3 * F.col("n_word"))) | (~loose & (size >= 4) & (F.col("n_clean") >= 8 * F.col("n_word")))
     lone = (F.col("rule") == "stripped") & (F.col("n_clean") >= 20 * F.col("n_word"))
-    strong = F.when(F.col("rule") == "stripped", lone).otherwise(odd)
+    # a letter by itself in place of a common symbol
+    symbol = (size == 1) & ~F.col("clean").rlike("(?U)\\w") & (F.col("n_clean") >= 100 * F.col("n_word"))
+    strong = F.when(F.col("rule") == "stripped", lone).otherwise(odd | symbol)
     weak = (F.col("n_clean") >= 2) & (F.col("n_clean") > F.col("n_word")) & (size >= 3) & (F.col("rule") != "stripped")
     judged = known.select("word", "clean", "rule", "w", strong.alias("strong"), weak.alias("weak")).filter("strong or weak")
     return weighted_join(cand.select("doc_id", "word", "clean", "rule"), judged, ["word", "clean", "rule"], "w", ["doc_id"])
 
 
-def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.0005) -> DataFrame:
+def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.0005, untaught: int = 5) -> DataFrame:
     """(doc_id, word, clean, rule): every garbled word or run of a document, with what it was.
 
     1. Segments whose text without non-ASCII characters is equal are near-twins;
@@ -329,7 +335,8 @@ def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.00
        leaves fewer letters over. A word under a one-byte rule is garbled if the
        collection holds the restored word clearly more often; if both are
        words, more is asked, or two such words by one rule in the document.
-    3. U+FFFD, and a lone first byte's character whose others were stripped,
+       A UTF-8 rule without that support needs ``untaught`` runs in a document.
+    3. U+FFFD, C1 controls, and a lone first byte's character whose others were stripped,
        show garbled text that can't be restored (clean is "" or a guess).
 
     Null texts or ids give no rows; ASCII texts neither. Each row of
@@ -341,7 +348,14 @@ def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.00
     names = sorted(r.rule for r in learned.collect())  # at most as many as there are rules
     alphabet = _alphabet(terms, usual)
     hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, alphabet), HITS).withColumns({"word_fold": F.lower("word"), "clean_fold": F.lower("clean")}), "hits")
-    sure = hits.filter("kind in ('run', 'mark')").select("doc_id", "word", "clean", "rule")
+    runs = hits.filter("kind = 'run'")
+    if names:
+        known = F.col("rule").isin(names)
+    else:
+        known = F.lit(False)
+    # a rule that no twin taught must show itself in several runs of the document
+    told = runs.filter(~known).groupBy("doc_id", "rule").agg(F.count_distinct("word").alias("k")).filter(F.col("k") >= untaught).select("doc_id", "rule")
+    sure = hits.filter((F.col("kind") == "mark") | ((F.col("kind") == "run") & known)).unionByName(runs.join(told, ["doc_id", "rule"]).select(hits.columns)).select("doc_id", "word", "clean", "rule")
     judged = cut(_judge(hits, terms), "judged")
     enough = judged.groupBy("doc_id", "rule").agg(F.max("strong").alias("s"), F.count_distinct("word").alias("k")).filter("s or k >= 2").select("doc_id", "rule")
     return sure.unionByName(judged.join(enough, ["doc_id", "rule"]).select("doc_id", "word", "clean", "rule"))
@@ -371,7 +385,9 @@ def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
                 text = plain(text)
                 guess = any(m["rule"] == "stripped" for m in maps or ())
                 runs = {m["word"]: m["clean"] for m in maps or () if m["rule"].startswith("utf-8>")}
-                single = {m["word"]: m["clean"] for m in maps or () if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped"}
+                often = Counter(m["rule"] for m in maps or ())
+                # where rules disagree on a word, the one with most words in the document holds
+                single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped"}
                 if single:
                     text = WORD.sub(lambda m: single.get(m.group(), m.group()), text)
                 if runs:
