@@ -165,22 +165,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     The ranged rows are written once, as both passes need the same cuts.
     """
     n = n or partitions(df.sparkSession)
-    part = _free(df, "part")
+    part, at, offset = _free(df, "part"), _free(df, "at_part"), _free(df, "offset")
+    own = [_free(df, f"key{i}") for i in range(len(keys))]
     ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()), "ranged")
     v = F.coalesce(F.col(value), F.lit(0))
-    sums = ranged.groupBy(*keys, part).agg(F.sum(v).alias("_sum"))
+    sums = ranged.groupBy(*keys, part).agg(F.sum(v).alias(offset))
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(part).alias("_part"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-    )
+    offsets = sums.select(*[F.col(k).alias(c) for k, c in zip(keys, own, strict=True)], F.col(part).alias(at), F.coalesce(F.sum(offset).over(before), F.lit(0)).alias(offset))
     inner = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn(out, F.sum(v).over(inner))
-    on = F.col(part) == F.col("_part")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return local.join(offsets, on).withColumn(out, F.col(out) + F.col("_offset")).drop(part, "_part", "_offset", *[f"_k{i}" for i in range(len(keys))])
+    on = F.col(part) == F.col(at)
+    for k, c in zip(keys, own, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(c))
+    return local.join(offsets, on).withColumn(out, F.col(out) + F.col(offset)).drop(part, at, offset, *own)
 
 
 def weighted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:

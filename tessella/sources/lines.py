@@ -78,58 +78,75 @@ def read_lines(lines: DataFrame, runs: DataFrame, line: str = "raw_line", run: s
     df = lines.join(settings, F.col(run) == F.col("_t_run"), "left")
     raw, s = F.col(line), F.col("_t_s")
     seps, undef, quote = F.coalesce(s["_t_seps"], F.lit("\t")), s["_t_undef"], s["_t_quote"]
-    names = F.split(F.trim(s["_t_names"]), " +")
-    df = df.withColumn("kind", F.when(raw.isNull() | s.isNull(), None).when(_is_tag(raw), "tag").otherwise("token"))
-    token = F.col("kind") == "token"
-    df = df.withColumn("_t_p", F.when(token, _pieces(raw, quote)))
-    p = F.col("_t_p")
+    df = _once(
+        df,
+        "_t_1",
+        kind=F.when(raw.isNull() | s.isNull(), None).when(_is_tag(raw), "tag").otherwise("token"),
+        names=F.split(F.trim(s["_t_names"]), " +"),
+        pieces=F.when(raw.isNotNull() & s.isNotNull() & ~_is_tag(raw), _pieces(raw, quote)),
+    )
+    p, names, token = F.col("_t_1.pieces"), F.col("_t_1.names"), F.col("_t_1.kind") == "token"
     last = F.size(p) - 1
     even = lambda i: (i % 2) == 0
     # outside text: a piece between two quoted fields begins and ends with a separator; an empty one is a doubled quote
-    sound = (F.size(p) % 2 == 1) & F.forall(
-        F.transform(
-            p,
-            lambda x, i: ~even(i)
-            | (last == 0)
-            | (x == "")
-            | (((i == 0) | _has(F.substring(x, 1, 1), seps)) & ((i == last) | _has(F.right(x, F.lit(1)), seps))),
-        ),
-        lambda ok: ok,
+    sound = (last == 0) | (
+        even(last)
+        & F.forall(
+            F.transform(p, lambda x, i: ~even(i) | (x == "") | (((i == 0) | _has(F.substring(x, 1, 1), seps)) & ((i == last) | _has(F.right(x, F.lit(1)), seps)))),
+            lambda ok: ok,
+        )
     )
-    outside = F.concat_ws("", F.filter(p, lambda x, i: even(i)))
-    count = F.length(outside) - F.length(_translate(outside, seps, F.lit(""))) + 1
-    inside = F.concat_ws("", F.transform(p, lambda x, i: F.when(even(i), _translate(x, seps, F.lit(""))).otherwise(x)))
-    fields = F.split(F.array_join(F.transform(p, lambda x, i: F.when(~even(i), x).when((x == "") & (i > 0) & (i < last), quote).otherwise(_plain(x, seps))), ""), SEP, -1)
-    df = df.withColumn("_t_sound", sound).withColumn("_t_counted", count == F.size(names)).withColumn("_t_clean", ~inside.rlike(BAD)).withColumn("fields", F.when(token, fields))
-
-    def field(name: str) -> Column:
-        at = F.array_position(names, F.lit(name)).cast("int")
-        return F.when(at > 0, F.try_element_at(F.col("fields"), at))
+    outside = F.when(last == 0, p[0]).otherwise(F.concat_ws("", F.filter(p, lambda x, i: even(i))))
+    inside = F.when(last == 0, F.lit("")).otherwise(F.concat_ws("", F.filter(p, lambda x, i: ~even(i))))
+    joined = F.when(last == 0, _plain(p[0], seps)).otherwise(
+        F.array_join(F.transform(p, lambda x, i: F.when(~even(i), x).when((x == "") & (i > 0) & (i < last), quote).otherwise(_plain(x, seps))), "")
+    )
+    df = _once(df, "_t_2", sound=sound, rest=_translate(outside, seps, F.lit("")), outside=F.length(outside), inside=inside, fields=F.when(token, F.split(joined, SEP, -1)))
+    t = F.col("_t_2")
+    df = _once(
+        df,
+        "_t_3",
+        counted=t["outside"] - F.length(t["rest"]) + 1 == F.size(names),
+        clean=~t["rest"].rlike(BAD) & ~t["inside"].rlike(BAD),
+        **{name: _field(t["fields"], names, name) for name in ("word", "pos", "lemma", "feats", "freq")},
+    )
+    f = F.col("_t_3")
 
     def value(name: str) -> Column:
-        f = field(name)
-        return F.when((f == "") | f.eqNullSafe(undef), None).otherwise(f)
-
-    def allowed(name: str, ok: Column) -> Column:
-        return value(name).isNull() | ok
+        return F.when((f[name] == "") | f[name].eqNullSafe(undef), None).otherwise(f[name])
 
-    w, pos, feats, freq = field("word"), value("pos"), value("feats"), value("freq")
+    df = _once(df, "_t_4", **{name: value(name) for name in ("word", "pos", "lemma", "feats", "freq")})
+    v = F.col("_t_4")
+    feats = v["feats"]
     fits = (
-        F.col("_t_clean")
-        & ((F.array_position(names, F.lit("word")) == 0) | ((w != "") & ~w.eqNullSafe(undef)))
-        & allowed("pos", pos.isin(*POS))
-        & allowed("feats", (feats == "|") | (feats.startswith("|") & feats.endswith("|") & ~feats.contains("||") & (F.length(feats) > 2)))
-        & allowed("freq", freq.rlike("\\A0*+[1-9][0-9]*+\\z"))
+        f["clean"]
+        & ((F.array_position(names, F.lit("word")) == 0) | v["word"].isNotNull())
+        & (v["pos"].isNull() | v["pos"].isin(*POS))
+        & (feats.isNull() | (feats == "|") | (feats.startswith("|") & feats.endswith("|") & ~feats.contains("||") & (F.length(feats) > 2)))
+        & (v["freq"].isNull() | v["freq"].rlike("\\A0*+[1-9][0-9]*+\\z"))
     )
-    df = df.withColumn("_t_fits", F.coalesce(fits, F.lit(False)))
-    ok = F.when(F.col("kind") == "tag", _tag_ok(raw)).when(token, F.col("_t_sound") & F.col("_t_counted") & F.col("_t_fits")).otherwise(F.lit(False))
-    record = F.struct(value("word").alias("word"), pos.alias("pos"), value("lemma").alias("lemma"), feats.alias("feats"), F.expr("cast(null as decimal(38,0))").alias("freq"))
-    df = df.withColumn("corrupt", F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.coalesce(raw, F.lit(""))))
-    df = df.withColumn("_t_freq", freq)
-    good = token & F.col("corrupt").isNull()
-    df = df.withColumn("record", F.when(good, record.withField("freq", F.expr("try_cast(_t_freq as decimal(38,0))"))))
-    df = df.withColumn("fields", F.when(good, F.col("fields")))
-    return df
+    df = _once(df, "_t_5", fits=F.coalesce(fits, F.lit(False)), tag=F.when(F.col("_t_1.kind") == "tag", _tag_ok(raw)))
+    ok = F.coalesce(F.when(token, t["sound"] & f["counted"] & F.col("_t_5.fits")).otherwise(F.col("_t_5.tag")), F.lit(False))
+    df = _once(df, "_t_6", ok=ok)
+    good = F.col("_t_6.ok") & token
+    return df.withColumns(
+        {
+            "kind": F.col("_t_1.kind"),
+            "fields": F.when(good, t["fields"]),
+            "record": F.when(good, F.struct(v["word"].alias("word"), v["pos"].alias("pos"), v["lemma"].alias("lemma"), feats.alias("feats"), v["freq"].try_cast("decimal(38,0)").alias("freq"))),
+            "corrupt": F.when(~F.col("_t_6.ok"), F.coalesce(raw, F.lit(""))),
+        }
+    )
+
+
+def _once(df: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """``columns`` as a struct that is computed once: filters and projections above aren't inlined through a generator."""
+    return df.withColumn(name, F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def _field(fields: Column, names: Column, name: str) -> Column:
+    at = F.array_position(names, F.lit(name)).cast("int")
+    return F.when(at > 0, F.try_element_at(fields, at))
 
 
 def _public(df: DataFrame) -> DataFrame:
@@ -153,8 +170,8 @@ def reclassify(read: DataFrame) -> DataFrame:
     reason = (
         F.when(raw_null & F.col("_t_s").isNull(), "settings")
         .when(raw_null, "column_count")
-        .when((F.col("kind") == "tag") | ~F.col("_t_sound"), "quoting")
-        .when(~F.col("_t_counted"), "column_count")
+        .when((F.col("kind") == "tag") | ~F.col("_t_2.sound"), "quoting")
+        .when(~F.col("_t_3.counted"), "column_count")
         .otherwise("value")
     )
     return _public(read.filter("corrupt is not null").withColumn("reason", reason)).drop("fields", "record")
