@@ -70,7 +70,8 @@ class Rules:
     def __init__(self, names: list[str] | None = None) -> None:
         every = _rules()
         self.names = [n for n in every if names is None or n in names or every[n][0] == "utf-8"]
-        self.multi = [n for n in self.names if every[n][0] == "utf-8"]
+        # taught rules first: they win ties
+        self.multi = sorted((n for n in self.names if every[n][0] == "utf-8"), key=lambda n: names is not None and n not in names)
         self.single = [n for n in self.names if every[n][0] != "utf-8"]
         self.read = {n: str.maketrans({c: chr(b) for b, c in enumerate(_table(every[n][1]), 128)}) for n in self.multi}
         self.write = {n: str.maketrans({chr(b): c for b, c in enumerate(_table(every[n][1]), 128)}) for n in self.multi}
@@ -108,6 +109,7 @@ class Rules:
     def undo_multi(self, run: str, alphabet: frozenset[str]) -> tuple[str, str] | None:
         """(restored run, rule) if UTF-8 sequences in it, read by a rule, give usual characters and leave few letters over."""
         best = None
+        torn = bool(C1.search(run))  # garbled in any case, so controls may come of it
         for n in self.multi:
             as_bytes = run.translate(self.read[n])
             found = 0
@@ -115,7 +117,7 @@ class Rules:
             for m in UTF8.finditer(as_bytes):
                 c = m.group().encode("latin-1").decode("utf-8", "replace")
                 raw = run[m.start() : m.end()]
-                if c in alphabet and m.group() != c and any(ord(x) > 127 for x in raw):
+                if (c in alphabet or (torn and c <= "\x9f")) and m.group() != c and any(ord(x) > 127 for x in raw):
                     parts += [run[at : m.start()], c]
                     at = m.end()
                     found += at - m.start()
@@ -249,7 +251,7 @@ def learn(terms: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_align, TWINS).groupBy("rule", "garbled", "clean").agg(F.count("*").alias("n"))
 
 
-HITS = "doc_id bigint, kind string, word string, clean string, rule string, wordlike boolean"
+HITS = "doc_id bigint, kind string, word string, clean string, rule string, wordlike boolean, word_fold string, clean_fold string"
 
 
 def _hits(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
@@ -288,8 +290,10 @@ def _hits(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
                         words[w] = candidates(w)
                     rows += [(doc, "word", *c) for c in words[w]]
             if rows:
-                kinds = (pa.int64(), *[pa.string()] * 4, pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "kind", "word", "clean", "rule", "wordlike"])
+                kinds = (pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.string(), pa.string())
+                cols = [*zip(*rows, strict=True)]
+                cols += [[x.casefold() for x in cols[2]], [x.casefold() for x in cols[3]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "kind", "word", "clean", "rule", "wordlike", "word_fold", "clean_fold"])
 
     return run
 
@@ -347,7 +351,7 @@ def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.00
     learned = learn(terms).groupBy("rule").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_support)
     names = sorted(r.rule for r in learned.collect())  # at most as many as there are rules
     alphabet = _alphabet(terms, usual)
-    hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, alphabet), HITS).withColumns({"word_fold": F.lower("word"), "clean_fold": F.lower("clean")}), "hits")
+    hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, alphabet), HITS), "hits")
     runs = hits.filter("kind = 'run'")
     if names:
         known = F.col("rule").isin(names)
@@ -389,7 +393,18 @@ def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
                 # where rules disagree on a word, the one with most words in the document holds
                 single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped"}
                 if single:
-                    text = WORD.sub(lambda m: single.get(m.group(), m.group()), text)
+                    main = max((n for n in often if not n.startswith("utf-8>") and n != "stripped"), key=lambda n: (often[n], n))
+                    back = Rules([main]).back.get(main, {}) if often[main] >= 5 else {}
+
+                    def fix(m: re.Match, single: dict = single, back: dict = back) -> str:
+                        """By the mapping; in a document garbled throughout also words that it lacks and that are none as they stand."""
+                        w = m.group()
+                        if w in single or not back or _wordlike(w):
+                            return single.get(w, w)
+                        u = "".join(back.get(c, c) for c in w)
+                        return u if _wordlike(u) else w
+
+                    text = WORD.sub(fix, text)
                 if runs:
                     text = RUN.sub(lambda m: runs.get(m.group(), m.group()), text)
                     rules = Rules(list({m["rule"] for m in maps if m["rule"].startswith("utf-8>")}))

@@ -48,7 +48,8 @@ def associations(items: DataFrame, min_count: int = 5, min_lift: float = 4.0, ch
     large = chunked.filter("k > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     large = (
         large.groupBy("corpus", "text_id", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"))
-        .agg(F.min_by("ids", "c").alias("x"), F.max_by("ids", "c").alias("y"))
+        .agg(F.min_by("ids", "c").alias("x"), F.max_by("ids", "c").alias("y"), F.count("*").alias("present"))
+        .filter((F.col("i") == F.col("j")) | (F.col("present") == 2))  # hashing may leave a chunk empty
         .select("corpus", "x", "y", (F.col("i") == F.col("j")).alias("same"))
         .repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     )
