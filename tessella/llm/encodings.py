@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.skew import weighted_join
-from tessella.session import cut
+from tessella.session import cut, partitions
 
 # The encodings a text may have been written in, and wrongly read in.
 WRITTEN = ("cp1252", "cp1251", "cp1253", "koi8-r", "cp866", "iso8859-5", "iso8859-7", "mac_roman", "cp1250")
@@ -191,7 +192,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text = plain(raw)
             chars.update({c for c in set(text) if c > "\x7f"})
-            vocab.update({w.casefold() for w in WORD.findall(text)})
+            vocab.update(set(WORD.findall(text)))
             for s in {s for s in SEGMENT.split(text) if not s.isascii()}:
                 skeleton = HIDDEN.sub("", s)
                 if len(skeleton) >= LEAST_SKELETON:
@@ -251,20 +252,55 @@ def learn(terms: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_align, TWINS).groupBy("rule", "garbled", "clean").agg(F.count("*").alias("n"))
 
 
-HITS = "doc_id bigint, kind string, word string, clean string, rule string, wordlike boolean, word_fold string, clean_fold string"
+CANDIDATES = "word string, n bigint, clean string, rule string, wordlike boolean"
 
 
-def _hits(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
+def _candidates(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
+    """What the words of the collection, each once, may have been under the one-byte rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = Rules(rule_names)
+        for b in batches:
+            rows: list[tuple] = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = rules.undo_single(w, alphabet)
+                if "â" in w:
+                    found += [(w.replace("â", c), "stripped") for c in STRIPPED if c in alphabet]
+                if found:
+                    like = _wordlike(w)
+                    rows += [(w, n, u, rule, like) for u, rule in found]
+            if rows:
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["word", "n", "clean", "rule", "wordlike"])
+
+    return run
+
+
+HITS = "doc_id bigint, kind string, word string, clean string, rule string"
+FILTER_BITS = 1 << 22
+
+
+def _word_filter(words: DataFrame) -> bytes:
+    """One bit per hash of a word: FILTER_BITS bits whatever the number of words, so it may be broadcast. Words are joined exactly afterwards."""
+    bit = F.crc32("word") % FILTER_BITS + 1  # these maps count from 1
+    maps = words.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in maps.collect():  # FILTER_BITS / 32768 rows of 4 kB
+        at = (r.k - 1) * 4096
+        out[at : at + 4096] = r.m
+    return bytes(out)
+
+
+def _hits(rule_names: list[str], alphabet: frozenset[str], shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = Rules(rule_names)
+        bits = shared.value
         runs: dict[str, tuple[str, str] | None] = {}
-        words: dict[str, list[tuple]] = {}
+        words: dict[str, bool] = {}
 
-        def candidates(w: str) -> list[tuple]:
-            found = [(w, u, n, _wordlike(w)) for u, n in rules.undo_single(w, alphabet)]
-            if "â" in w:
-                found += [(w, w.replace("â", c), "stripped", _wordlike(w)) for c in STRIPPED if c in alphabet]
-            return found
+        def listed(w: str) -> bool:
+            at = zlib.crc32(w.encode("utf-8", "surrogatepass")) % FILTER_BITS
+            return bool(bits[at >> 3] >> (at & 7) & 1)
 
         for b in batches:
             rows: list[tuple] = []
@@ -273,27 +309,26 @@ def _hits(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
                     continue
                 text = plain(raw)
                 if MARK in text:
-                    rows.append((doc, "mark", MARK, "", "cp1252>utf-8", False))
+                    rows.append((doc, "mark", MARK, "", "cp1252>utf-8"))
                 for c in set(C1.findall(text)):
-                    rows.append((doc, "mark", c, META.get(c, ""), "cp1252>latin-1", False))
+                    rows.append((doc, "mark", c, META.get(c, ""), "cp1252>latin-1"))
                 for r in set(RUN.findall(text)):
                     if r not in runs:
                         if len(runs) > 200_000:
                             runs.clear()
                         runs[r] = rules.undo_multi(r, alphabet) if len(r) > 1 else None
                     if hit := runs[r]:
-                        rows.append((doc, "run", r, hit[0], hit[1], False))
+                        rows.append((doc, "run", r, hit[0], hit[1]))
                 for w in set(WORD.findall(text)):
                     if w not in words:
-                        if len(words) > 200_000:
+                        if len(words) > 400_000:
                             words.clear()
-                        words[w] = candidates(w)
-                    rows += [(doc, "word", *c) for c in words[w]]
+                        words[w] = listed(w)
+                    if words[w]:
+                        rows.append((doc, "word", w, "", ""))
             if rows:
-                kinds = (pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.string(), pa.string())
-                cols = [*zip(*rows, strict=True)]
-                cols += [[x.casefold() for x in cols[2]], [x.casefold() for x in cols[3]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "kind", "word", "clean", "rule", "wordlike", "word_fold", "clean_fold"])
+                kinds = (pa.int64(), *[pa.string()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "kind", "word", "clean", "rule"])
 
     return run
 
@@ -305,15 +340,14 @@ def _alphabet(terms: DataFrame, share: float) -> frozenset[str]:
     return frozenset(c for c, n in counted.items() if c > "\x9f" and n >= least)
 
 
-def _judge(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    """Word candidates that the collection's own words confirm, with ``strong``."""
-    vocab = terms.filter("kind = 'w'").select(F.col("text").alias("form"), "n")
-    low = lambda c: F.col(c + "_fold")
-    cand = hits.filter("kind = 'word'")
-    forms = cand.groupBy("word", "clean", "rule", "wordlike", "word_fold", "clean_fold").agg(F.count("*").alias("w"))
+def _judge(terms: DataFrame, names: list[str], alphabet: frozenset[str]) -> DataFrame:
+    """(word, clean, rule, strong, weak, n): words that the collection's own words show to be garbled."""
+    words = terms.filter("kind = 'w'").select(F.col("text").alias("word"), "n")
+    vocab = words.groupBy(F.lower("word").alias("form")).agg(F.sum("n").alias("m"))
+    cand = words.repartition(partitions(terms.sparkSession), "word").mapInArrow(_candidates(names, alphabet), CANDIDATES)
     known = (
-        forms.join(vocab.withColumnRenamed("n", "n_clean"), low("clean") == F.col("form")).drop("form")
-        .join(vocab.withColumnRenamed("n", "n_word"), low("word") == F.col("form")).drop("form")
+        cand.withColumn("form", F.lower("clean")).join(vocab.withColumnRenamed("m", "n_clean"), "form").drop("form")
+        .withColumn("form", F.lower("word")).join(vocab.withColumnRenamed("m", "n_word"), "form").drop("form")
     )
     size = F.length("clean")
     loose = ~F.col("wordlike")
@@ -323,8 +357,13 @@ def _judge(hits: DataFrame, terms: DataFrame) -> DataFrame:
     symbol = (size == 1) & ~F.col("clean").rlike("(?U)\\w") & (F.col("n_clean") >= 100 * F.col("n_word"))
     strong = F.when(F.col("rule") == "stripped", lone).otherwise(odd | symbol)
     weak = (F.col("n_clean") >= 2) & (F.col("n_clean") > F.col("n_word")) & (size >= 3) & (F.col("rule") != "stripped")
-    judged = known.select("word", "clean", "rule", "w", strong.alias("strong"), weak.alias("weak")).filter("strong or weak")
-    return weighted_join(cand.select("doc_id", "word", "clean", "rule"), judged, ["word", "clean", "rule"], "w", ["doc_id"])
+    return known.select("word", "clean", "rule", strong.alias("strong"), weak.alias("weak"), "n").filter("strong or weak")
+
+
+def _words_found(hits: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id, word, clean, rule, strong): the judged words in the documents; heavy words are salted."""
+    one = judged.groupBy("word").agg(F.collect_list(F.struct("clean", "rule", "strong")).alias("as"), F.max("n").alias("w"))  # no more than there are rules
+    return weighted_join(hits.filter("kind = 'word'").select("doc_id", "word"), one, ["word"], "w", ["doc_id"]).select("doc_id", "word", F.explode("as").alias("a")).select("doc_id", "word", "a.*")
 
 
 def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.0005, untaught: int = 5) -> DataFrame:
@@ -345,13 +384,17 @@ def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.00
 
     Null texts or ids give no rows; ASCII texts neither. Each row of
     documents counts by itself, repeated ids together. All counts cover all documents.
+    What a word may have been is worked out once per distinct word; documents are
+    then searched for the judged words by a broadcast bit filter of fixed size and an exact join.
     """
     docs = documents.filter("text is not null and doc_id is not null")
     terms = cut(docs.select("text").mapInArrow(_terms, TERMS).groupBy("kind", "key", "text").agg(F.sum("n").alias("n")), "terms")
     learned = learn(terms).groupBy("rule").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_support)
     names = sorted(r.rule for r in learned.collect())  # at most as many as there are rules
     alphabet = _alphabet(terms, usual)
-    hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, alphabet), HITS), "hits")
+    judged = cut(_judge(terms, names, alphabet), "judged-words")
+    shared = documents.sparkSession.sparkContext.broadcast(_word_filter(judged))
+    hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, alphabet, shared), HITS), "hits")
     runs = hits.filter("kind = 'run'")
     if names:
         known = F.col("rule").isin(names)
@@ -360,9 +403,9 @@ def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.00
     # a rule that no twin taught must show itself in several runs of the document
     told = runs.filter(~known).groupBy("doc_id", "rule").agg(F.count_distinct("word").alias("k")).filter(F.col("k") >= untaught).select("doc_id", "rule")
     sure = hits.filter((F.col("kind") == "mark") | ((F.col("kind") == "run") & known)).unionByName(runs.join(told, ["doc_id", "rule"]).select(hits.columns)).select("doc_id", "word", "clean", "rule")
-    judged = cut(_judge(hits, terms), "judged")
-    enough = judged.groupBy("doc_id", "rule").agg(F.max("strong").alias("s"), F.count_distinct("word").alias("k")).filter("s or k >= 2").select("doc_id", "rule")
-    return sure.unionByName(judged.join(enough, ["doc_id", "rule"]).select("doc_id", "word", "clean", "rule"))
+    found = cut(_words_found(hits, judged), "words")
+    enough = found.groupBy("doc_id", "rule").agg(F.max("strong").alias("s"), F.count_distinct("word").alias("k")).filter("s or k >= 2").select("doc_id", "rule")
+    return sure.unionByName(found.join(enough, ["doc_id", "rule"]).select("doc_id", "word", "clean", "rule"))
 
 
 def garbled_documents(documents: DataFrame, **options) -> DataFrame:
