@@ -21,11 +21,11 @@ def point_in_interval(points: DataFrame, at: str, intervals: DataFrame, lo: str,
     short intervals are repeated once or twice. A point has one bucket, so no
     pair comes out twice. Both tables have a ``corpus`` column.
     """
-    left = points.withColumn("_b", F.floor(F.col(at) / width))
-    right = intervals.withColumn("_b", F.explode(buckets(F.col(lo), F.col(hi), width))).withColumnRenamed("corpus", "_corpus").withColumnRenamed("_b", "_rb")
-    on = (F.col("corpus") == F.col("_corpus")) & (F.col("_b") == F.col("_rb")) & (F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))
-    joined = left.join(right, on, how).drop("_b")
-    return joined if how in ("left_semi", "left_anti") else joined.drop("_rb", "_corpus")
+    left = points.withColumn("_pb", F.floor(F.col(at) / width))
+    right = intervals.withColumn("_pb", F.explode(buckets(F.col(lo), F.col(hi), width))).withColumnRenamed("corpus", "_pc").withColumnRenamed("_pb", "_prb")
+    on = (F.col("corpus") == F.col("_pc")) & (F.col("_pb") == F.col("_prb")) & (F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))
+    joined = left.join(right, on, how).drop("_pb")
+    return joined if how in ("left_semi", "left_anti") else joined.drop("_prb", "_pc")
 
 
 def flag_columns(tokens: DataFrame, regions: DataFrame, satts: list[str]) -> DataFrame:

@@ -179,6 +179,7 @@ def run(corpus: Corpus, query: Query, variables: dict[str, set[str]] | None = No
     variables = variables or {}
     strategy = query.strategy or strategy
     plan = build(query.pattern)
+    _bind_names(plan, query, corpus)
     found = _leads(corpus, query, plan, variables, strategy, parents) or _automaton(corpus, query, plan, variables, strategy, parents, strict, numbers)
     for a in query.aligned:
         from tessella.operators.alignment import aligned_filter
@@ -202,6 +203,22 @@ def run(corpus: Corpus, query: Query, variables: dict[str, set[str]] | None = No
     return result(found)
 
 
+def _bind_names(plan: Plan, query: Query, corpus: Corpus) -> None:
+    """Every name must be an attribute or a label of the pattern, and every label be used."""
+    tests = [s.test for s in plan.symbols if isinstance(s, Tok)] + [query.constraint]
+    used = [r for t in tests if t is not None for r in refs_of(t)]
+    labels = {s.label for s in plan.symbols if isinstance(s, Tok) and s.label}
+    known = set(corpus.patts) | set(corpus.satts)
+    points = labels | {"match", "matchend", "target", "keyword", "_"}
+    for r in used:
+        if r.label is not None and (r.label not in points or r.name not in known):
+            raise BindError(f"unknown reference {r.label}.{r.name}")
+        if r.label is None and r.name not in known | points:
+            raise BindError(f"unknown attribute or label {r.name}")
+    if idle := labels - {r.label for r in used} - {r.name for r in used}:
+        raise BindError(f"labels that nothing refers to: {sorted(idle)}")
+
+
 def _halo(tokens: DataFrame, width: int) -> DataFrame:
     """Tokens by block of BLOCK positions; the first ``width`` of a block are repeated as the tail of the one before."""
     own = F.floor(F.col("cpos") / BLOCK)
@@ -315,7 +332,7 @@ def _automaton(corpus: Corpus, query: Query, plan: Plan, variables: dict, strate
             spans = rows.filter("_bound is not null").select("corpus", F.floor(F.col("cpos") / BLOCK).alias("_k"), "cpos", "_bound").groupBy("corpus", "_k").agg(F.min("cpos").alias("_lo"), (F.max("_bound") + 1).alias("_hi"))
             blocks = point_in_interval(rows, "cpos", spans, "_lo", "_hi", width=BLOCK).withColumn("_block", F.col("_k")).withColumn("_own", F.floor(F.col("cpos") / BLOCK) == F.col("_k")).drop("_k", "_lo", "_hi")
     work = _Simulation(plan, query, corpus.patts, satts, {k: frozenset(v) for k, v in variables.items()}, bound_in_task, strict, numbers, strategy, [*need, *extra])
-    found = blocks.groupBy("corpus", "_block").applyInPandas(work, "corpus string, match bigint, matchend bigint, target bigint, keyword bigint")
+    found = blocks.groupBy("corpus", "_block").applyInPandas(lambda pdf: work(pdf), "corpus string, match bigint, matchend bigint, target bigint, keyword bigint")
     return result(found)
 
 
