@@ -103,7 +103,7 @@ def _edge(corpus: Corpus, expand, key: DataFrame, n: int, satt: str, side: str)
     ends = regions.groupBy("corpus").agg(F.min("struc").alias("_first"), F.max("struc").alias("_last"))
     rows = key.join(t, ["corpus", at], "left").join(ends, "corpus", "left")
     want = F.greatest(F.col("_id") - (n - 1), F.col("_first")) if side == "left" else F.least(F.col("_id") + (n - 1), F.col("_last"))
-    rows = rows.withColumn("_want", want).join(regions.select("corpus", F.col("struc").alias("_want"), F.col(edge).alias("_edge")), ["corpus", "_want"], "left")
+    rows = rows.withColumn("_want", F.when(F.col("_id").isNotNull(), want)).join(regions.select("corpus", F.col("struc").alias("_want"), F.col(edge).alias("_edge")), ["corpus", "_want"], "left")
     return rows.select("corpus", "match", "matchend", F.coalesce("_edge", at).alias(to))
 
 

@@ -34,7 +34,7 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def unique(a: DataFrame) -> DataFrame:
     """One row per element: the one with the least anchors, for a defined choice."""
-    return a.groupBy(*KEY).agg(F.min(F.struct("target", "keyword", "sort_rank")).alias("_r")).select(*KEY, "_r.*").transform(result)
+    return result(a).groupBy(*KEY).agg(F.min(F.struct("target", "keyword", "sort_rank")).alias("_r")).select(*KEY, "_r.*").transform(result)
 
 
 BLOCK = 1 << 16

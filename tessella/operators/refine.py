@@ -18,6 +18,15 @@ def _lookup(corpus: Corpus, rows: DataFrame, at: str, columns: dict[str, str]) -
     return rows.join(t, (F.col("corpus") == F.col("_lc")) & (F.col(at) == F.col("_lp")), "left").drop("_lc", "_lp")
 
 
+def _low(n: int) -> Column:
+    """Number of the region n - 1 before ``_a``, the first at least; null outside regions."""
+    return F.when(F.col("_a").isNotNull(), F.greatest(F.col("_a") - (n - 1), F.col("_first")))
+
+
+def _high(n: int) -> Column:
+    return F.when(F.col("_z").isNotNull(), F.least(F.col("_z") + (n - 1), F.col("_last")))
+
+
 def expand(corpus: Corpus, a: DataFrame, n: int = 1, satt: str | None = None, side: str = "both", both_needed: bool = False) -> DataFrame:
     """Widen by n words, or so as to cover the n-th region from that of either edge (1: its own).
 
@@ -37,7 +46,7 @@ def expand(corpus: Corpus, a: DataFrame, n: int = 1, satt: str | None = None, si
         rows = rows.join(edge, "corpus", "left")
         lows = regions.select("corpus", F.col("struc").alias("_ls"), F.col("start").alias("_lo"))
         highs = regions.select("corpus", F.col("struc").alias("_hs"), F.col("end").alias("_hi"))
-        rows = rows.withColumn("_ls", F.greatest(F.col("_a") - (n - 1), F.col("_first"))).withColumn("_hs", F.least(F.col("_z") + (n - 1), F.col("_last")))
+        rows = rows.withColumn("_ls", _low(n)).withColumn("_hs", _high(n))
         rows = rows.join(lows, ["corpus", "_ls"], "left").join(highs, ["corpus", "_hs"], "left")
         lo, hi = F.coalesce("_lo", "match"), F.coalesce("_hi", "matchend")
         if both_needed:
@@ -86,7 +95,7 @@ def set_anchor_search(corpus: Corpus, a: DataFrame, to: str, which: str, test: o
         windows = _lookup(corpus, rows.withColumn("_hb", hi_base), base, {f"{satt}_id": "_a"})
         windows = _lookup(corpus, windows, "_hb", {f"{satt}_id": "_z"})
         ends = regions.groupBy("corpus").agg(F.min("struc").alias("_first"), F.max("struc").alias("_last"))
-        windows = windows.join(ends, "corpus", "left").withColumns({"_ls": F.greatest(F.col("_a") - (n - 1), F.col("_first")), "_hs": F.least(F.col("_z") + (n - 1), F.col("_last"))})
+        windows = windows.join(ends, "corpus", "left").withColumns({"_ls": _low(n), "_hs": _high(n)})
         windows = windows.join(regions.select("corpus", F.col("struc").alias("_ls"), F.col("start").alias("_lo")), ["corpus", "_ls"], "left")
         windows = windows.join(regions.select("corpus", F.col("struc").alias("_hs"), F.col("end").alias("_hi")), ["corpus", "_hs"], "left")
     hits = corpus.tokens.filter(Compiler(corpus.patts, corpus.satts, variables).test(test)).select("corpus", F.col("cpos").alias("_p"))
