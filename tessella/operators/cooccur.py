@@ -69,10 +69,9 @@ def _cut(found: DataFrame, n: int | None) -> DataFrame:
 def run_tab(corpus: Corpus, query: TABQuery, variables: dict | None = None) -> DataFrame:
     """Greedy gapped sequence: from each first token the first fitting second one, from there the third, and so on.
 
-    Each step is an as-of join: the least position at or after the lower bound.
-    For a bounded gap that is a bucketed range join; without an upper bound it is the
-    next position of the column, found by one ordered window over blocks with
-    the first position of every later block carried backwards. Of results with
+    Each step is an as-of join: the least position at or after the lower bound,
+    found by one ordered window over blocks with the first position of every
+    later block carried backwards; an upper bound then filters. Of results with
     one end only the earliest start stays, as ends must increase.
     """
     tokens = with_frequencies(corpus, [c.test for c in query.columns])
@@ -103,9 +102,10 @@ def _next(here: DataFrame, col: DataFrame, lo: int) -> DataFrame:
     marks = a.select("corpus", F.col("_q").alias("_k"), F.lit(None).cast("long").alias("_p"), F.struct("match", "matchend", "_bound").alias("_row"))
     hits = col.select("corpus", F.col("cpos").alias("_k"), F.col("cpos").alias("_p"), F.lit(None).cast(marks.schema["_row"].dataType).alias("_row"))
     both = marks.unionByName(hits).withColumn("_b", block(F.col("_k")))
-    w = Window.partitionBy("corpus", "_b").orderBy("_k").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # backwards, so that the frame grows: frames that shrink are summed up anew for every row
+    w = Window.partitionBy("corpus", "_b").orderBy(F.desc("_k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = both.withColumn("_near", F.min("_p").over(w)).filter("_row is not null")
     firsts = both.groupBy("corpus", "_b").agg(F.min("_p").alias("_first"))
-    after = Window.partitionBy("corpus").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("corpus").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     later = firsts.select("corpus", "_b", F.min("_first").over(after).alias("_later"))
     return near.join(later, ["corpus", "_b"]).select("corpus", "_row.*", F.coalesce("_near", "_later").alias("_at")).filter("_at is not null")
