@@ -74,7 +74,8 @@ class Rules:
         # taught rules first: they win ties
         self.multi = sorted((n for n in self.names if every[n][0] == "utf-8"), key=lambda n: names is not None and n not in names)
         self.single = [n for n in self.names if every[n][0] != "utf-8"]
-        self.read = {n: str.maketrans({c: chr(b) for b, c in enumerate(_table(every[n][1]), 128)}) for n in self.multi}
+        # characters outside the table are no bytes; C1 controls stand for bytes it doesn't define
+        self.read = {n: str.maketrans({chr(b): "\u0100" for b in range(160, 256)} | {c: chr(b) for b, c in enumerate(_table(every[n][1]), 128)}) for n in self.multi}
         self.write = {n: str.maketrans({chr(b): c for b, c in enumerate(_table(every[n][1]), 128)}) for n in self.multi}
         self.there, self.back = {}, {}
         for n in self.single:
@@ -111,21 +112,27 @@ class Rules:
         """(restored run, rule) if UTF-8 sequences in it, read by a rule, give usual characters and leave few letters over."""
         best = None
         torn = bool(C1.search(run))  # garbled in any case, so controls may come of it
+        word = run.isalpha() and len({_script(c) for c in run}) == 1
         for n in self.multi:
             as_bytes = run.translate(self.read[n])
             found = 0
-            parts, at = [], 0
+            parts, at, leads = [], 0, set()
             for m in UTF8.finditer(as_bytes):
                 c = m.group().encode("latin-1").decode("utf-8", "replace")
-                raw = run[m.start() : m.end()]
-                if (c in alphabet or (torn and c <= "\x9f")) and m.group() != c and any(ord(x) > 127 for x in raw):
+                if c in alphabet or (torn and c <= "\x9f"):
                     parts += [run[at : m.start()], c]
                     at = m.end()
                     found += at - m.start()
+                    leads.add(run[m.start()])
             if found:
-                left = sum(c.isalpha() for c in "".join(parts[::2]) + run[at:])
+                rest = "".join(parts[::2]) + run[at:]
+                # first bytes whose others were stripped don't count as left over
+                left = sum(c.isalpha() and c not in leads for c in rest)
+                restored = "".join(parts) + run[at:]
+                if word and (any(map(str.isalpha, rest)) or len({_script(c) for c in restored if c.isalpha()}) > 1):
+                    continue  # it is a word as it stands
                 if left < found and (best is None or (found, -left) > best[0]):
-                    best = ((found, -left), "".join(parts) + run[at:], n)
+                    best = ((found, -left), restored, n)
         return best and (best[1], best[2])
 
     def undo_single(self, word: str, alphabet: frozenset[str]) -> list[tuple[str, str]]:
