@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.ranges import flag_columns
+from tessella.operators.skew import running_sum
 
 RESULT = ("corpus", "match", "matchend", "target", "keyword", "sort_rank")
 
@@ -44,10 +45,10 @@ class Corpus:
         return self.tokens.groupBy("corpus").agg((F.max("cpos") + 1).alias("size"))
 
     def lexicon(self, att: str) -> DataFrame:
-        """(corpus, id, <att>, freq): ids in order of first occurrence, from 0."""
-        w = Window.partitionBy("corpus").orderBy("_first")
+        """(corpus, id, <att>, freq): ids in order of first occurrence, from 0. Numbered by distributed prefix sums."""
         types = self.tokens.groupBy("corpus", att).agg(F.count("*").alias("freq"), F.min("cpos").alias("_first"))
-        return types.select("corpus", (F.row_number().over(w) - 1).cast("long").alias("id"), att, "freq")
+        numbered = running_sum(types.withColumn("_one", F.lit(1).cast("long")), ["corpus"], ["_first"], "_one", "_upto")
+        return numbered.select("corpus", (F.col("_upto") - 1).alias("id"), att, "freq")
 
 
 def result(df: DataFrame) -> DataFrame:

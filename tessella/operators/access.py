@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.regex import matches
 from tessella.model import Corpus
 from tessella.operators.ranges import point_in_interval
+from tessella.operators.skew import running_sum
 
 
 def attribute_size(c: Corpus, att: str) -> DataFrame:
@@ -42,8 +43,8 @@ def regex2id(c: Corpus, att: str, pattern: str, flags: str = "") -> DataFrame:
 
 def sort_index(c: Corpus, att: str) -> DataFrame:
     """(corpus, rank, id): ids in byte order of their strings."""
-    w = Window.partitionBy("corpus").orderBy(att)
-    return c.lexicon(att).select("corpus", (F.row_number().over(w) - 1).cast("long").alias("rank"), "id")
+    ranked = running_sum(c.lexicon(att).withColumn("_one", F.lit(1).cast("long")), ["corpus"], [att], "_one", "_upto")
+    return ranked.select("corpus", (F.col("_upto") - 1).alias("rank"), "id")
 
 
 def id2cpos(c: Corpus, att: str, ids: list[int], ranges: DataFrame | None = None) -> DataFrame:

@@ -52,3 +52,13 @@ def bead_text(source: Corpus, target: Corpus, att: str = "word") -> DataFrame:
         return hit.groupBy("_b").agg(text.alias(out))
 
     return side(source, "source", "s1", "s2", "source_text").join(side(target, "target", "t1", "t2", "target_text"), "_b", "full").select("_b.*", "source_text", "target_text")
+
+
+def aligned_text(a: DataFrame, beads: DataFrame, target: Corpus, att: str = "word") -> DataFrame:
+    """(corpus, match, matchend, aligned_text): the target region aligned to each row, null where there is none."""
+    rows = result(a).select("corpus", "match", "matchend").distinct()
+    spans = windows(rows, beads).select(F.col("_other").alias("corpus"), F.struct("corpus", "match", "matchend").alias("_row"), "_lo", "_hi")
+    hit = point_in_interval(target.tokens.select("corpus", "cpos", F.coalesce(att, F.lit("")).alias("_t")), "cpos", spans, "_lo", "_hi")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cpos", "_t"))), lambda x: x["_t"]), " ")
+    texts = hit.groupBy("_row").agg(text.alias("aligned_text")).select("_row.*", "aligned_text")
+    return rows.join(texts, ["corpus", "match", "matchend"], "left")

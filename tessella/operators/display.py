@@ -183,3 +183,36 @@ def decode(corpus: Corpus, patts: list[str], start: int | None = None, end: int
         closed = tokens.filter(F.col("cpos") == F.col(f"{s}_end")).select("corpus", "cpos", F.lit(len(satts) - i).alias("ord"), F.lit(f"</{s}>").alias("line"))
         out = out.unionByName(opened).unionByName(closed)
     return out
+
+
+def render_groups(rows: list, mode: str = "ascii") -> list[str]:
+    """Collected rows of a grouping (source, target, freq) as text; a repeated source shows once in ``ascii``."""
+    if mode not in MODES:
+        raise ValueError(f"unknown print mode {mode}")
+    out, before = [], None
+    for r in rows:
+        s, t, n = r["source"], r["target"], r["freq"]
+        if mode == "ascii":
+            out.append(f"{'' if s == before else s:<28}  {t:<28}\t{n}")
+        elif mode == "html":
+            out.append(f"<tr><td>{escape(s)}</td><td>{escape(t)}</td><td align=right>{n}</td></tr>")
+        elif mode == "sgml":
+            out.append(f"<GROUP><SOURCE>{escape(s)}</SOURCE><TARGET>{escape(t)}</TARGET><FREQ>{n}</FREQ></GROUP>")
+        else:
+            tex = lambda x: "".join("\\" + c if c in "&%$#_{}" else c for c in x)
+            out.append(f"{tex(s)} & {tex(t)} & {n} \\\\")
+        before = s
+    return out
+
+
+def decode_horizontal(corpus: Corpus, patts: list[str], satt: str) -> DataFrame:
+    """(corpus, struc, line): one line per region, its tokens' attributes joined by ``/`` and the tokens by blanks."""
+    cell = F.concat_ws("/", *[F.coalesce(F.col(p), F.lit("__UNDEF__")) for p in patts])
+    rows = corpus.tokens.filter(F.col(f"{satt}_id").isNotNull()).select("corpus", F.col(f"{satt}_id").alias("struc"), F.struct("cpos", cell.alias("t")).alias("x"))
+    return rows.groupBy("corpus", "struc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), " ").alias("line"))
+
+
+def class_columns(tokens: DataFrame, mapping: DataFrame, att: str, out: str = "class") -> DataFrame:
+    """Tokens with the class of a mapping (class, token) of one attribute; a token of several classes takes the least, others null."""
+    classes = mapping.groupBy(F.col("token").alias(att)).agg(F.min("class").alias(out))
+    return tokens.join(classes, att, "left")

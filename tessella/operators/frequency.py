@@ -14,6 +14,7 @@ from tessella.functions.scalar import to_int
 from tessella.model import Corpus, result
 from tessella.operators.ranges import point_in_interval
 from tessella.operators.sequence import BLOCK
+from tessella.operators.skew import running_sum
 
 # Fixed value: what a regular word is, letters and digits with inner hyphens, apostrophes and the like.
 REGULAR = r"(?U)\A(?:[\p{L}\p{N}]+(?:[-'’.][\p{L}\p{N}]+)*)\z"
@@ -195,9 +196,7 @@ def count(corpus: Corpus, a: DataFrame, att: str = "word", flags: str = "", span
     rows = span_tokens(corpus, a, att, span, "toks", reverse)
     text = F.transform("toks", lambda x: fold(x, flags)) if flags else F.col("toks")
     sizes = rows.groupBy("corpus", text.alias("toks")).agg(F.count("*").alias("size"))
-    # strings are few against rows; their running total is the rank
-    w = Window.partitionBy("corpus").orderBy("toks").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn("first", F.coalesce(F.sum("size").over(w), F.lit(0).cast("long")))
+    ranked = running_sum(sizes, ["corpus"], ["toks"], "size", "_upto").withColumn("first", F.col("_upto") - F.col("size"))
     return ranked.filter(F.col("size") >= max(1, cut)).select("corpus", F.array_join("toks", " ").alias("text"), "size", "first")
 
 
@@ -207,8 +206,6 @@ def sort(corpus: Corpus, a: DataFrame, att: str = "word", flags: str = "", span:
     With flags, folded strings decide and plain ones break ties; then the shorter,
     then match order. Ranks come from a range sort with stitched prefix sums.
     """
-    from tessella.operators.skew import running_sum
-
     rows = span_tokens(corpus, a, att, span, "toks", reverse)
     keys = [F.transform("toks", lambda x: fold(x, flags)) if flags else F.col("toks"), F.col("toks")]
     packed = rows.withColumns({"_k": F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]), "_one": F.lit(1).cast("long")})
@@ -223,8 +220,6 @@ def sort(corpus: Corpus, a: DataFrame, att: str = "word", flags: str = "", span:
 
 def randomize(a: DataFrame, seed: int) -> DataFrame:
     """A sort order by a key of (start, end, seed), the same for every superset of a row's result."""
-    from tessella.operators.skew import running_sum
-
     rows = a.drop("sort_rank").withColumns({"_key": F.xxhash64(F.lit(seed), "match", "matchend"), "_one": F.lit(1).cast("long"), "_e": -F.col("matchend")})
     return result(running_sum(rows, ["corpus"], ["_key", "match", "_e"], "_one", "sort_rank").withColumn("sort_rank", F.col("sort_rank") - 1))
 

@@ -135,3 +135,11 @@ def containing(parents: DataFrame, inner: DataFrame) -> DataFrame:
     return result(parents).join(hit.select("corpus", F.col("_s").alias("match"), F.col("_e").alias("matchend")).distinct(), KEY, "left_semi").transform(result)
 
 
+
+
+def complement(tokens: DataFrame, a: DataFrame) -> DataFrame:
+    """All single positions of the corpora that ``a`` lacks; only for results of single positions."""
+    if a.filter("match <> matchend").limit(1).count():
+        raise ValueError("the complement is defined for single positions only")
+    all_ = tokens.select("corpus", F.col("cpos").alias("match"), F.col("cpos").alias("matchend"))
+    return difference(all_, a)

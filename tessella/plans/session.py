@@ -122,7 +122,7 @@ class Session:
 
     @staticmethod
     def _commands(text: str) -> list[str]:
-        out, quote, cur, depth = [], "", "", 0
+        out, quote, cur = [], "", ""
         for c in text:
             if quote:
                 quote = "" if c == quote else quote
@@ -134,11 +134,15 @@ class Session:
                 cur = ""
             else:
                 cur += c
-        del depth
         return [*out, cur.strip()] if cur.strip() else out
 
     def command(self, text: str):
         text = self.macros.expand(text)
+        parts = self._commands(text)
+        if len(parts) > 1:  # a macro may hold several commands; the last with a value gives it
+            values = [v for v in map(self.command, parts) if v is not None]
+            return values[-1] if values else None
+        text = parts[0] if parts else ""
         if m := re.fullmatch(r"([A-Za-z_][\w-]*)\s*=\s*(.+)", text, re.S):
             return self._keep(m[1], self._value(m[2]), self._mother_of(m[2]))
         word = re.match(r"\w*", text)[0]

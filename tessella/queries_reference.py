@@ -11,6 +11,7 @@ from tessella.functions import featuresets, scalar
 from tessella.functions.folding import fold
 from tessella.model import Corpus, result
 from tessella.operators import access, alignment, cooccur, display, frequency, intervals, refine, sequence
+from tessella.operators.aligner import align
 from tessella.plans.language import Parser, parse
 from tessella.session import cut
 
@@ -78,6 +79,12 @@ def _test(text: str) -> object:
     return Parser(text)._token().test
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    c = text_corpus(spark, d)
+    low, high = c.beads.agg(F.min(F.struct("source", "target")).alias("b")).select("b.*").first() or ("", "")
+    return align(c.only(low), c.only(high), "s", "text")
+
+
 NP = '[pos="D"]? [pos="A"]? [pos="N"] within s'
 NOUNS = '[pos="N"]'
 
@@ -167,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "align_translate": _with(lambda c: _iv(alignment.translate(_find(c, '[pos="X"]'), c.beads))),
     "align_filter": _with(lambda c: _iv(alignment.aligned_filter(_find(c, '[pos="X"]'), c.beads, _find(c, '[pos="C"]')))),
     "align_filter_not": _with(lambda c: _iv(alignment.aligned_filter(_find(c, '[pos="X"]'), c.beads, _find(c, '[pos="C"]'), True))),
+    "align_sentences": _sentences,
     "access_lexicon_ids": _with(lambda c: c.lexicon("lemma")),
     "access_sort_index": _with(lambda c: access.sort_index(c, "lemma")),
     "access_structures": _with(lambda c: access.cpos2struc(c, "s", list(range(0, 400, 7))).filter("struc is not null").drop("value")),

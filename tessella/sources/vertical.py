@@ -139,8 +139,8 @@ def import_regions(rows: DataFrame, satt: str, overlap: str = "strict") -> DataF
     by one at least as long, later ones that overlap are dropped.
     """
     if overlap == "strict":
-        w = Window.partitionBy("corpus", F.floor(F.col("start") / BLOCK)).orderBy("start")
-        bad = rows.withColumn("_before", F.lag("end").over(w)).filter("start > end or start <= _before").limit(1).collect()
+        follows = next_in_order(rows, ["corpus"], "start", F.col("start"), "_next")
+        bad = follows.filter("start > end or _next <= end").limit(1).collect()
         if bad:
             raise ValueError(f"region {bad[0]['start']}..{bad[0]['end']} is inverted or overlaps")
         kept = rows

@@ -260,9 +260,9 @@ def test_access(m1):
 
 def test_macros():
     m = Macros()
-    m.read("# c\nMACRO np(1)\n  [pos=\"D\"]? $0\n;\nMACRO two($0=a $1=b) /np[$0] $1;\n")
+    m.read("# c\nMACRO np(1)\n  [pos=\"D\"]? \"$0\"\n;\nMACRO two($0=a $1=b) /np[$0] \"$1\";\n")
     assert m.expand('/two["x", "y"] "/np[z]"').split() == '[pos="D"]? "x" "y" "/np[z]"'.split()
-    assert m.expand("/region[np]") == "<np> []* </np>"
+    assert m.expand("/region[np]") == "(<np> []* </np>)" and m.expand("/unify(f, a, b, c)") == "unify(a.f, unify(b.f, c.f))" and m.expand("/undef[a, b]") == "(ignore(~a) & ignore(~b))"
     m.define("loop", 0, "/loop[]")
     for bad in ("/loop[]", "/gone[1]", "/np[1"):
         with pytest.raises(MacroError):
@@ -281,9 +281,12 @@ def test_session(m1):
     assert [r.match for r in s.run("dump A").orderBy("line").collect()] == [6, 3, 8]
     assert pairs(s.run("cut A 1")) == [(6, 6)]
     assert s.run("group Last match pos").count() == 1 and s.run("tabulate B match word, match").count() == 2
-    s.run('set MatchingStrategy "longest"; define macro adj(1) \'[pos="A"]+ $0\'')
+    s.run('set MatchingStrategy "longest"; define macro adj(1) \'[pos="A"]+ [word="$0"]\'')
     assert pairs(s.run('/adj["dog"]')) == [(1, 3)]
     assert pairs(s.run("D = <np> []* </np>; D; [pos=\"N\"]")) == [(3, 3), (6, 6), (8, 8)]
+    s.run('set MatchingStrategy "standard"')
+    s.active = "M1"
+    assert {(r.source, r.target, r.freq) for r in s.run('/codist["dog|cat", pos]').collect()} == {("dog", "N", 1), ("cat", "N", 1)}
     assert "A" in s.run("show named") and s.run("info M1")["p_attributes"] == ["word", "pos"]
     s.run("discard A")
     with pytest.raises(QuerySyntaxError):
