@@ -120,12 +120,13 @@ def lexicon_export(corpus: Corpus, att: str, pattern: str | None = None, flags:
     if pattern is not None:
         types = types.filter(matches(F.col(att), pattern, flags))
     if lookup is not None:
-        names = corpus.tokens.select("corpus").distinct()
-        wanted = names.crossJoin(F.broadcast(lookup.select(F.col("item").alias(att)).distinct())) if keep_unknown else None
-        if wanted is None:
-            types = types.join(lookup.select(F.col("item").alias(att)).distinct(), att, "left_semi")
-        else:
+        items = lookup.select(F.col("item").alias(att)).distinct()
+        if keep_unknown:
+            names = corpus.tokens.agg(F.collect_set("corpus")).scalar()
+            wanted = items.withColumn("corpus", F.explode(names))
             types = wanted.join(types, ["corpus", att], "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long")))
+        else:
+            types = types.join(items, att, "left_semi")
     return types.select("corpus", att, "freq", F.octet_length(att).cast("long").alias("len"))
 
 

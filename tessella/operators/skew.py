@@ -190,8 +190,8 @@ def weighted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight
     each; all other keys have salt 0. ``how`` is inner or left.
     Null keys match nothing. The weight column is dropped.
     """
-    total = right.agg((F.sum(weight) / (4 * salts)).alias("_limit"))
-    flagged = right.crossJoin(F.broadcast(total)).withColumn("_heavy", F.col(weight) > F.col("_limit")).drop("_limit", weight)
+    limit = right.agg((F.sum(weight) / (4 * salts)).alias("_limit")).scalar()
+    flagged = right.withColumn("_heavy", F.coalesce(F.col(weight) > limit, F.lit(False))).drop(weight)
     heavy = flagged.filter("_heavy").select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_is"))
     on = None
     for i, k in enumerate(keys):

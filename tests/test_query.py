@@ -213,6 +213,9 @@ def test_frequencies(m1):
     assert {(r.s_0, r.freq) for r in frequency.scan(m1, ["s", "?np"]).collect()} == {("1", 6), ("2", 1)}
     assert frequency.scan(m1, ["word+0", "?word+1"], regular=True, start=0, end=8).count() == 7
     assert {(r.word, r.freq) for r in frequency.lexicon_export(m1, "word", "dogs?", "c").collect()} == {("dog", 1), ("Dogs", 1)}
+    look = m1.tokens.sparkSession.createDataFrame([("dog",), ("none",)], "item string")
+    assert {(r.word, r.freq) for r in frequency.lexicon_export(m1, "word", lookup=look, keep_unknown=True).collect()} == {("dog", 1), ("none", 0)}
+    assert {r.word for r in frequency.lexicon_export(m1, "word", lookup=look).collect()} == {"dog"}
     a = sequence.run(m1, parse(N))
     assert {(r.source, r.target, r.freq) for r in frequency.group(m1, a, "match", "word").collect()} == {("(all)", w, 1) for w in ("dog", "cat", "Dogs")}
     assert {(r.source, r.target, r.freq) for r in frequency.group(m1, a, "match", "pos", ("target", "word")).collect()} == {("(none)", "N", 3)}
