@@ -28,6 +28,7 @@ class Corpus:
     satts: tuple[str, ...]
     beads: DataFrame | None = None
     properties: dict[str, str] = field(default_factory=dict)
+    functions: dict[str, object] = field(default_factory=dict)  # dynamic attributes: names of functions from columns to a column
 
     @classmethod
     def build(cls, tokens: DataFrame, regions: DataFrame | None, patts: tuple[str, ...], satts: tuple[str, ...] = (), beads: DataFrame | None = None, properties: dict[str, str] | None = None) -> Corpus:

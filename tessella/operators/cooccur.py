@@ -16,7 +16,7 @@ WIDTH = 1024
 def positions(corpus: Corpus, tok: Tok, variables: dict | None = None) -> DataFrame:
     """(corpus, cpos) of the tokens that pass a test."""
     tokens = with_frequencies(corpus, [tok.test])
-    return tokens.filter(Compiler(corpus.patts, corpus.satts, variables).test(tok.test)).select("corpus", "cpos")
+    return tokens.filter(Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions).test(tok.test)).select("corpus", "cpos")
 
 
 def meet(a: DataFrame, b: DataFrame, lo: int, hi: int, compat_edge: bool = False) -> DataFrame:
@@ -76,7 +76,7 @@ def run_tab(corpus: Corpus, query: TABQuery, variables: dict | None = None) -> D
     """
     tokens = with_frequencies(corpus, [c.test for c in query.columns])
     tokens, bound, _ = _boundary(corpus, query.within, tokens)
-    compiler = Compiler(corpus.patts, corpus.satts, variables)
+    compiler = Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions)
     cols = [tokens.filter(compiler.test(c.test)).select("corpus", "cpos") for c in query.columns]
     here = tokens.filter(compiler.test(query.columns[0].test)).select("corpus", F.col("cpos").alias("match"), F.col("cpos").alias("matchend"), bound.alias("_bound")).filter("_bound is not null")
     for (lo, hi), col in zip(query.gaps, cols[1:], strict=True):

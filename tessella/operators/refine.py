@@ -59,7 +59,7 @@ def expand(corpus: Corpus, a: DataFrame, n: int = 1, satt: str | None = None, si
 
 def subset(corpus: Corpus, a: DataFrame, anchor: str, test: object, variables: dict | None = None) -> DataFrame:
     """Rows whose anchor's token passes the test; rows without the anchor go."""
-    hits = corpus.tokens.filter(Compiler(corpus.patts, corpus.satts, variables).test(test)).select(F.col("corpus").alias("_c"), F.col("cpos").alias("_p"))
+    hits = corpus.tokens.filter(Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions).test(test)).select(F.col("corpus").alias("_c"), F.col("cpos").alias("_p"))
     return result(a.join(hits, (F.col("corpus") == F.col("_c")) & (F.col(anchor) == F.col("_p")), "left_semi"))
 
 
@@ -98,7 +98,7 @@ def set_anchor_search(corpus: Corpus, a: DataFrame, to: str, which: str, test: o
         windows = windows.join(ends, "corpus", "left").withColumns({"_ls": _low(n), "_hs": _high(n)})
         windows = windows.join(regions.select("corpus", F.col("struc").alias("_ls"), F.col("start").alias("_lo")), ["corpus", "_ls"], "left")
         windows = windows.join(regions.select("corpus", F.col("struc").alias("_hs"), F.col("end").alias("_hi")), ["corpus", "_hs"], "left")
-    hits = corpus.tokens.filter(Compiler(corpus.patts, corpus.satts, variables).test(test)).select("corpus", F.col("cpos").alias("_p"))
+    hits = corpus.tokens.filter(Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions).test(test)).select("corpus", F.col("cpos").alias("_p"))
     spans = windows.filter("_lo <= _hi").select("corpus", F.col("_row").alias("_r"), F.greatest(F.col("_lo"), F.lit(0)).alias("_lo"), "_hi", lo_base.alias("_base"), hi_base.alias("_far")).distinct()
     found = point_in_interval(hits, "_p", spans, "_lo", "_hi")
     if not inclusive:

@@ -238,7 +238,7 @@ def _leads(corpus: Corpus, query: Query, plan: Plan, variables: dict, strategy:
         return None
     tokens = with_frequencies(corpus, [s.test for s in plan.symbols])
     tokens, bound, _ = _boundary(corpus, query.within, tokens)
-    compiler = Compiler(corpus.patts, corpus.satts, variables)
+    compiler = Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions)
     rows = tokens.select("corpus", "cpos", bound.alias("_bound"), *[compiler.test(s.test).alias(f"t{i}") for i, s in enumerate(plan.symbols)])
     width = max(map(len, words))
     blocks = _halo(rows, width) if width > 1 else rows.withColumns({"_block": F.lit(0), "_own": F.lit(True)})
@@ -277,7 +277,7 @@ def _automaton(corpus: Corpus, query: Query, plan: Plan, variables: dict, strate
     tests = [s.test for s in symbols if isinstance(s, Tok)] + [query.constraint]
     tokens = with_frequencies(corpus, tests)
     tokens, bound, words = _boundary(corpus, query.within, tokens)
-    compiler = Compiler(corpus.patts, satts, variables)
+    compiler = Compiler(corpus.patts, satts, variables, functions=corpus.functions)
     bits, bound_in_task = [], set()
     for i, s in enumerate(symbols):
         if isinstance(s, Tok) and (s.test is None or _free(s.test, corpus)):

@@ -72,6 +72,13 @@ def test_queries(m1, text, want):
     assert ask(m1, text) == want
 
 
+def test_dynamic_attributes(m1):
+    from dataclasses import replace
+
+    c = replace(m1, functions={"tail": lambda x, n: F.right(x, n.cast("int"))})
+    assert ask(c, '[tail(word, 2) = "og"] | [tail(word, 1) = "s"]') == [(3, 3), (8, 8)]
+
+
 def test_targets_and_errors(m1):
     rows = sequence.run(m1, parse(f'[pos="D"] @[pos="A"] @1[] {N}')).collect()
     assert [(r.match, r.target, r.keyword) for r in rows] == [(0, 1, 2)]
