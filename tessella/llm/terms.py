@@ -45,6 +45,7 @@ def counted_entries(text_terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     out, as are rows with a null corpus or text_id.
     """
     cols = ["corpus", "text_id", "id", "name", "freq"]
+    text_terms = text_terms.withColumn("name", F.when(F.col("id").isNull(), F.col("name")))  # else it isn't needed: don't shuffle it
     with_id = text_terms.filter("entry_id is not null").groupBy("entry_id").agg(F.max_by(F.struct(*cols), F.struct("loaded_at", *cols)).alias("r")).select("r.*")
     held = with_id.unionByName(text_terms.filter("entry_id is null").select(cols))
     return resolve(held.filter("freq >= 1 and corpus is not null and text_id is not null"), lexicon, "word").select("corpus", "text_id", "id", "freq")
@@ -145,10 +146,11 @@ def distinctiveness(text_terms: DataFrame, lexicon: DataFrame, mu: float = 2000.
     """
     entries = cut(counted_entries(text_terms, lexicon).groupBy("corpus", "text_id", "id").agg(F.sum("freq").alias("freq")), "text-terms")
     stats = entries.groupBy("corpus", "id").agg(F.sum("freq").alias("cf"), F.count("*").alias("df"))
-    totals = entries.groupBy("corpus", "text_id").agg(F.sum("freq").alias("length"))
+    totals = entries.groupBy("corpus", "text_id").agg(F.sum("freq").alias("length"), F.count("*").alias("w"))
     corpora = totals.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
-    stats = stats.join(corpora, "corpus").withColumn("w", F.col("df"))
-    lengths = totals.join(entries.groupBy("corpus", "text_id").agg(F.count("*").alias("w")), ["corpus", "text_id"])
+    # each is read three times by the joins below
+    stats = cut(stats.join(corpora, "corpus").withColumn("w", F.col("df")), "term-statistics")
+    lengths = cut(totals, "text-lengths")
     scored = weighted_join(weighted_join(entries, stats.filter(F.col("df") >= min_df), ["corpus", "id"], "w", ["text_id"]), lengths, ["corpus", "text_id"], "w", ["id"])
     q = F.col("cf") / F.col("total")
     p = (F.col("freq") + mu * q) / (F.col("length") + mu)
