@@ -433,6 +433,14 @@ def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
     every = found.select("doc_id").distinct().join(maps, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple[str, ...], Rules] = {}
+
+        def rules_for(names: set[str]) -> Rules:
+            key = tuple(sorted(names))
+            if key not in made:
+                made[key] = Rules(list(key))
+            return made[key]
+
         for b in batches:
             out = []
             for doc, text, maps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -444,7 +452,7 @@ def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
                 single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped"}
                 if single:
                     main = max((n for n in often if not n.startswith("utf-8>") and n != "stripped"), key=lambda n: (often[n], n))
-                    back = Rules([main]).back.get(main, {}) if often[main] >= 5 else {}
+                    back = rules_for({main}).back.get(main, {}) if often[main] >= 5 else {}
 
                     def fix(m: re.Match, single: dict = single, back: dict = back) -> str:
                         """By the mapping; in a document garbled throughout also words that it lacks and that are none as they stand."""
@@ -457,7 +465,7 @@ def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
                     text = WORD.sub(fix, text)
                 if runs:
                     text = RUN.sub(lambda m: runs.get(m.group(), m.group()), text)
-                    rules = Rules(list({m["rule"] for m in maps if m["rule"].startswith("utf-8>")}))
+                    rules = rules_for({m["rule"] for m in maps if m["rule"].startswith("utf-8>")})
                     usual = frozenset(c for v in runs.values() for c in v)
                     for _ in range(3):  # garbled repeatedly
                         again = RUN.sub(lambda m: (rules.undo_multi(m.group(), usual | frozenset(_LATIN)) or (m.group(),))[0] if any(c in "ÃÂâ" for c in m.group()) else m.group(), text)
