@@ -30,51 +30,74 @@ class Features:
     split: float = 1.2
 
 
-def shared_words(source: Corpus, target: Corpus, att: str, threshold: float) -> DataFrame:
-    """(w): words of both corpora, each side with at least ``threshold`` of their joint frequency."""
-    a = source.tokens.filter(F.col(att).isNotNull()).groupBy(F.col(att).alias("w")).agg(F.count("*").alias("a"))
-    b = target.tokens.filter(F.col(att).isNotNull()).groupBy(F.col(att).alias("w")).agg(F.count("*").alias("b"))
+def shared_words(source: Corpus, target: Corpus, pairs: DataFrame, att: str, threshold: float) -> DataFrame:
+    """(source, target, w): words of both corpora of a pair, each side with at least ``threshold`` of their joint frequency."""
+    a = source.tokens.filter(F.col(att).isNotNull()).groupBy(F.col("corpus").alias("source"), F.col(att).alias("w")).agg(F.count("*").alias("a"))
+    b = target.tokens.filter(F.col(att).isNotNull()).groupBy(F.col("corpus").alias("target"), F.col(att).alias("w")).agg(F.count("*").alias("b"))
     least = F.least("a", "b") / (F.col("a") + F.col("b"))
-    return a.join(b, "w").filter(least >= threshold).select("w", F.lit(True).alias("shared"))
+    return a.join(pairs, "source").join(b, ["target", "w"]).filter(least >= threshold).select("source", "target", "w", F.lit(True).alias("shared"))
 
 
-def _sentences(c: Corpus, satt: str, pre: str, att: str, marks: list[DataFrame], by: str) -> DataFrame:
+def _keys(c: Corpus, side: str, pre: str, by: str) -> DataFrame:
+    """(side, key): what pre-aligns the regions of ``pre``."""
+    rows = c.regions.filter(F.col("satt") == pre)
+    first = rows.groupBy("corpus").agg(F.min("struc").alias("_first"))
+    key = F.col("value") if by == "value" else (F.col("struc") - F.col("_first")).cast("string")
+    return rows.join(first, "corpus").select(F.col("corpus").alias(side), key.alias("key")).filter("key is not null").distinct()
+
+
+def _sentences(c: Corpus, side: str, keys: DataFrame, satt: str, pre: str, att: str, marks: list[tuple[DataFrame, list[str]]], by: str) -> DataFrame:
+    """The words of one side of every pair, in regions that the other side has as well; a corpus in several pairs comes once for each."""
     first = c.regions.filter(F.col("satt") == pre).groupBy("corpus").agg(F.min("struc").alias("_first"))
     key = F.col(f"{pre}_value") if by == "value" else (F.col(f"{pre}_id") - F.col("_first")).cast("string")
     rows = c.tokens.join(first, "corpus").filter(F.col(f"{satt}_id").isNotNull() & F.col(f"{pre}_id").isNotNull())
-    rows = rows.select("corpus", key.alias("key"), "cpos", F.col(f"{satt}_start").alias("s"), F.col(f"{satt}_end").alias("e"), F.coalesce(att, F.lit("")).alias("w"))
-    for m in marks:
-        rows = rows.join(m, "w", "left")
-    return rows.filter("key is not null")
+    rows = rows.select(F.col("corpus").alias(side), key.alias("key"), "cpos", F.col(f"{satt}_start").alias("s"), F.col(f"{satt}_end").alias("e"), F.coalesce(att, F.lit("")).alias("w"))
+    rows = rows.join(keys, [side, "key"])
+    for m, on in marks:
+        rows = rows.join(m, on, "left")
+    return rows
 
 
-def align(source: Corpus, target: Corpus, satt: str = "s", pre: str = "text", by: str = "ordinal", att: str = "word", features: Features = Features(), word_list: DataFrame | None = None) -> DataFrame:  # noqa: B008
+def align(source: Corpus, target: Corpus, satt: str = "s", pre: str = "text", by: str = "ordinal", att: str = "word", features: Features = Features(), word_list: DataFrame | None = None, corpora: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Beads of sentences: (source, target, s1, s2, t1, t2, kind, quality), an empty side ending before it starts.
 
-    Both hold one corpus. Regions of ``pre`` with the same number or value are pre-aligned; each pair is one group, in
+    Every pair of ``corpora`` (source, target) is aligned by itself; without it, each corpus of
+    ``source`` with each of ``target``. Regions of ``pre`` with the same number or value are pre-aligned; each pair of them is one group, in
     which the best path over 1:0, 0:1, 1:1, 2:1, 1:2 and 2:2 steps is found in a beam of diagonals. A
     2:2 bead no better than ``split`` times the two 1:1 beads in it is split.
     ``word_list`` (source, target) adds bilingual pairs. Regions on one side only give no beads.
     """
     f = features
-    shared = cut(shared_words(source, target, att, f.threshold), "shared-words")
-    marks_s, marks_t = [shared], [shared.select(F.col("w").alias("_w"), F.col("shared").alias("_s")).toDF("w", "shared")]
+    if corpora is None:
+        corpora = source.tokens.select(F.col("corpus").alias("source")).distinct().crossJoin(target.tokens.select(F.col("corpus").alias("target")).distinct())
+    corpora = cut(corpora.select("source", "target").distinct(), "corpus-pairs")
+    both = ["source", "target", "w"]
+    shared = cut(shared_words(source, target, corpora, att, f.threshold), "shared-words")
+    marks_s, marks_t = [(shared, both)], [(shared.select(*[F.col(c).alias(c) for c in shared.columns]), both)]
     pairs = word_list is not None and f.pairs > 0
     if pairs:
         listed = word_list.select("source", "target").distinct().withColumn("pair", F.concat_ws("\u0001", "source", "target"))
-        marks_s.append(listed.groupBy(F.col("source").alias("w")).agg(F.collect_set("pair").alias("pairs")))
-        marks_t.append(listed.groupBy(F.col("target").alias("w")).agg(F.collect_set("pair").alias("pairs")))
-    a = _sentences(source, satt, pre, att, marks_s, by)
-    b = cut(_sentences(target, satt, pre, att, marks_t, by), "sentences")  # both may come from one table
+        marks_s.append((listed.groupBy(F.col("source").alias("w")).agg(F.collect_set("pair").alias("pairs")), ["w"]))
+        marks_t.append((listed.groupBy(F.col("target").alias("w")).agg(F.collect_set("pair").alias("pairs")), ["w"]))
+    keys = cut(_keys(source, "source", pre, by).join(corpora, "source").join(_keys(target, "target", pre, by), ["target", "key"]), "aligned-regions")
+    a = _sentences(source, "source", keys, satt, pre, att, marks_s, by)
+    b = cut(_sentences(target, "target", keys, satt, pre, att, marks_t, by), "sentences")  # both may come from one table
 
     def group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=["source", "target", "s1", "s2", "t1", "t2", "kind", "quality"])
         x, y = _bags(left, f, pairs), _bags(right, f, pairs)
-        rows = [(left["corpus"].iloc[0], right["corpus"].iloc[0], *r) for r in _beads(x, y, f)]
+        rows = [(left["source"].iloc[0], left["target"].iloc[0], *r) for r in _beads(x, y, f)]
         return pd.DataFrame(rows, columns=["source", "target", "s1", "s2", "t1", "t2", "kind", "quality"])
 
-    return a.groupBy("key").cogroup(b.groupBy("key")).applyInPandas(lambda left, right: group(left, right), BEADS)
+    on = ["source", "target", "key"]
+    return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(lambda left, right: group(left, right), BEADS)
+
+
+@lru_cache(maxsize=100_000)
+def _grams(word: str, ngrams: tuple[tuple[int, int], ...]) -> list[tuple[int, str, int]]:
+    folded = fold_text(word, "cd")
+    return [(n, folded[k : k + n], weight) for n, weight in ngrams for k in range(len(folded) - n + 1)]
 
 
 def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int, int, Counter]]:
@@ -89,10 +112,8 @@ def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int,
             chars += len(w)
             if shared is True or shared == True and not pd.isna(shared):  # noqa: E712
                 bag["w", w, f.shared] += 1
-            for n, weight in f.ngrams:
-                folded = fold_text(w, "cd")
-                for k in range(len(folded) - n + 1):
-                    bag[n, folded[k : k + n], weight] += 1
+            for k in _grams(w, f.ngrams):
+                bag[k] += 1
             if listed is not None and not isinstance(listed, float):
                 for p in listed:
                     bag["p", p, f.pairs] += 1
@@ -101,13 +122,23 @@ def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int,
 
 
 def _beads(x: list, y: list, f: Features) -> list[tuple]:
+    # features on one side only add nothing; the others are numbered
+    there = set().union(*(b[3] for b in x)) & set().union(*(b[3] for b in y))
+    ids = {k: i for i, k in enumerate(there)}
+    weight = [k[2] for k in ids]
+
+    def spans(side: list) -> dict[int, list[tuple[int, dict[int, int]]]]:
+        """(characters, features) of each sentence and of each two in a row."""
+        one = [(b[2], {ids[k]: c for k, c in b[3].items() if k in ids}) for b in side]
+        two = [(p + q, {k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()}) for (p, a), (q, b) in zip(one, one[1:])]  # noqa: B905
+        return {1: one, 2: two}
+
+    xs, ys = spans(x), spans(y)
+
     @lru_cache(maxsize=None)
     def like(i: int, di: int, j: int, dj: int) -> int:
-        left = sum((b[3] for b in x[i : i + di]), Counter())
-        right = sum((b[3] for b in y[j : j + dj]), Counter())
-        chars = min(sum(b[2] for b in x[i : i + di]), sum(b[2] for b in y[j : j + dj]))
-        small, large = (left, right) if len(left) <= len(right) else (right, left)
-        return f.characters * chars + sum(min(n, large[k]) * k[2] for k, n in small.items() if k in large)
+        (p, left), (q, right) = xs[di][i], ys[dj][j]
+        return f.characters * min(p, q) + sum(min(left[k], right[k]) * weight[k] for k in left.keys() & right.keys())
 
     m, n = len(x), len(y)
     best: dict[tuple[int, int], tuple[int, int, int]] = {(0, 0): (1, 0, 0)}

@@ -81,8 +81,7 @@ def _test(text: str) -> object:
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
     c = text_corpus(spark, d)
-    low, high = c.beads.agg(F.min(F.struct("source", "target")).alias("b")).select("b.*").first() or ("", "")
-    return align(c.only(low), c.only(high), "s", "text")
+    return align(c, c, "s", "text", corpora=c.beads)
 
 
 NP = '[pos="D"]? [pos="A"]? [pos="N"] within s'

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tessella.model import Corpus
 from tessella.operators.aligner import Features, align
+from tessella.queries_reference import QUERIES
 from tessella.streaming.events import live_ngrams, windowed_counts
 
 
@@ -31,6 +32,25 @@ def test_align(spark):
     assert {r.kind for r in align(lone, b).collect()} <= {"1:1", "0:1", "1:0", "2:1", "1:2", "2:2"}
 
 
+def test_align_every_pair(spark):
+    texts = {"A": [["alpha beta gamma".split(), "delta epsilon".split()]], "B": [["alpha beta gamma".split(), "delta epsilon".split()], [["kappa"]]], "C": [["alpha beta gamma delta epsilon".split()], [["kappa"]]]}
+    c = [build(spark, k, t) for k, t in texts.items()]
+    every = Corpus(c[0].tokens.union(c[1].tokens).union(c[2].tokens), c[0].regions.union(c[1].regions).union(c[2].regions), ("word",), ("s", "text"))
+    pairs = spark.createDataFrame([("A", "B"), ("B", "C"), ("B", "C")], "source string, target string")
+    got = {tuple(r) for r in align(every, every, corpora=pairs).collect()}
+    assert got == {tuple(r) for x, y in ((c[0], c[1]), (c[1], c[2])) for r in align(x, y).collect()}
+    assert {(r[0], r[1]) for r in got} == {("A", "B"), ("B", "C")} and ("B", "C", 5, 5, 5, 5, "1:1") in {r[:7] for r in got}
+
+
+def test_sentences_of_all_neighbours(spark, tmp_path):
+    tokens = [(k, n, f"word{n}", "N", f"word{n}") for k in ("K1", "K2", "K3") for n in range(4)]
+    regions = [(k, "s", s, 2 * s, 2 * s + 1, None) for k in ("K1", "K2", "K3") for s in range(2)] + [(k, "text", 0, 0, 3, "t") for k in ("K1", "K2", "K3")]
+    spark.createDataFrame(tokens, "corpus string, cpos bigint, word string, pos string, lemma string").write.parquet(str(tmp_path / "tokens.parquet"))
+    spark.createDataFrame(regions, "corpus string, satt string, struc bigint, start_cpos bigint, end_cpos bigint, region_value string").write.parquet(str(tmp_path / "regions.parquet"))
+    got = {tuple(r)[:7] for r in QUERIES["align_sentences"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b, 2 * s, 2 * s + 1, 2 * s, 2 * s + 1, "1:1") for a, b in (("K1", "K2"), ("K2", "K3")) for s in range(2)}
+
+
 def test_stream_extensions(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{i:02d}:00", "view" if i % 2 else "click", 1.0) for i in range(50)]
     events = spark.createDataFrame(rows, "event_id bigint, t string, event_type string, value double").select("event_id", F.col("t").cast("timestamp").alias("ts"), "event_type", "value")
