@@ -64,11 +64,19 @@ def cpos2id(c: Corpus, att: str, cpos: list[int]) -> DataFrame:
     return cpos2str(c, att, cpos).join(c.lexicon(att), ["corpus", att]).select("corpus", "cpos", "id")
 
 
-def cpos2struc(c: Corpus, satt: str, cpos: list[int]) -> DataFrame:
-    """(corpus, cpos, struc, lbound, rbound, value, flags): 1 at a region's start, 2 at its end, 4 inside."""
+def cpos2struc(c: Corpus, satt: str, cpos: list[int] | DataFrame | None = None) -> DataFrame:
+    """(corpus, cpos, struc, lbound, rbound, value, flags): 1 at a region's start, 2 at its end, 4 inside.
+
+    ``cpos`` lists positions of each corpus, or is a table (corpus, cpos); without it, all positions come out.
+    """
     s, e = F.col(f"{satt}_start"), F.col(f"{satt}_end")
     flags = 4 + (F.col("cpos") == s).cast("long") + 2 * (F.col("cpos") == e).cast("long")
-    rows = c.tokens.filter(F.col("cpos").isin(cpos))
+    if cpos is None:
+        rows = c.tokens
+    elif isinstance(cpos, DataFrame):
+        rows = c.tokens.join(cpos.select("corpus", "cpos"), ["corpus", "cpos"], "left_semi")
+    else:
+        rows = c.tokens.filter(F.col("cpos").isin(cpos))
     return rows.select("corpus", "cpos", F.col(f"{satt}_id").alias("struc"), s.alias("lbound"), e.alias("rbound"), F.col(f"{satt}_value").alias("value"), flags.alias("flags"))
 
 

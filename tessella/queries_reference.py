@@ -177,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "access_lexicon_ids": _with(lambda c: c.lexicon("lemma")),
     "access_sort_index": _with(lambda c: access.sort_index(c, "lemma")),
     "access_structures": _with(lambda c: access.cpos2struc(c, "s", list(range(0, 400, 7))).filter("struc is not null").drop("value")),
+    "access_structures_all": _with(lambda c: access.cpos2struc(c, "s").filter("struc is not null").drop("value")),
     "feature_sets": _features,
     "scalar_functions": _scalars,
     "fold_case": lambda spark, d: spark.read.parquet(f"{d}/tokens.parquet").filter("word is not null").select(fold(F.col("word"), "d").alias("folded")).groupBy("folded").count().select("folded", F.col("count").alias("n")),
@@ -295,6 +296,7 @@ SQL: dict[str, str] = {
     "access_lexicon_ids": T + "select corpus, row_number() over (partition by corpus order by first) - 1 as id, lemma, freq from (select corpus, lemma, min(cpos) as first, count(*) as freq from t group by 1, 2)",
     "access_sort_index": T + "select corpus, row_number() over (partition by corpus order by lemma) - 1 as rank, id from (select corpus, lemma, row_number() over (partition by corpus order by min(cpos)) - 1 as id from t group by 1, 2)",
     "access_structures": T + "select corpus, cpos, s_id as struc, s_start as lbound, s_end as rbound, 4 + (cpos = s_start)::bigint + 2 * (cpos = s_end)::bigint as flags from t where cpos < 400 and cpos % 7 = 0 and s_id is not null",
+    "access_structures_all": T + "select corpus, cpos, s_id as struc, s_start as lbound, s_end as rbound, 4 + (cpos = s_start)::bigint + 2 * (cpos = s_end)::bigint as flags from t where s_id is not null",
     "feature_sets": """with s as (select corpus, text_id, list_sort(list(distinct id::varchar)) as x from region_items where id is not null group by 1, 2)
         select corpus, text_id, len(x) as n, case when len(y) > 0 then '|' || array_to_string(y, '|') || '|' else '|' end as common, len(y) as k
         from (select *, list_filter(x, lambda e: e in ('3000', '3001', '3002', '3003', '3004')) as y from s)""",

@@ -268,6 +268,13 @@ def test_access(m1):
     assert [r.cpos for r in access.positions_in_order(m1, "word", ".").collect()] == [7, 11]
 
 
+def test_access_by_table_and_all(spark, m1):
+    some = spark.createDataFrame([("M1", 7), ("M1", 8), ("M1", 8), ("M2", 9), ("M1", 99)], "corpus string, cpos bigint").withColumn("word", F.lit("own"))
+    assert sorted(tuple(r)[1:] for r in access.cpos2struc(m1, "s", some).collect()) == [(7, 0, 0, 7, "1", 6), (8, 1, 8, 11, "2", 5)]
+    every = access.cpos2struc(m1, "s").collect()
+    assert sorted(r.cpos for r in every) == list(range(12)) and {r.cpos for r in every if r.flags == 6} == {7, 11}
+
+
 def test_macros():
     m = Macros()
     m.read("# c\nMACRO np(1)\n  [pos=\"D\"]? \"$0\"\n;\nMACRO two($0=a $1=b) /np[$0] \"$1\";\n")
