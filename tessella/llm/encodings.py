@@ -135,6 +135,25 @@ class Rules:
                     best = ((found, -left), restored, n)
         return best and (best[1], best[2])
 
+    def remains(self, run: str, names: set[str], alphabet: frozenset[str]) -> bool:
+        """A run of UTF-8 sequences that give letters of European scripts, as none is left but where ``undo_multi`` had to stop."""
+        for n in names & self.read.keys():
+            hits = list(UTF8.finditer(run.translate(self.read[n])))
+            # lines of boxes hold such sequences by chance; their first characters are no letters
+            covered = sum(m.end() - m.start() for m in hits) == len(run)
+            for m in hits:
+                c = m.group().encode("latin-1").decode("utf-8", "replace")
+                if (covered or run[m.start()].isalpha()) and ("\u00c0" <= c <= "\u017f" or "\u0386" <= c <= "\u045f" or c in alphabet):
+                    return True
+        return False
+
+    def leftover(self, run: str, restored: str, n: str) -> set[str]:
+        """First bytes' characters that ``undo_multi`` left in the run, as the others were stripped."""
+        leads = {run[m.start()] for m in UTF8.finditer(run.translate(self.read[n]))}
+        rest = Counter(restored)
+        rest.subtract(m.group().encode("latin-1").decode("utf-8", "replace") for m in UTF8.finditer(run.translate(self.read[n])))
+        return {c for c in leads if rest[c] > 0}
+
     def undo_single(self, word: str, alphabet: frozenset[str]) -> list[tuple[str, str]]:
         """(restored word, rule) for each rule whose inverse gives usual characters that make a word."""
         high = {c for c in word if c > "\x7f"}
@@ -423,12 +442,29 @@ def garbled_documents(documents: DataFrame, **options) -> DataFrame:
 RESTORED = "doc_id bigint, restored string, whole boolean"
 
 
-def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every document: its non-ASCII characters, as ``_terms`` counts them; counted ahead."""
+    chars: Counter = Counter()
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            chars[""] += 1
+            if not raw.isascii() or "&" in raw:
+                chars.update(c for c in set(plain(raw)) if c > "\x7f")
+    if chars:
+        n = len(chars)
+        yield pa.RecordBatch.from_arrays([pa.array(["c"] * n), pa.array([0] * n, pa.int64()), pa.array(chars.keys(), pa.string()), pa.array(chars.values(), pa.int64())], names=["kind", "key", "text", "n"])
+
+
+def restore(documents: DataFrame, found: DataFrame, usual: float = 0.0005) -> DataFrame:
     """(doc_id, restored, whole): garbled documents with every mapping of ``found`` applied to their text, as often as was garbled.
 
-    whole is false where characters remain that can't be had back. A document's
+    What a mapping gives is undone again until nothing changes, with the collection's
+    alphabet (``usual`` as in ``find_garbled``). whole is false where characters
+    remain that can't be had back, or a run that is garbled still. A document's
     mappings are no more than its own words.
     """
+    counted = documents.filter("text is not null and doc_id is not null").select("text").mapInArrow(_characters, TERMS)
+    alphabet = _alphabet(counted.groupBy("kind", "key", "text").agg(F.sum("n").alias("n")), usual) | frozenset(_LATIN)
     maps = found.filter("clean <> ''").groupBy("doc_id").agg(F.collect_set(F.struct("word", "clean", "rule")).alias("maps"))
     every = found.select("doc_id").distinct().join(maps, "doc_id", "left")
 
@@ -463,16 +499,33 @@ def restore(documents: DataFrame, found: DataFrame) -> DataFrame:
                         return u if _wordlike(u) else w
 
                     text = WORD.sub(fix, text)
+                torn = False
                 if runs:
-                    text = RUN.sub(lambda m: runs.get(m.group(), m.group()), text)
-                    rules = rules_for({m["rule"] for m in maps if m["rule"].startswith("utf-8>")})
-                    usual = frozenset(c for v in runs.values() for c in v)
-                    for _ in range(3):  # garbled repeatedly
-                        again = RUN.sub(lambda m: (rules.undo_multi(m.group(), usual | frozenset(_LATIN)) or (m.group(),))[0] if any(c in "ÃÂâ" for c in m.group()) else m.group(), text)
-                        if again == text:
-                            break
-                        text = again
-                out.append((doc, text, not guess and MARK not in text))
+                    names = {m["rule"] for m in maps if m["rule"].startswith("utf-8>")}
+                    rules = rules_for(names)
+                    usual_here = alphabet | frozenset(c for v in runs.values() for c in v)
+                    # runs that were judged as they stand; all others came of undoing
+                    settled = set(RUN.findall(text)) - runs.keys()
+                    lost: set[str] = set()
+                    for m in maps:
+                        if m["rule"] in names:
+                            lost |= rules.leftover(m["word"], m["clean"], m["rule"])
+                    text = RUN.sub(lambda m, runs=runs: runs.get(m.group(), m.group()), text)
+
+                    def again(m: re.Match, rules: Rules = rules, usual: frozenset = usual_here, settled: set = settled, lost: set = lost, names: set = names) -> str:
+                        r = m.group()
+                        if len(r) < 2 or (r in settled and not any(c in "ÃÂâ" for c in r)):
+                            return r
+                        if hit := rules.undo_multi(r, usual):
+                            lost |= rules.leftover(r, *hit)
+                            names.add(hit[1])
+                            return hit[0]
+                        return r
+
+                    while (more := RUN.sub(again, text)) != text:  # garbled repeatedly; each undoing shortens a run
+                        text = more
+                    torn = any(set(r) & lost or rules.remains(r, names, usual_here) for r in set(RUN.findall(text)) - settled)
+                out.append((doc, text, not guess and not torn and MARK not in text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["doc_id", "restored", "whole"])
 

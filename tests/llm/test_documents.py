@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessella.llm.encodings import Rules, find_garbled, garbled_documents, restore
+from tessella.llm.encodings import RUN, Rules, find_garbled, garbled_documents, restore
 from tessella.llm.leaks import Automaton, find_leaks, mask, remove_leaks, words
 from tessella.llm.mixing import _queue, count_tokens, mix, shares
 
@@ -129,6 +129,30 @@ def test_garbled(spark):
     assert garbled_documents(df.limit(0)).collect() == []
 
 
+def test_restores_what_was_garbled_repeatedly(spark):
+    russian, greek = "Он вышел из дома, и снег всё ещё шёл над городом.", "Η θάλασσα ήταν ήσυχη και το πλοίο έφυγε νωρίς."
+    rows = [(k, (russian, greek, BASE[0])[k % 3] + f" Part {k // 3} of the long book, told again.") for k in range(30)]
+    cases = {}
+    for k, (text, read, times) in enumerate([(russian, "latin-1", 1), (russian, "latin-1", 2), (greek, "latin-1", 2), (russian, "latin-1", 3), (BASE[0], "latin-1", 4), (BASE[0], "latin-1", 5)]):
+        clean = text + f" Part {k} of the long book, told again."
+        bad = clean
+        for _ in range(times):
+            bad = garble(bad, "utf-8", read)
+        cases[100 + k] = (bad, clean)
+    df = spark.createDataFrame(rows + [(k, t) for k, (t, _) in cases.items()], DOCS)
+    maps = [(k, r, Rules(["utf-8>latin-1"]).undo_multi(r, frozenset(map(chr, range(128, 0x600)))), "utf-8>latin-1") for k, (t, _) in cases.items() for r in set(RUN.findall(t)) if len(r) > 1]
+    found = spark.createDataFrame([(k, r, hit[0], hit[1]) for k, r, hit, _ in maps if hit], "doc_id bigint, word string, clean string, rule string")
+    got = {r.doc_id: (r.restored, r.whole) for r in restore(df, found).collect()}
+    assert got == {k: (clean, True) for k, (_, clean) in cases.items()}
+
+
+def test_whole_is_false_where_a_run_stays_garbled(spark):
+    text = "Der " + garble("früh", "utf-8", "latin-1") + " und " + garble(garble("ŵ", "utf-8", "latin-1"), "utf-8", "latin-1") + " hier."
+    df = spark.createDataFrame([(1, text)], DOCS)
+    found = spark.createDataFrame([(1, "Ã¼", "ü", "utf-8>latin-1"), (1, "Ã\x85Âµ", "Å\xb5", "utf-8>latin-1")], "doc_id bigint, word string, clean string, rule string")
+    assert [tuple(r) for r in restore(df, found).collect()] == [(1, "Der früh und Åµ hier.", False)]
+
+
 def test_rules_undo_what_they_do():
     rules = Rules()
     for n in rules.multi:
