@@ -442,6 +442,17 @@ def garbled_documents(documents: DataFrame, **options) -> DataFrame:
 RESTORED = "doc_id bigint, restored string, whole boolean"
 
 
+def _controls(run: str, marks: dict[str, str], multi: bool) -> str:
+    """The run with its C1 controls as they were written, but for those that belong to what is left of a UTF-8 sequence."""
+
+    def put(m: re.Match) -> str:
+        kept = UTF8.match(m.group()) or m.group()[:2] == "â\x80" or (multi and "Â" <= m.group()[0] <= "ô")
+        return m.group() if kept else m.group().translate(table)
+
+    table = str.maketrans(marks)
+    return re.sub("[\xc2-\xf4][\x80-\xbf]+|[\x80-\x9f]+", put, run)
+
+
 def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of every document: its non-ASCII characters, as ``_terms`` counts them; counted ahead."""
     chars: Counter = Counter()
@@ -460,7 +471,7 @@ def restore(documents: DataFrame, found: DataFrame, usual: float = 0.0005) -> Da
 
     What a mapping gives is undone again until nothing changes, with the collection's
     alphabet (``usual`` as in ``find_garbled``). whole is false where characters
-    remain that can't be had back, or a run that is garbled still. A document's
+    remain that can't be had back, a C1 control among them, or a run that is garbled still. A document's
     mappings are no more than its own words.
     """
     counted = documents.filter("text is not null and doc_id is not null").select("text").mapInArrow(_characters, TERMS)
@@ -484,10 +495,11 @@ def restore(documents: DataFrame, found: DataFrame, usual: float = 0.0005) -> Da
                 guess = any(m["rule"] == "stripped" for m in maps or ())
                 runs = {m["word"]: m["clean"] for m in maps or () if m["rule"].startswith("utf-8>")}
                 often = Counter(m["rule"] for m in maps or ())
+                marks = {m["word"]: m["clean"] for m in maps or () if m["rule"] == "cp1252>latin-1" and C1.fullmatch(m["word"])}
                 # where rules disagree on a word, the one with most words in the document holds
-                single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped"}
+                single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped" and m["word"] not in marks}
                 if single:
-                    main = max((n for n in often if not n.startswith("utf-8>") and n != "stripped"), key=lambda n: (often[n], n))
+                    main = max((n for n in often if not n.startswith("utf-8>") and n not in ("stripped", "cp1252>latin-1")), key=lambda n: (often[n], n))
                     back = rules_for({main}).back.get(main, {}) if often[main] >= 5 else {}
 
                     def fix(m: re.Match, single: dict = single, back: dict = back) -> str:
@@ -525,6 +537,10 @@ def restore(documents: DataFrame, found: DataFrame, usual: float = 0.0005) -> Da
                     while (more := RUN.sub(again, text)) != text:  # garbled repeatedly; each undoing shortens a run
                         text = more
                     torn = any(set(r) & lost or rules.remains(r, names, usual_here) for r in set(RUN.findall(text)) - settled)
+                if C1.search(text):
+                    # controls within or after the first byte of a UTF-8 sequence aren't characters of their own
+                    text = RUN.sub(lambda m, marks=marks, multi=bool(runs): _controls(m.group(), marks, multi), text)
+                    torn = torn or bool(C1.search(text))
                 out.append((doc, text, not guess and not torn and MARK not in text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["doc_id", "restored", "whole"])

@@ -153,6 +153,13 @@ def test_whole_is_false_where_a_run_stays_garbled(spark):
     assert [tuple(r) for r in restore(df, found).collect()] == [(1, "Der früh und Åµ hier.", False)]
 
 
+def test_controls_within_words_are_restored(spark):
+    texts = {1: ("\x93Hello\x94 he said, don\x92t.", "“Hello” he said, don’t.", True), 2: ("A \x81 stays", "A \x81 stays", False), 3: ("\x93Hi\x94 and \x8d.", "“Hi” and \x8d.", False), 4: ("half â\x80 here", "half â\x80 here", False), 5: ("caf\xe9\x94 \x97 x", "café” — x", True)}
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], DOCS)
+    found = find_garbled(df)
+    assert {r.doc_id: (r.restored, r.whole) for r in restore(df, found).collect()} == {k: (c, w) for k, (_, c, w) in texts.items()}
+
+
 def test_rules_undo_what_they_do():
     rules = Rules()
     for n in rules.multi:
