@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
 # Tags that end a line or a block; all others leave no gap between letters.
 BREAKING = "br|p|div|li|ul|ol|dl|dt|dd|td|th|tr|table|caption|tbody|thead|hr|h[1-6]|pre|blockquote|ref|references|gallery|poem|center|section"
 
@@ -263,6 +265,26 @@ def _leaks(shared):
 CLEANED = "doc_id bigint, text string, removed_words int, doc_words int, dropped boolean"
 
 
+MARKED = "doc_id bigint, text string, spans array<int>"
+
+
+def _marked(shared):
+    """Rows with the first and last word of each stretch in ``spans``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = _shared(shared.value)
+        codes = _Codes(auto.vocab)
+        for b in batches:
+            out = []
+            for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                code = np.fromiter(map(codes.__getitem__, _WORD.findall(mask(text or ""))), np.int32)
+                ends = auto.ends(code) if len(code) else []
+                out.append([*before, *(int(k) for v in _spans(auto, ends).values() for x in v for k in x)])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
+
+    return run
+
+
 def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 8, remove_from: int = 13, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """(doc_id, text, removed_words, doc_words, dropped): documents without what leaked.
 
@@ -270,41 +292,45 @@ def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 8, remove_
     text, from the first to the last letter. Where stretches of ``least`` words or
     more cover over ``max_coverage`` of a document's words, it is dropped: its
     text is null. All documents come out once per row; null texts stay null
-    and are not dropped. Items beyond one block are refused, as spans of several
-    automata must be merged per document: raise ``block_words`` then.
+    and are not dropped. Of several blocks each adds its stretches to the rows, which are
+    written in between, so that one automaton at a time is held; the last one cuts.
     """
     spark = documents.sparkSession
-    made = list(automata(items, least, block_words))
-    if len(made) > 1:
-        raise ValueError("the items exceed block_words")
-    shared = _share(spark, made[0] if made else Automaton([], least))
+    blocks = automata(items, least, block_words)
+    auto = next(blocks, None) or Automaton([], least)
+    rows = documents.select("doc_id", "text", F.array().cast("array<int>").alias("spans"))
+    for more in blocks:
+        rows = cut(rows.mapInArrow(_marked(_share(spark, auto)), MARKED), "leak-spans")
+        auto = more
+    shared = _share(spark, auto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _shared(shared.value)
         codes = _Codes(auto.vocab)
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out = []
+            for doc, text, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if text is None:
-                    rows.append((doc, None, 0, 0, False))
+                    out.append((doc, None, 0, 0, False))
                     continue
                 at = [(m.start(), m.end(), codes[m.group()]) for m in _WORD.finditer(mask(text))]
                 ends = auto.ends(np.array([x[2] for x in at], np.int32)) if at else []
                 covered: list[list[int]] = []
-                for s, e in sorted(tuple(x) for v in _spans(auto, ends).values() for x in v):
+                every = [tuple(x) for v in _spans(auto, ends).values() for x in v]
+                for s, e in sorted([*every, *zip(before[::2], before[1::2], strict=True)]):
                     if covered and s <= covered[-1][1]:
                         covered[-1][1] = max(covered[-1][1], e)
                     else:
                         covered.append([s, e])
                 if sum(e - s + 1 for s, e in covered) > max_coverage * len(at):
-                    rows.append((doc, None, len(at), len(at), True))
+                    out.append((doc, None, len(at), len(at), True))
                     continue
                 cut_out = [x for x in covered if x[1] - x[0] + 1 >= remove_from]
                 for s, e in reversed(cut_out):
                     text = text[: at[s][0]] + text[at[e][1] :]
-                rows.append((doc, text, sum(e - s + 1 for s, e in cut_out), len(at), False))
-            if rows:
+                out.append((doc, text, sum(e - s + 1 for s, e in cut_out), len(at), False))
+            if out:
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "text", "removed_words", "doc_words", "dropped"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text", "removed_words", "doc_words", "dropped"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, CLEANED)
+    return rows.mapInArrow(run, CLEANED)

@@ -60,6 +60,15 @@ def test_leaks(spark):
     assert "nine" not in seven and seven.count("tail") == 30 and seven.count("pad") == 30
 
 
+def test_leaks_are_removed_by_any_number_of_blocks(spark):
+    a, b = " ".join(f"a{k}" for k in range(14)), " ".join(f"b{k}" for k in range(14))
+    items = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b)], ITEMS)
+    pad = " pad" * 60
+    docs = spark.createDataFrame([(1, a + pad + " " + b), (2, "x " + a + " " + b + pad), (2, None), (3, ""), (4, "pad pad"), (5, a)], DOCS)
+    one, many = (sorted(map(str, remove_leaks(docs, items, block_words=n).collect())) for n in (200_000, 14))
+    assert one == many and len(many) == 6 and sum("removed_words=28" in r for r in many) == 2
+
+
 def test_mix_reaches_shares_and_keeps_caps(spark):
     rng = random.Random(2)
     rows = [(k, s, rng.randrange(1, 20)) for k, s in enumerate(["big"] * 600 + ["mid"] * 150 + ["small"] * 40)]
