@@ -47,7 +47,7 @@ def _pieces(raw: Column, quote: Column) -> Column:
 
 def _plain(x: Column, seps: Column) -> Column:
     """Every separator as SEP. Text outside quotes that holds SEP itself is told apart beforehand."""
-    return _translate(x, seps, F.lit(SEP * 16))
+    return _translate(x, seps, F.repeat(F.lit(SEP), F.length(seps)))
 
 
 def _has(x: Column, seps: Column) -> Column:

@@ -81,6 +81,7 @@ RUNS = [
     (2, ",;", "?", '"', "word lemma pos"),
     (3, "\t", "NA", None, "word feats"),
     (3, "\t", "NA", None, "word feats"),
+    (4, ",;:!/*+-=%&@^~_()[]", "?", '"', "word pos"),
 ]
 LINES = [
     (1, "a\tN\ta\t3", None), (1, "a\tN\ta", "column_count"), (1, "a\tQ\ta\t3", "value"), (1, "\tN\ta\t3", "value"), (1, "__UNDEF__\tN\ta\t3", "value"),
@@ -91,6 +92,7 @@ LINES = [
     (3, "a\t|", None), (3, "a\t|x|y|", None), (3, "a\t|x||", "value"), (3, "a\t||", "value"), (3, "a\tx|", "value"), (3, "a\tNA", None), (3, "a\t|" + "x|" * 30000, None),
     (1, "</s >", None), (1, '<s a="1" b=\'x\' c=3/>', None), (1, '<s a="1"b="2">', "quoting"), (1, "<s a=>", "quoting"), (1, "<!x", None), (1, "<?", None), (1, "</s x>", "quoting"),
     (1, "<s" + ' a="1"' * 20000 + ">", None), (1, "<s a>", "quoting"), (1, "<s / >", None), (9, "a", "settings"),
+    *((4, f"dog{c}N", None) for c in ",;:!/*+-=%&@^~_()[]"), (4, "dog]N[", "column_count"), (4, '"d]g"]N', None), (4, "dog~Q", "value"),
 ]
 
 
@@ -106,5 +108,6 @@ def test_lines(spark):
     assert by_text['"a,""b""",x,N'].record.word == 'a,"b"' and by_text['""""; ;V'].record.word == '"'
     assert by_text["a\t__UNDEF__\t\t007"].record.freq == 7 and by_text["a\t__UNDEF__\t\t007"].record.pos is None
     assert by_text["a\tN\ta\t" + "9" * 60].record.freq is None and by_text["a\tN\ta\t" + "9" * 60].fields[3] == "9" * 60
+    assert {r.record.word for i, r in loaded.items() if LINES[i][0] == 4} == {"dog", "d]g"} and {r.record.pos for i, r in loaded.items() if LINES[i][0] == 4} == {"N"}
     assert all(r.in_kind == "own" for r in loaded.values())
     assert reclassify(read_lines(lines.limit(0), runs)).count() == 0
