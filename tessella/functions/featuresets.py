@@ -38,11 +38,16 @@ def set_intersection(a: Column, b: Column) -> Column:
     return F.when(is_set(a) & is_set(b), _join(F.array_sort(both)))
 
 
+def _malformed(function: str, kind: str) -> Column:
+    return F.raise_error(F.lit(f"{function}() of a malformed or undefined set")).cast(kind)
+
+
 def unify(a: Column, b: Column) -> Column:
-    """Intersection; an undefined first argument gives the second."""
-    return F.when(a.isNull(), b).otherwise(set_intersection(a, b))
+    """Intersection; an undefined first argument gives the second as it is. Malformed sets, and an undefined second one, are errors."""
+    good = b.isNotNull() & (a.isNull() | (is_set(a) & is_set(b)))
+    return F.when(F.coalesce(good, F.lit(False)), F.when(a.isNull(), b).otherwise(set_intersection(a, b))).otherwise(_malformed("unify", "string"))
 
 
 def ambiguity(s: Column) -> Column:
-    """Cardinality; 0 for an undefined value."""
-    return F.coalesce(set_size(s), F.lit(0).cast("long"))
+    """Cardinality; 0 for an undefined value; a malformed one is an error."""
+    return F.when(s.isNull(), F.lit(0).cast("long")).when(is_set(s), set_size(s)).otherwise(_malformed("ambiguity", "bigint"))

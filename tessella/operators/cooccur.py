@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.model import Corpus, result
+from tessella.operators.refine import first_rows
 from tessella.operators.sequence import _boundary, with_frequencies
 from tessella.plans.language import Meet, MUQuery, TABQuery, Tok, UnionOf
 from tessella.plans.predicates import Compiler
@@ -60,10 +61,7 @@ def run_mu(corpus: Corpus, query: MUQuery, variables: dict | None = None, compat
 def _cut(found: DataFrame, n: int | None) -> DataFrame:
     if n is None:
         return found
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("corpus").orderBy("match", "matchend")
-    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    return first_rows(found, ["match", "matchend"], n)
 
 
 def run_tab(corpus: Corpus, query: TABQuery, variables: dict | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ from tessella.functions.regex import matches
 from tessella.functions.scalar import to_int
 from tessella.model import Corpus, result
 from tessella.operators.ranges import point_in_interval
-from tessella.operators.sequence import BLOCK
 from tessella.operators.skew import running_sum
 
 # Fixed value: what a regular word is, letters and digits with inner hyphens, apostrophes and the like.
@@ -39,13 +38,6 @@ class Key:
         return cls(m[2], int(m[3] or 0), m[5], "".join(sorted(set(m[6] or ""))), m[4] == "!=", bool(m[1]))
 
 
-def _halo(tokens: DataFrame, width: int) -> DataFrame:
-    own = F.floor(F.col("cpos") / BLOCK)
-    edge = (F.col("cpos") - own * BLOCK < width) & (own > 0)
-    blocks = F.when(edge, F.array(own - 1, own)).otherwise(F.array(own)) if width else F.array(own)
-    return tokens.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == own)
-
-
 def scan(corpus: Corpus, keys: list[str], min_freq: int = 1, weight: str | None = None, regular: bool = False, start: int | None = None, end: int | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """N-gram counts: (corpus, key columns, freq) over all positions.
 
@@ -62,7 +54,7 @@ def scan(corpus: Corpus, keys: list[str], min_freq: int = 1, weight: str | None
     """
     parsed = [Key.parse(k) for k in keys]
     width = max(k.offset for k in parsed)
-    tokens = corpus.tokens
+    tokens = corpus.blocked(width) if width else corpus.tokens.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True)})
     if start is not None:
         tokens = tokens.filter(F.col("cpos") >= start)
     if end is not None:
@@ -82,8 +74,7 @@ def scan(corpus: Corpus, keys: list[str], min_freq: int = 1, weight: str | None
     if weight is not None:
         cols.append(to_int(F.col(weight)).alias("_w"))
     lo = ["_range"] if ranges is not None else []
-    rows = tokens.select("corpus", "cpos", *lo, *cols)
-    blocks = _halo(rows, width) if width else rows.withColumn("_own", F.lit(True))
+    blocks = tokens.select("corpus", "cpos", "_block", "_own", *lo, *cols)
     w = Window.partitionBy("corpus", *lo, "_block").orderBy("cpos") if width else None
 
     def at(c: str, n: int) -> Column:

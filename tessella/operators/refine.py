@@ -115,9 +115,20 @@ def set_anchor_search(corpus: Corpus, a: DataFrame, to: str, which: str, test: o
     return result(set_anchor(out, to, "_found"))
 
 
-def _numbered(a: DataFrame, order: list[Column], name: str = "_n") -> DataFrame:
-    """0-based line numbers per corpus. Small results fit one window; the order runs over range partitions otherwise (``line_numbers``)."""
-    return a.withColumn(name, F.row_number().over(Window.partitionBy("corpus").orderBy(*order)) - 1)
+FEW = 10_000
+
+
+def first_rows(a: DataFrame, order: list[str], n: int, skip: int = 0) -> DataFrame:
+    """Rows number ``skip`` (from 0) to n - 1 of each corpus in the order of distinct keys.
+
+    Up to FEW rows a corpus come by a rank limit that Spark pushes below the shuffle, so no task
+    sends or sorts more than that many; beyond, rows are numbered by prefix sums over range partitions.
+    """
+    if n <= FEW:
+        rows = a.withColumn("_n", F.row_number().over(Window.partitionBy("corpus").orderBy(*order)))
+    else:
+        rows = running_sum(a.withColumn("_one", F.lit(1).cast("long")), ["corpus"], order, "_one", "_n").drop("_one")
+    return rows.filter(F.col("_n") <= n).filter(F.col("_n") > skip).drop("_n")
 
 
 def line_numbers(a: DataFrame, name: str = "line") -> DataFrame:
@@ -129,16 +140,15 @@ def line_numbers(a: DataFrame, name: str = "line") -> DataFrame:
 def cut(a: DataFrame, n: int, m: int | None = None) -> DataFrame:
     """The first n rows, or rows n to m (0-based, inclusive), in sort order."""
     lo, hi = (0, n - 1) if m is None else (n, m)
-    order = [F.coalesce("sort_rank", F.lit(0)), F.col("match"), F.desc("matchend")]
-    # the rank limit is pushed below the shuffle
-    return result(_numbered(a, order).filter(F.col("_n") <= hi).filter(F.col("_n") >= lo))
+    order = {"_s": F.coalesce("sort_rank", F.lit(0).cast("long")), "_e": -F.col("matchend"), "_t": F.coalesce("target", F.lit(-1).cast("long")), "_k": F.coalesce("keyword", F.lit(-1).cast("long"))}
+    return result(first_rows(result(a).withColumns(order), ["_s", "match", "_e", "_t", "_k"], hi + 1, lo))
 
 
 def delete_lines(a: DataFrame, n: int, m: int | None = None) -> DataFrame:
-    """Without rows n to m by their number in corpus order."""
+    """Without rows n to m by their number in corpus order; of equal rows only those with these numbers go."""
     m = n if m is None else m
-    lined = line_numbers(a.withColumn("sort_rank", F.lit(None).cast("long")), "_n").select("corpus", "match", "matchend", "_n").filter(F.col("_n").between(n, m))
-    return result(a.join(lined, ["corpus", "match", "matchend"], "left_anti").withColumn("sort_rank", F.lit(None).cast("long")))
+    plain = result(a).withColumn("sort_rank", F.lit(None).cast("long"))
+    return result(line_numbers(plain, "_n").filter(~F.col("_n").between(n, m)))
 
 
 def delete_by_anchor(a: DataFrame, anchor: str, having: bool) -> DataFrame:
@@ -151,8 +161,7 @@ def _sample_key(seed: int) -> Column:
 
 
 def reduce(a: DataFrame, n: int | None = None, percent: int | None = None, seed: int = 0) -> DataFrame:
-    """An exact-size random sample per corpus, the same for the same seed; ``percent`` (1 to 99) rounds down."""
-    w = Window.partitionBy("corpus").orderBy("_key", "match", "matchend")
+    """An exact-size random sample of rows per corpus, the same for the same seed; ``percent`` (1 to 99) rounds down."""
     rows = a.withColumn("_key", _sample_key(seed))
     if percent is not None:
         if not 1 <= percent <= 99:
@@ -160,7 +169,7 @@ def reduce(a: DataFrame, n: int | None = None, percent: int | None = None, seed:
         want = a.groupBy("corpus").agg(F.floor(F.count("*") * percent / 100).alias("_want"))
         lined = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), ["corpus"], ["_key", "match", "matchend"], "_one", "_n")
         return result(lined.join(want, "corpus").filter(F.col("_n") <= F.col("_want")))
-    return result(rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n))
+    return result(first_rows(rows, ["_key", "match", "matchend"], n))
 
 
 def reduce_maximal(a: DataFrame) -> DataFrame:

@@ -1,29 +1,33 @@
 """Sequence queries: regular expressions over tokens.
 
 A pattern becomes an automaton whose input symbols are its token tests, tags and
-anchors. Tests without labels are evaluated by Spark, one boolean per symbol and token.
-Patterns of bounded length without labels, tags or anchors need no more: each of
-their alternatives is a conjunction of ``lead`` (``_leads``). All others run
-the automaton in Arrow batches over blocks of tokens (``_automaton``).
+anchors. What a test says without labels is evaluated by Spark, one boolean per symbol
+and token. Three ways lead from there to the matches:
+
+* ``_leads``: patterns of bounded length. Each way through the automaton is a
+  conjunction over ``lead`` columns; labels and targets are offsets in it.
+* ``_Sweep``: unbounded patterns without labels, targets, tags or anchors. All starts
+  of a block advance together, one numpy step per word of the longest match.
+* ``_Simulation``: the rest, from each start by itself, in the blocks where a match may start.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.model import Corpus, result
+from tessella.model import BLOCK, Corpus, result
 from tessella.operators import intervals
 from tessella.operators.ranges import point_in_interval
 from tessella.operators.skew import weighted_join
-from tessella.plans.language import Alt, Anchor, Query, Ref, Repeat, Seq, Tag, Tok, refs_of
-from tessella.plans.predicates import BindError, Compiler, Evaluator, calls_of
+from tessella.plans.language import Alt, Anchor, Bool, Query, Ref, Rel, Repeat, Seq, Tag, Tok, refs_of
+from tessella.plans.predicates import AtOffsets, BindError, Compiler, Evaluator, calls_of, hoist
 
 BOUNDARY = 500
-BLOCK = 50_000
 
 
 @dataclass
@@ -119,17 +123,44 @@ def build(pattern: object) -> Plan:
     return plan
 
 
-def _words(plan: Plan, most: int = 64, longest: int = 16) -> list[tuple[int, ...]] | None:
-    """All symbol sequences the automaton accepts, or None if they are too many or too long."""
-    out: list[tuple[int, ...]] = []
-    todo: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+@dataclass
+class _Path:
+    """One way through the automaton: its symbols, its final state, and how many tokens it takes."""
+
+    symbols: tuple[int, ...]
+    final: int
+    size: int
+
+
+def _paths(plan: Plan, numbers: tuple[int, int], most: int = 64, longest: int = 16) -> list[_Path] | None:
+    """All ways through the automaton, or None if they are too many, too long, or meet in one
+    state with other labels: there the simulation has to say which of them hold."""
+    out: list[_Path] = []
+    met: dict[tuple[int, int, int], dict] = {}
+    todo: list[tuple[int, tuple[int, ...], int, dict]] = [(0, (), 0, {})]
     while todo:
-        q, word = todo.pop()
-        if q in plan.final:
-            out.append(word)
+        q, word, k, bound = todo.pop()
+        if word and met.setdefault((word[0], k, q), bound) != bound:
+            return None
+        if q in plan.final and k:
+            out.append(_Path(word, q, k))
         if len(out) > most or len(word) > longest or len(todo) > 10 * most:
             return None
-        todo += [(t, (*word, s)) for s, t in plan.steps[q].items()]
+        for s, t in plan.steps[q].items():
+            sym, now = plan.symbols[s], dict(bound)
+            if isinstance(sym, Anchor):
+                return None
+            if isinstance(sym, Tag):
+                if sym.closing:
+                    now.pop(("<", sym.name), None)
+                else:
+                    now["<", sym.name] = k
+            elif isinstance(sym, Tok):
+                if sym.label:
+                    now[sym.label] = k
+                if sym.marker in numbers:
+                    now["target" if sym.marker == numbers[0] else "keyword"] = k
+            todo.append((t, (*word, s), k + (isinstance(sym, Tok) and not sym.ahead), now))
     return out
 
 
@@ -139,19 +170,30 @@ def _free(node: object | None, corpus: Corpus) -> bool:
     return all(r.label in (None, "_") and not r.delete and r.name in known for r in refs_of(node)) and not any(len(c.args) > 1 and c.name in ("lbound", "rbound", "lbound_of", "rbound_of") for c in calls_of(node))
 
 
-def with_frequencies(corpus: Corpus, tests: list) -> DataFrame:
+def _split(test: object | None, corpus: Corpus) -> tuple[object | None, object | None]:
+    """What of a test can be evaluated without labels, and what remains."""
+    if _free(test, corpus):
+        return test, None
+    if not (isinstance(test, Bool) and test.op == "&"):
+        return None, test
+    free, late = [a for a in test.args if _free(a, corpus)], [a for a in test.args if not _free(a, corpus)]
+    join = lambda parts: None if not parts else parts[0] if len(parts) == 1 else Bool("&", tuple(parts))
+    return join(free), join(late)
+
+
+def with_frequencies(corpus: Corpus, tests: list, tokens: DataFrame | None = None) -> DataFrame:
     """Tokens with ``f_<att>`` for every f(att) in the tests; heavy values salted."""
-    tokens = corpus.tokens
+    tokens = corpus.tokens if tokens is None else tokens
     for att in sorted({c.args[0].name for t in tests if t is not None for c in calls_of(t) if c.name == "f"}):
         freq = corpus.tokens.filter(F.col(att).isNotNull()).groupBy("corpus", att).agg(F.count("*").alias(f"f_{att}")).withColumn("_w", F.col(f"f_{att}"))
         tokens = weighted_join(tokens, freq, ["corpus", att], "_w", ["cpos"], how="left")
     return tokens
 
 
-def _boundary(corpus: Corpus, within, tokens: DataFrame) -> tuple[DataFrame, Column, int | None]:
+def _boundary(corpus: Corpus, within, tokens: DataFrame, boundary: int = BOUNDARY) -> tuple[DataFrame, Column, int | None]:
     """Tokens, the last position a match from each may reach (null: none may start), and the bound in words if there is one."""
     if within is None:
-        return tokens, F.col("cpos") + BOUNDARY, BOUNDARY
+        return tokens, F.col("cpos") + boundary, boundary
     if within.satt is None:
         return tokens, F.col("cpos") + within.n, within.n
     if within.satt not in corpus.satts:
@@ -167,33 +209,34 @@ def _boundary(corpus: Corpus, within, tokens: DataFrame) -> tuple[DataFrame, Col
     return joined.withColumnRenamed("_end", "_reach"), F.col("_reach"), None
 
 
-def run(corpus: Corpus, query: Query, variables: dict[str, set[str]] | None = None, strategy: str = "standard", parents: DataFrame | None = None, strict: bool = True, numbers: tuple[int, int] = (0, 1), others: dict[str, Corpus] | None = None) -> DataFrame:
+def run(corpus: Corpus, query: Query, variables: dict[str, set[str]] | None = None, strategy: str = "standard", parents: DataFrame | None = None, strict: bool = True, numbers: tuple[int, int] = (0, 1), others: dict[str, Corpus] | None = None, boundary: int = BOUNDARY) -> DataFrame:
     """The result of a sequence query: (corpus, match, matchend, target, keyword, sort_rank).
 
     ``parents`` confines matches to the ranges of an earlier result (overlapping
     ones are pruned from the left first). ``strict`` ties a closing tag to the
     region its opening tag entered. ``numbers`` are the target markers that set
     target and keyword. ``others`` are corpora for alignment constraints.
+    Without ``within``, a match ends at most ``boundary`` words after its start.
     Rows without a word still hold a position; null attributes match no test.
     """
     variables = variables or {}
     strategy = query.strategy or strategy
     plan = build(query.pattern)
     _bind_names(plan, query, corpus)
-    found = _leads(corpus, query, plan, variables, strategy, parents) or _automaton(corpus, query, plan, variables, strategy, parents, strict, numbers)
+    found = _matches(corpus, query, plan, variables, strategy, parents, strict, numbers, boundary)
     for a in query.aligned:
         from tessella.operators.alignment import aligned_filter
 
         other = (others or {}).get(a.corpus)
         if other is None:
             raise BindError(f"unknown corpus {a.corpus}")
-        hits = run(other, Query(a.pattern), variables, "traditional")
+        hits = run(other, Query(a.pattern), variables, "traditional", boundary=boundary)
         found = aligned_filter(found, corpus.beads.filter(F.col("target") == a.corpus), hits, a.negated)
     found = intervals.prune(found, strategy)
     if query.cut is not None:
-        w = Window.partitionBy("corpus").orderBy("match", "matchend")
-        # rank limits are pushed below the shuffle, so each task sends no more than the cut
-        found = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= query.cut).drop("_r")
+        from tessella.operators.refine import first_rows
+
+        found = first_rows(found, ["match", "matchend"], query.cut)
     if query.keep and parents is not None:
         found = intervals.containing(parents, found)
     if query.expand is not None:
@@ -219,159 +262,252 @@ def _bind_names(plan: Plan, query: Query, corpus: Corpus) -> None:
         raise BindError(f"labels that nothing refers to: {sorted(idle)}")
 
 
-def _halo(tokens: DataFrame, width: int) -> DataFrame:
-    """Tokens by block of BLOCK positions; the first ``width`` of a block are repeated as the tail of the one before."""
-    own = F.floor(F.col("cpos") / BLOCK)
-    edge = (F.col("cpos") - own * BLOCK < width) & (own > 0)
-    if width > BLOCK:
-        raise BindError(f"a bound of {width} words is beyond {BLOCK}")
-    return tokens.withColumn("_block", F.explode(F.when(edge, F.array(own - 1, own)).otherwise(F.array(own)))).withColumn("_own", F.col("_block") == F.floor(F.col("cpos") / BLOCK))
-
-
-def _leads(corpus: Corpus, query: Query, plan: Plan, variables: dict, strategy: str, parents: DataFrame | None) -> DataFrame | None:
-    if query.constraint is not None or parents is not None:
-        return None
-    if not all(isinstance(s, Tok) and s.marker is None and not s.ahead and _free(s.test, corpus) for s in plan.symbols):
-        return None
-    words = _words(plan)
-    if not words:
-        return None
-    tokens = with_frequencies(corpus, [s.test for s in plan.symbols])
-    tokens, bound, _ = _boundary(corpus, query.within, tokens)
-    compiler = Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions)
-    rows = tokens.select("corpus", "cpos", bound.alias("_bound"), *[compiler.test(s.test).alias(f"t{i}") for i, s in enumerate(plan.symbols)])
-    width = max(map(len, words))
-    blocks = _halo(rows, width) if width > 1 else rows.withColumns({"_block": F.lit(0), "_own": F.lit(True)})
-    w = Window.partitionBy("corpus", "_block").orderBy("cpos")
-
-    def at(s: int, k: int) -> Column:
-        return F.col(f"t{s}") if k == 0 else F.lead(f"t{s}", k, False).over(w)
-
-    # every lead once, then plain columns
-    uses = sorted({(s, k) for word in words for k, s in enumerate(word)})
-    leads = blocks.select(
-        "corpus", "cpos", "_bound", "_own", *[at(s, k).alias(f"t{s}_{k}") for s, k in uses], *[(F.lead("cpos", k).over(w) == F.col("cpos") + k).alias(f"c{k}") for k in range(1, width)]
-    ) if width > 1 else blocks.select("corpus", "cpos", "_bound", "_own", *[F.col(f"t{s}").alias(f"t{s}_0") for s, _ in uses])
-    ends = []
-    for first in sorted({word[0] for word in words}):
-        options = []
-        for n in sorted({len(x) for x in words if x[0] == first}, reverse=strategy == "longest"):
-            hit = F.lit(False)
-            for word in words:
-                if word[0] == first and len(word) == n:
-                    one = F.col(f"t{word[0]}_0")
-                    for k, s in enumerate(word[1:], 1):
-                        one = one & F.col(f"t{s}_{k}")
-                    hit = hit | one
-            reach = F.col("_bound") >= F.col("cpos") + n - 1
-            if n > 1:
-                reach = reach & F.coalesce(F.col(f"c{n - 1}"), F.lit(False))
-            options.append(F.when(hit & reach, F.col("cpos") + n - 1))
-        ends.append(F.coalesce(*options))
-    out = leads.filter("_own").select("corpus", F.col("cpos").alias("match"), F.explode(F.array_distinct(F.array_compact(F.array(*ends)))).alias("matchend"))
-    return result(out)
-
-
-def _automaton(corpus: Corpus, query: Query, plan: Plan, variables: dict, strategy: str, parents: DataFrame | None, strict: bool, numbers: tuple[int, int]) -> DataFrame:
-    symbols, satts = plan.symbols, corpus.satts
-    tests = [s.test for s in symbols if isinstance(s, Tok)] + [query.constraint]
-    tokens = with_frequencies(corpus, tests)
-    tokens, bound, words = _boundary(corpus, query.within, tokens)
-    compiler = Compiler(corpus.patts, satts, variables, functions=corpus.functions)
-    bits, bound_in_task = [], set()
-    for i, s in enumerate(symbols):
-        if isinstance(s, Tok) and (s.test is None or _free(s.test, corpus)):
-            test = compiler.test(s.test)
-        elif isinstance(s, Tok):
-            bound_in_task.add(i)
-            test = F.lit(True)
-        elif isinstance(s, Tag):
-            if s.name not in satts:
-                raise BindError(f"unknown region {s.name}")
-            test = F.coalesce(F.col("cpos") == F.col(f"{s.name}_{'end' if s.closing else 'start'}"), F.lit(False))
-            if s.value is not None:
-                from tessella.plans.language import Rel
-
-                value = F.col(f"{s.name}_value")
-                valued = Compiler((f"{s.name}_value",), (), variables).test(Rel(s.op.lstrip("!"), Ref(f"{s.name}_value"), s.value))
-                test = test & value.isNotNull() & (~valued if s.op.startswith("!") else valued)
-        else:
-            test = F.lit(True)
-        bits.append(test)
-    anchors = [s for s in symbols if isinstance(s, Anchor)]
-    if anchors and parents is None:
+def _matches(corpus: Corpus, query: Query, plan: Plan, variables: dict, strategy: str, parents: DataFrame | None, strict: bool, numbers: tuple[int, int], boundary: int, engine: str | None = None) -> DataFrame:
+    """Raw matches. ``engine`` is for tests that hold the three against each other."""
+    symbols, within = plan.symbols, query.within
+    if parents is None and any(isinstance(s, Anchor) for s in symbols):
         raise BindError("anchors need an active result")
-    # columns that tests with labels read in the task
-    late = [t for i, s in enumerate(symbols) if i in bound_in_task for t in [s.test]] + ([query.constraint] if query.constraint is not None else [])
-    need = sorted({r.name for t in late for r in refs_of(t) if r.name in corpus.patts})
-    need += sorted({f"f_{c.args[0].name}" for t in late for c in calls_of(t) if c.name == "f"})
-    need += sorted({f"{r.name}_{x}" for t in late for r in refs_of(t) if r.name in satts for x in ("start", "end", "value")})
-    tags = sorted({s.name for s in symbols if isinstance(s, Tag)})
-    need += [f"{t}_end" for t in tags if f"{t}_end" not in need]
-    rows = tokens.select("corpus", "cpos", bound.alias("_bound"), F.array(*bits).alias("_bits"), *need)
-    extra: list[str] = []
+    deletes = any(r.delete for s in symbols if isinstance(s, Tok) and s.test is not None for r in refs_of(s.test))
+    paths = None if deletes else _paths(plan, numbers)
+    late = [_split(s.test, corpus)[1] if isinstance(s, Tok) else None for s in symbols]
+    simple = all(isinstance(s, Tok) and s.marker not in numbers for s in symbols) and not any(late) and query.constraint is None
+    engine = engine or ("leads" if paths else "sweep" if simple else "simulation")
+    tests = [s.test for s in symbols if isinstance(s, Tok)] + [query.constraint]
+    # tokens of another region than the start's are looked at
+    edges = any(isinstance(s, Tok) and s.ahead or not isinstance(s, Tok) for s in symbols)
+    words = boundary if within is None else within.n if within.satt is None else None
+    if engine == "leads":
+        words = max(p.size for p in paths) + 1
+    elif words is None and (longest := corpus.longest.get(within.satt)) is not None and within.n * longest + 2 <= BLOCK:
+        words = within.n * longest
+    tokens, whole = corpus.tokens, False
+    if engine == "leads" and words == 2 and not edges:
+        tokens = tokens.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True)})
+    elif words is not None:
+        tokens = corpus.blocked(words + 2)
+    elif within.n == 1 and not edges:
+        # whole regions: a token goes to the block of its region's start
+        tokens = tokens.filter(F.col(f"{within.satt}_id").isNotNull()).withColumns({"_block": F.floor(F.col(f"{within.satt}_start") / BLOCK), "_own": F.lit(True)})
+    else:
+        whole = True
+    tokens, bound, _ = _boundary(corpus, within, with_frequencies(corpus, tests, tokens), boundary)
+    compiler = Compiler(corpus.patts, corpus.satts, variables, functions=corpus.functions)
+    bits = [_bit(s, corpus, compiler, variables).alias(f"t{i}") for i, s in enumerate(symbols)]
+    own = [] if whole else ["_block", "_own"]
+    rows = tokens.withColumn("_bound", bound)
+    extra = []
     if parents is not None:
         spans = intervals.non_overlapping(parents).select("corpus", F.col("match").alias("_ps"), F.col("matchend").alias("_pe"), F.col("target").alias("_pt"), F.col("keyword").alias("_pk"))
-        inside = point_in_interval(rows.select("corpus", "cpos"), "cpos", spans, "_ps", "_pe")
-        rows = rows.join(inside, ["corpus", "cpos"], "left").withColumn("_bound", F.when(F.col("_ps").isNotNull(), F.least("_bound", "_pe")))
+        rows = point_in_interval(rows, "cpos", spans, "_ps", "_pe", "left").withColumn("_bound", F.when(F.col("_ps").isNotNull(), F.least("_bound", "_pe")))
         extra = ["_ps", "_pe", "_pt", "_pk"]
-    ahead = any(isinstance(s, Tok) and s.ahead for s in symbols)
-    if words is not None:
-        blocks = _halo(rows, words + 1 + ahead)
+    if engine == "leads":
+        return result(_leads(rows, query, plan, paths, late, bits, compiler, strategy, strict, numbers, edges))
+    columns: dict[str, Column] = {}
+    hoisted = [None if t is None else hoist(t, compiler, columns) for t in late]
+    constraint = None if query.constraint is None else hoist(query.constraint, compiler, columns)
+    tags = sorted({f"{s.name}_end" for s in symbols if isinstance(s, Tag)})
+    rows = rows.select("corpus", "cpos", *own, "_bound", *bits, *[c.alias(n) for n, c in columns.items()], *tags, *extra)
+    if whole:
+        spans = rows.filter("_bound is not null").select("corpus", F.floor(F.col("cpos") / BLOCK).alias("_k"), "cpos", "_bound").groupBy("corpus", "_k").agg((F.min("cpos") - 1).alias("_lo"), (F.max("_bound") + 1).alias("_hi"))
+        rows = point_in_interval(rows, "cpos", spans, "_lo", "_hi", width=BLOCK).withColumn("_block", F.col("_k")).withColumn("_own", F.floor(F.col("cpos") / BLOCK) == F.col("_k")).drop("_k", "_lo", "_hi")
+    if engine == "sweep":
+        work = _Sweep(plan, strategy)
     else:
-        # whole regions: a token goes to the block of its region's start, and what follows a region by one token too
-        s = query.within.satt
-        if query.within.n == 1:
-            start = tokens.select("corpus", "cpos", F.floor(F.col(f"{s}_start") / BLOCK).alias("_block")).filter("_block is not null")
-            if ahead:
-                nxt = tokens.filter(F.col("cpos") == F.col(f"{s}_end")).select("corpus", (F.col("cpos") + 1).alias("cpos"), F.floor(F.col(f"{s}_start") / BLOCK).alias("_block"))
-                start = start.unionByName(nxt).distinct()
-            own = F.col("_bound").isNotNull() & (F.col("_block") == F.floor(F.col("_rs") / BLOCK))
-            blocks = rows.join(tokens.select("corpus", "cpos", F.col(f"{s}_start").alias("_rs")), ["corpus", "cpos"]).join(start, ["corpus", "cpos"]).withColumn("_own", F.coalesce(own, F.lit(False))).drop("_rs")
-        else:
-            spans = rows.filter("_bound is not null").select("corpus", F.floor(F.col("cpos") / BLOCK).alias("_k"), "cpos", "_bound").groupBy("corpus", "_k").agg(F.min("cpos").alias("_lo"), (F.max("_bound") + 1).alias("_hi"))
-            blocks = point_in_interval(rows, "cpos", spans, "_lo", "_hi", width=BLOCK).withColumn("_block", F.col("_k")).withColumn("_own", F.floor(F.col("cpos") / BLOCK) == F.col("_k")).drop("_k", "_lo", "_hi")
-    work = _Simulation(plan, query, corpus.patts, satts, {k: frozenset(v) for k, v in variables.items()}, bound_in_task, strict, numbers, strategy, [*need, *extra])
-    found = blocks.groupBy("corpus", "_block").applyInPandas(lambda pdf: work(pdf), "corpus string, match bigint, matchend bigint, target bigint, keyword bigint")
-    return result(found)
+        data = [*columns, *tags, *extra]
+        work = _Simulation(plan, hoisted, constraint, {k: frozenset(v) for k, v in variables.items()}, strict, numbers, strategy, data)
+    return result(rows.groupBy("corpus", "_block").applyInArrow(lambda table: work(table), MATCHES))
+
+
+def _bit(s: object, corpus: Corpus, compiler: Compiler, variables: dict) -> Column:
+    """What can be said of a symbol at a token without labels."""
+    if isinstance(s, Tok):
+        return compiler.test(_split(s.test, corpus)[0])
+    if isinstance(s, Anchor):
+        return F.lit(True)
+    if s.name not in corpus.satts:
+        raise BindError(f"unknown region {s.name}")
+    test = F.coalesce(F.col("cpos") == F.col(f"{s.name}_{'end' if s.closing else 'start'}"), F.lit(False))
+    if s.value is not None:
+        value = F.col(f"{s.name}_value")
+        valued = Compiler((f"{s.name}_value",), (), variables).test(Rel(s.op.lstrip("!"), Ref(f"{s.name}_value"), s.value))
+        test = test & value.isNotNull() & (~valued if s.op.startswith("!") else valued)
+    return test
+
+
+def _leads(rows: DataFrame, query: Query, plan: Plan, paths: list[_Path], late: list, bits: list[Column], compiler: Compiler, strategy: str, strict: bool, numbers: tuple[int, int], edges: bool) -> DataFrame:
+    """Each path as a conjunction over the tokens at its offsets; of those with one first symbol the shortest (or longest) that holds."""
+    used: set[tuple[str, int]] = set()
+    options: dict[int, list] = {}
+    for path in paths:
+        k, labels, open_, all_of, furthest, last = 0, {"match": 0}, {}, [], 0, path.size - 1
+        for s in path.symbols:
+            sym = plan.symbols[s]
+            closing = isinstance(sym, Tag) and sym.closing
+            at = k - 1 if closing else k
+            furthest = max(furthest, at)
+            used.add((f"t{s}", at))
+            all_of.append(F.col(_at(f"t{s}", at)))
+            if not closing:  # a region that was entered isn't left but by its end tag
+                for name, o in open_.items():
+                    used.add((f"{name}_end", o))
+                    all_of.append(F.col("cpos") + k <= F.col(_at(f"{name}_end", o)))
+            if isinstance(sym, Tag):
+                if closing and sym.name in open_:
+                    o = open_.pop(sym.name)
+                    used.add((f"{sym.name}_end", o))
+                    all_of.append(F.col(_at(f"{sym.name}_end", o)) == F.col("cpos") + k - 1)
+                elif not closing:
+                    last = max(last, k)
+                    if strict:
+                        open_[sym.name] = k
+                continue
+            if late[s] is not None:
+                test = AtOffsets(compiler, labels, k, used)
+                all_of.append(test.test(late[s]))
+            if sym.label:
+                labels[sym.label] = k
+            if sym.marker in numbers:
+                labels["target" if sym.marker == numbers[0] else "keyword"] = k
+            k += not sym.ahead
+        if query.constraint is not None:
+            all_of.append(AtOffsets(compiler, {**labels, "matchend": path.size - 1}, None, used).test(query.constraint))
+        all_of.append(F.col("_bound") >= F.col("cpos") + last)
+        if furthest:
+            used.add(("cpos", furthest))
+            all_of.append(F.col(_at("cpos", furthest)) == F.col("cpos") + furthest)
+        hit = all_of[0]
+        for c in all_of[1:]:
+            hit = hit & c
+        point = lambda c: F.col("cpos") + labels[c] if c in labels else F.lit(None).cast("long")  # noqa: E731, B023
+        size = -path.size if strategy == "longest" else path.size
+        options.setdefault(path.symbols[0], []).append((size, path.final, F.when(F.coalesce(hit, F.lit(False)), F.struct((F.col("cpos") + path.size - 1).alias("matchend"), point("target").alias("target"), point("keyword").alias("keyword")))))
+    raw = sorted({c for c, _ in used} - {"cpos"} - {f"t{i}" for i in range(len(bits))})
+    rows = rows.select("corpus", "cpos", "_block", "_own", "_bound", *bits, *raw)
+    if edges or any(k for _, k in used):
+        w = Window.partitionBy("corpus", "_block").orderBy("cpos")
+        move = lambda c, k: F.col(c) if k == 0 else F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    else:
+        move = lambda c, k: F.col(c)
+    # every lead once, then plain columns
+    moved = rows.select("corpus", "cpos", "_own", "_bound", *[move(c, k).alias(_at(c, k)) for c, k in sorted(used)])
+    ends = [F.coalesce(*[o for _, _, o in sorted(options[s], key=lambda o: o[:2])]) for s in sorted(options)]
+    return moved.filter("_own").select("corpus", F.col("cpos").alias("match"), F.explode(F.array_distinct(F.array_compact(F.array(*ends)))).alias("e")).select("corpus", "match", "e.*")
+
+
+def _at(column: str, k: int) -> str:
+    return f"{column}__{k}".replace("-", "m")
+
+
+MATCHES = "corpus string, match bigint, matchend bigint, target bigint, keyword bigint"
+
+
+def _table(corpus: str | None, found: list[np.ndarray] | list[list]) -> pa.Table:
+    """Typed, also without a row."""
+    cols = [pa.array(c, pa.int64()) for c in found]
+    return pa.table([pa.array([corpus] * len(cols[0]), pa.string()), *cols], names=["corpus", "match", "matchend", "target", "keyword"])
+
+
+def _sorted(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The block in order, its positions, the last position each start may reach (-1: none may start), and whether it is the block's own."""
+    table = table.sort_by("cpos")
+    cpos = table["cpos"].to_numpy()
+    bound = table["_bound"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+    return table, cpos, bound, table["_own"].to_numpy() & (bound >= cpos)
+
+
+class _Sweep:
+    """Advances all starts of a block together, a set of starts per state."""
+
+    def __init__(self, plan: Plan, strategy: str) -> None:
+        self.steps, self.final, self.longest = plan.steps, sorted(plan.final), strategy == "longest"
+        self.ahead = [s.ahead for s in plan.symbols]
+
+    def __call__(self, table: pa.Table) -> pa.Table:
+        name = table["corpus"][0].as_py() if table.num_rows else None
+        table, cpos, bound, may = _sorted(table)
+        bits = [table[f"t{i}"].to_numpy() for i in range(len(self.ahead))]
+        # positions are rows as far as they follow each other
+        ends = np.append(np.flatnonzero(np.diff(cpos) != 1), len(cpos) - 1)
+        run = ends[np.searchsorted(ends, np.arange(len(cpos)))] if len(cpos) else ends
+        limit = np.minimum(run, np.arange(len(cpos)) + bound - cpos)
+        out: list[np.ndarray] = []
+        for first in sorted(self.steps[0]):
+            begun = np.flatnonzero(may & bits[first])
+            end = self._from(first, begun, bits, run, limit)
+            hit = end >= 0
+            out.append(np.stack([cpos[begun[hit]], cpos[end[hit]]]))
+        both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        none = [None] * both.shape[1]
+        return _table(name, [both[0], both[1], none, none])
+
+    def _from(self, first: int, begun: np.ndarray, bits: list[np.ndarray], run: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Row of the end of the match from each start, -1 without one."""
+        end = np.full(len(begun), -1, np.int64)
+        live = {0: np.arange(len(begun))}
+        k = 0
+        while live:
+            todo = sorted(live)
+            while todo:  # what looks ahead takes nothing
+                q = todo.pop(0)
+                for s, t in self.steps[q].items():
+                    if not self.ahead[s] or (q == 0 and s != first):
+                        continue
+                    at = begun[live[q]] + k
+                    ok = (at <= run[begun[live[q]]]) & (at <= limit[begun[live[q]]] + 1)
+                    ok[ok] = bits[s][at[ok]]
+                    before = live.get(t)
+                    now = live[q][ok] if before is None else np.union1d(before, live[q][ok])
+                    if len(now) and (before is None or len(now) > len(before)):
+                        live[t] = now
+                        if t not in todo:
+                            todo.append(t)
+            if k:
+                for q in self.final:
+                    if q in live:
+                        end[live[q]] = begun[live[q]] + k - 1
+            after: dict[int, list[np.ndarray]] = {}
+            for q, who in live.items():
+                if not self.longest:
+                    who = who[end[who] < 0]
+                at = begun[who] + k
+                who, at = who[at <= limit[begun[who]]], at[at <= limit[begun[who]]]
+                for s, t in self.steps[q].items():
+                    if not self.ahead[s] and (q or s == first) and (got := who[bits[s][at]]).size:
+                        after.setdefault(t, []).append(got)
+            live = {t: x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for t, x in after.items()}
+            k += 1
+        return end
 
 
 class _Simulation:
-    """Runs the automaton from every owned position of a block."""
+    """Runs the automaton from every own position of a block at which a first symbol holds."""
 
-    def __init__(self, plan, query, patts, satts, variables, late, strict, numbers, strategy, columns) -> None:
-        self.plan, self.query, self.patts, self.satts, self.variables = plan, query, patts, satts, variables
-        self.late, self.strict, self.numbers, self.strategy, self.columns = late, strict, numbers, strategy, columns
+    def __init__(self, plan: Plan, late: list, constraint: object | None, variables: dict, strict: bool, numbers: tuple[int, int], strategy: str, columns: list[str]) -> None:
+        self.plan, self.late, self.constraint, self.variables = plan, late, constraint, variables
+        self.strict, self.numbers, self.strategy, self.columns = strict, numbers, strategy, columns
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cpos", kind="stable")
-        self.cpos = pdf["cpos"].tolist()
-        self.where = {c: i for i, c in enumerate(self.cpos)}
-        self.bits = pdf["_bits"].tolist()
-        self.data = {c: [None if pd.isna(v) else v for v in pdf[c]] for c in self.columns}
-        for c in self.columns:
-            if c.endswith(("_start", "_end")) or c in ("_ps", "_pe", "_pt", "_pk") or c.startswith("f_"):
-                self.data[c] = [None if v is None else int(v) for v in self.data[c]]
-        self.eval = Evaluator(self.patts, self.satts, self.variables, self._get)
-        out = []
+    def __call__(self, table: pa.Table) -> pa.Table:
+        name = table["corpus"][0].as_py() if table.num_rows else None
+        table, cpos, bound, may = _sorted(table)
         symbols, first = self.plan.symbols, sorted(self.plan.steps[0])
-        bounds = pdf["_bound"]
-        for i, (own, bound, null) in enumerate(zip(pdf["_own"].tolist(), bounds.tolist(), bounds.isna().tolist(), strict=True)):
-            if not own or null:
-                continue
-            row = self.bits[i]
+        bits = [table[f"t{i}"].to_numpy() for i in range(len(symbols))]
+        at = {s: may if isinstance(symbols[s], (Tag, Anchor)) and symbols[s].closing else may & bits[s] for s in first}
+        starts = np.flatnonzero(np.any(list(at.values()), axis=0)).tolist()
+        if not starts:
+            return _table(None, [[], [], [], []])
+        self.cpos = cpos.tolist()
+        self.where = {c: i for i, c in enumerate(self.cpos)}
+        self.bits = [b.tolist() for b in bits]
+        self.data = {c: table[c].to_pylist() for c in self.columns}
+        self.eval = Evaluator(self.variables, self._get)
+        out: list[tuple] = []
+        for i in starts:
             seen = set()
             for s in first:
-                sym = symbols[s]
-                closing = isinstance(sym, (Tag, Anchor)) and sym.closing
-                if not closing and not row[s]:
-                    continue
-                if (hit := self._from(i, s, int(bound))) is not None and hit not in seen:
+                if at[s][i] and (hit := self._from(i, s, int(bound[i]))) is not None and hit not in seen:
                     seen.add(hit)
                     out.append(hit)
-        corpus = pdf["corpus"].iloc[0] if len(pdf) else None
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pd.DataFrame({"corpus": [corpus] * len(out), **{n: pd.array(c, "Int64") for n, c in zip(("match", "matchend", "target", "keyword"), cols, strict=True)}})
+        return _table(name, list(zip(*out, strict=True)) if out else [[], [], [], []])
 
     def _get(self, name: str, cpos: int):
         i = self.where.get(cpos)
@@ -386,7 +522,7 @@ class _Simulation:
             there = self.data[at][i]
             return labels if there is not None and there == (cpos - 1 if sym.closing else cpos) else None
         i = self.where.get(cpos - 1 if isinstance(sym, Tag) and sym.closing else cpos)
-        if i is None or not self.bits[i][s]:
+        if i is None or not self.bits[s][i]:
             return None
         if isinstance(sym, Tok):
             return self._bind(s, sym, cpos, labels)
@@ -403,7 +539,7 @@ class _Simulation:
 
     def _bind(self, s, sym, cpos: int, labels: dict) -> dict | None:
         gone: set = set()
-        if s in self.late and not self.eval.test(sym.test, cpos, labels, gone):
+        if self.late[s] is not None and not self.eval.test(self.late[s], cpos, labels, gone):
             return None
         if sym.label or sym.marker is not None or gone:
             labels = {k: v for k, v in labels.items() if k not in gone}
@@ -444,7 +580,7 @@ class _Simulation:
                 for q in sorted(states):
                     if q in final:
                         labels = {**states[q], "matchend": cpos - 1}
-                        if self.query.constraint is None or self.eval.test(self.query.constraint, None, labels):
+                        if self.constraint is None or self.eval.test(self.constraint, None, labels):
                             best = (start, cpos - 1, labels.get("target"), labels.get("keyword"))
                             if self.strategy != "longest":
                                 return best
@@ -452,11 +588,11 @@ class _Simulation:
             j = self.where.get(cpos)
             if j is None or cpos > bound:
                 break
-            row, after = self.bits[j], {}
+            after = {}
             for q in sorted(states):
                 for s, t in sorted(steps[q].items()):
                     sym = symbols[s]
-                    if not isinstance(sym, Tok) or sym.ahead or not row[s] or (q == 0 and s != only) or self._past(states[q], cpos):
+                    if not isinstance(sym, Tok) or sym.ahead or not self.bits[s][j] or (q == 0 and s != only) or self._past(states[q], cpos):
                         continue
                     labels = self._bind(s, sym, cpos, states[q])
                     if labels is not None:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions import featuresets, scalar
-from tessella.functions.regex import element_pattern, is_literal, matches, set_contains, set_matches
+from tessella.functions.regex import RegexError, element_pattern, is_literal, matches, set_contains, set_matches
 from tessella.functions.folding import fold_text
 from tessella.plans.language import Bool, Call, Exists, Int, Ref, Rel, Str, Var
 
@@ -162,17 +163,137 @@ def calls_of(node: object) -> list[Call]:
     return []
 
 
+POINTS = ("lbound", "rbound", "lbound_of", "rbound_of")
+
+
+class AtOffsets(Compiler):
+    """Constraints within a match whose labels stand at known offsets from its start.
+
+    A column of the token at offset k is named ``<column>__k``; ``used`` collects (column, k).
+    ``here`` is the offset of the token under test, None in a global constraint.
+    """
+
+    def __init__(self, of: Compiler, labels: Mapping[str, int], here: int | None, used: set[tuple[str, int]]) -> None:
+        super().__init__(of.patts, of.satts, of.variables, functions=of.functions)
+        self.labels, self.here, self.used = labels, here, used
+
+    def at(self, name: str, k: int | None) -> Column:
+        if k is None:
+            return F.lit(None).cast("long" if name.startswith("f_") or name == "cpos" or name.endswith(("_start", "_end")) else "string")
+        if name == "cpos":
+            return F.col("cpos") + k
+        self.used.add((name, k))
+        return F.col(f"{name}__{k}".replace("-", "m"))
+
+    def col(self, name: str) -> Column:
+        return self.at(name, self.here)
+
+    def _offset(self, label: str | None) -> int | None:
+        return self.here if label in (None, "_") else self.labels.get(label)
+
+    def value(self, node: object) -> tuple[str, Column]:
+        if isinstance(node, Ref):
+            if node.label not in (None, "_"):
+                return "str", self.at(node.name if node.name in self.patts else f"{node.name}_value", self._offset(node.label))
+            if node.label is None and (node.name in self.labels or node.name not in (*self.patts, *self.satts, "_")):
+                # an unset label by itself is position -1
+                return "pos", F.col("cpos") + self.labels[node.name] if node.name in self.labels else F.lit(-1).cast("long")
+        if isinstance(node, Call) and node.name not in self.functions:
+            if node.name in POINTS and len(node.args) > 1:
+                k = self._offset(node.args[1].name)
+                edge = self.at(f"{node.args[0].name}_{'start' if node.name[0] == 'l' else 'end'}", k)
+                return ("pos", edge) if node.name.endswith("_of") else ("int", F.coalesce(self.at("cpos", k) == edge, F.lit(False)).cast("long"))
+            if node.name == "f" and node.args[0].label is not None:
+                return "int", self.at(f"f_{node.args[0].name}", self._offset(node.args[0].label))
+        return super().value(node)
+
+
+@dataclass(frozen=True)
+class Known:
+    """A value or truth that Spark has worked out for every token: its column, and the label whose token is meant (None: the one under test)."""
+
+    kind: str  # bool, int, pos, str
+    column: str
+    label: str | None
+
+
+def hoist(node: object, compiler: Compiler, columns: dict[str, Column]) -> object:
+    """``node`` with all that depends on one token alone as ``Known``; the columns it takes are added to ``columns``.
+
+    Tasks then compare values of different labels only: patterns, variables and
+    functions are Spark's, with labels or without.
+    """
+    known: dict[tuple, Known] = {}
+
+    def put(kind: str, of: object, label: str | None, column: Column) -> Known:
+        key = (kind, of)
+        if key not in known:
+            name = f"_h{len(columns)}"
+            columns[name] = column
+            known[key] = Known(kind, name, None)
+        return replace(known[key], label=label)
+
+    def owner(x: object) -> tuple[str | None, ...]:
+        """Labels of the tokens that ``x`` reads; "?" where it is about positions or deletes a label."""
+        if isinstance(x, (Int, Str, Var)):
+            return ()
+        if isinstance(x, Ref):
+            if x.delete:
+                return ("?",)
+            if x.label is not None:
+                return (None if x.label == "_" else x.label,)
+            return (None,) if x.name in compiler.patts or x.name in compiler.satts else ("?",)
+        if isinstance(x, Call):
+            if x.name in POINTS and x.name not in compiler.functions:
+                return (None,) if len(x.args) < 2 else (x.args[1].name,) if isinstance(x.args[1], Ref) and not x.args[1].delete and x.args[1].label is None else ("?",)
+            return tuple(dict.fromkeys(o for a in x.args for o in owner(a)))
+        if isinstance(x, Rel):
+            return tuple(dict.fromkeys((*owner(x.left), *owner(x.right))))
+        if isinstance(x, Exists):
+            return owner(x.of)
+        return ("?",)
+
+    def plain(x: object) -> object:
+        """Without labels: the token itself is meant."""
+        if isinstance(x, Ref):
+            return Ref(x.name, "_") if x.label is not None else x
+        if isinstance(x, Call):
+            return Call(x.name, x.args[:1] if x.name in POINTS and x.name not in compiler.functions else tuple(map(plain, x.args)))
+        if isinstance(x, Rel):
+            return Rel(x.op, plain(x.left), plain(x.right), x.negated)
+        return Exists(plain(x.of)) if isinstance(x, Exists) else x
+
+    def value(x: object) -> object:
+        if isinstance(x, (Ref, Call)) and len(who := owner(x)) == 1 and who != ("?",):
+            bare = plain(x)
+            kind, column = compiler.value(bare)
+            return put(kind, bare, who[0], column)
+        return Call(x.name, tuple(map(value, x.args))) if isinstance(x, Call) else x
+
+    def test(x: object) -> object:
+        if isinstance(x, Bool):
+            return Bool(x.op, tuple(map(test, x.args)))
+        if len(who := owner(x)) == 1 and who != ("?",):
+            bare = plain(x)
+            return put("bool", bare, who[0], compiler.test(bare))
+        return Exists(value(x.of)) if isinstance(x, Exists) else Rel(x.op, value(x.left), value(x.right), x.negated)
+
+    return test(node)
+
+
 class Evaluator:
-    """The same constraints on one position, with labels; runs in the tasks of the pattern engine.
+    """What ``hoist`` left of a constraint, at one position with labels; runs in the tasks of the pattern engine.
 
-    ``get(name, cpos)`` gives a column's value of a token, or None.
+    ``get(column, cpos)`` gives a column's value of a token, or None.
     """
 
-    def __init__(self, patts: tuple[str, ...], satts: tuple[str, ...], variables: Mapping[str, set[str]], get) -> None:
-        self.patts, self.satts, self.variables, self.get = patts, satts, variables, get
+    def __init__(self, variables: Mapping[str, set[str]], get) -> None:
+        self.variables, self.get = variables, get
         self.compiled: dict[tuple, object] = {}
 
     def test(self, node: object, at: int | None, labels: dict, gone: set | None = None) -> bool:
+        if isinstance(node, Known):
+            return bool(self.value(node, at, labels, gone)[1])
         if isinstance(node, Bool):
             if node.op == "!":
                 return not self.test(node.args[0], at, labels, gone)
@@ -194,9 +315,17 @@ class Evaluator:
         if a is None:
             return False
         if isinstance(right, Var):
-            negative = (r.op == "!=") != r.negated
-            return (a in self.variables[right.name]) != negative
+            if not isinstance(a, str):
+                raise BindError("a string is compared with a number")
+            items = self.variables[right.name]
+            if right.as_regex:
+                hit = any(self._matches(a, Str(x, right.flags), "contains" if r.op == "contains" else "re") for x in items)
+            else:
+                hit = a in items
+            return hit != ((r.op == "!=") != r.negated)
         if isinstance(right, Str):
+            if not isinstance(a, str):
+                raise BindError("a string is compared with a number")
             hit = self._matches(a, right, r.op)
             return hit != (r.op == "!=" or r.negated)
         _, b = self.value(right, at, labels, gone)
@@ -207,16 +336,19 @@ class Evaluator:
         return {"=": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[r.op]
 
     def _matches(self, value: str, s: Str, op: str) -> bool:
+        """Only for values that several labels go into, such as an intersection."""
         key = (s, op)
         if key not in self.compiled:
             import regex
 
             p = s.text
+            if op in ("contains", "matches") and "l" in s.flags:
+                raise RegexError("%l can't be used with contains or matches")
             if op == "contains":
                 p = f".*\\|(?:{element_pattern(p)})\\|.*"
             elif op == "matches":
                 p = f"\\|(?:(?:{element_pattern(p)})\\|)+"
-            elif "l" in s.flags or (not s.flags and is_literal(p)):
+            elif op != "re" and ("l" in s.flags or (not s.flags and is_literal(p))):
                 p = re.escape(s.text)
             if "d" in s.flags:
                 p = fold_text(p, "d")
@@ -226,33 +358,27 @@ class Evaluator:
         return self.compiled[key].fullmatch(value) is not None
 
     def value(self, node: object, at: int | None, labels: dict, gone: set | None) -> tuple[str, object]:
+        if isinstance(node, Known):
+            pos = at if node.label is None else labels.get(node.label)
+            return node.kind, None if pos is None else self.get(node.column, pos)
         if isinstance(node, Int):
             return "int", node.value
         if isinstance(node, Str):
             return "str", node.text
         if isinstance(node, Ref):
-            return self._ref(node, at, labels, gone)
-        n, args = node.name, node.args
-        if n in ("lbound", "rbound"):
-            pos = at if len(args) == 1 else self.value(args[1], at, labels, gone)[1]
-            edge = self.get(f"{args[0].name}_{'start' if n == 'lbound' else 'end'}", pos)
-            return "int", int(edge is not None and edge == pos)
-        if n in ("lbound_of", "rbound_of"):
-            pos = self.value(args[1], at, labels, gone)[1] if len(args) > 1 else at
-            return "pos", None if pos is None else self.get(f"{args[0].name}_{'start' if n == 'lbound_of' else 'end'}", pos)
-        if n == "f":
-            pos = at if args[0].label is None else labels.get(args[0].label)
-            return "int", None if pos is None else self.get(f"f_{args[0].name}", pos)
-        a = [self.value(x, at, labels, gone)[1] for x in args]
+            if node.delete and gone is not None:
+                gone.add(node.label or node.name)
+            # an unset label by itself is position -1
+            return "pos", at if node.name == "_" else labels.get(node.name, -1)
+        n = node.name
+        a = [self.value(x, at, labels, gone)[1] for x in node.args]
         if n == "ignore":
             return "int", 1
         if n in ("distance", "dist", "distabs"):
             x, y = (-1 if v is None else v for v in a)
             return "int", abs(y - x) if n == "distabs" else y - x
-        if n == "ambiguity":
-            return "int", 0 if a[0] is None else max(0, a[0].count("|") - 1)
-        if n == "unify" and a[0] is None:
-            return "str", a[1]
+        if n in ("ambiguity", "unify"):
+            return self._sets(n, a)
         if any(v is None for v in a):
             return "none", None
         if n == "int":
@@ -269,30 +395,21 @@ class Evaluator:
             while k < min(len(a[0]), len(a[1])) and a[0][k] == a[1][k]:
                 k += 1
             return "str", a[0][:k] if n == "prefix" else a[0][k:]
-        if n == "unify":
-            x, y = sorted(a[0].split("|")[1:-1]), a[1].split("|")[1:-1]
-            both = []
-            for e in x:
-                if e in y:
-                    y.remove(e)
-                    both.append(e)
-            return "str", "|" + "".join(e + "|" for e in both)
-        raise BindError(f"unknown function {n}")
-
-    def _ref(self, r: Ref, at: int | None, labels: dict, gone: set | None) -> tuple[str, object]:
-        if r.label is None and (r.name in labels or r.name not in self.patts + self.satts):
-            if r.delete and gone is not None:
-                gone.add(r.name)
-            # an unset label by itself is position -1
-            return "pos", at if r.name == "_" else labels.get(r.name, -1)
-        pos = at if r.label in (None, "_") else labels.get(r.label)
-        if r.delete and gone is not None:
-            gone.add(r.label)
-        if pos is None:
-            return "none", None
-        if r.name in self.patts:
-            return "str", self.get(r.name, pos)
-        if r.label is not None:
-            return "str", self.get(f"{r.name}_value", pos)
-        start, end = self.get(f"{r.name}_start", pos), self.get(f"{r.name}_end", pos)
-        return "int", None if start is None else 4 + (pos == start) + 2 * (pos == end)
+        raise BindError(f"{n}() can't take several labels, or is unknown")
+
+    @staticmethod
+    def _sets(n: str, a: list) -> tuple[str, object]:
+        if n == "unify" and a[1] is None:
+            raise BindError("unify() with an undefined second set")
+        if a[0] is None:
+            return ("int", 0) if n == "ambiguity" else ("str", a[1])
+        if not all(re.fullmatch(r"\|(?:[^|]+\|)*", v, re.S) for v in a):
+            raise BindError(f"{n}() of a malformed set")
+        if n == "ambiguity":
+            return "int", a[0].count("|") - 1
+        there, both = a[1].split("|")[1:-1], []
+        for e in sorted(a[0].split("|")[1:-1]):
+            if e in there:
+                there.remove(e)
+                both.append(e)
+        return "str", "|" + "".join(e + "|" for e in both)

@@ -13,7 +13,6 @@ from tessella.model import Corpus, result
 from tessella.operators import access, alignment, cooccur, display, frequency, intervals, refine, sequence
 from tessella.operators.aligner import align
 from tessella.plans.language import Parser, parse
-from tessella.session import cut
 
 _BUILT: dict[tuple[str, str, str], Corpus] = {}
 
@@ -22,8 +21,7 @@ def _kept(spark: SparkSession, d: str, kind: str, build: Callable[[], Corpus]) -
     """A corpus is built once a session and kept as a table; its queries read it like any stored corpus."""
     key = (spark.sparkContext.applicationId, d, kind)
     if key not in _BUILT:
-        c = build()
-        _BUILT[key] = Corpus(cut(c.tokens, kind), cut(c.regions, f"{kind}-regions"), c.patts, c.satts, cut(c.beads, f"{kind}-beads") if c.beads is not None else None)
+        _BUILT[key] = build().stored(kind)
     return _BUILT[key]
 
 

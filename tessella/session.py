@@ -54,10 +54,25 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _delete_on_exit(spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _delete_on_exit(spark: SparkSession, at: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+
+
+def cut_buckets(df: DataFrame, keys: list[str], order: list[str], name: str = "stage") -> DataFrame:
+    """As ``cut``, hashed into buckets by ``keys`` and sorted in them: windows and joins by these keys read it without a shuffle."""
+    spark = df.sparkSession
+    n = partitions(spark)
+    table = f"tessella_{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{table}-{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*order).option("path", at).saveAsTable(table)
+    _delete_on_exit(spark, at)
+    return spark.table(table)
 
 
 def partitions(spark: SparkSession) -> int:

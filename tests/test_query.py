@@ -135,14 +135,68 @@ def test_random_patterns_against_brute_force(spark):
         assert got == shortest, query
 
 
-def test_lead_chain_and_automaton_agree(m1):
-    for text in (f'[pos="A"]? {N}', '[] "cat"', '"the" []{1,3} "saw"'):
-        q = parse(text)
-        plan = sequence.build(q.pattern)
+def engines(c, text, names, strategy="traditional", variables=None, **kw):
+    q = parse(text)
+    plan = sequence.build(q.pattern)
+    raw = {e: sequence._matches(c, q, plan, variables or {}, strategy, None, kw.get("strict", True), (0, 1), 500, e) for e in names}
+    return {e: sorted((r.match, r.matchend, r.target, r.keyword) for r in df.distinct().collect()) for e, df in raw.items()}
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (f'[pos="A"]? {N}', ("leads", "sweep", "simulation")), ('[] "cat"', ("leads", "sweep", "simulation")), ('"the" []{1,3} "saw" within s', ("leads", "sweep", "simulation")),
+        ('a:[pos="A"]? @[] b:[pos=a.pos | pos="N"] :: a.pos = "A" -> b.pos = "N"', ("leads", "simulation")), ('a:[pos="D"] []{0,4} b:[pos="N"] :: dist(a,b) >= 2 & b.s = "1" within s', ("leads", "simulation")),
+        ('<s> [] [: pos="A" :] []', ("leads", "simulation")), ('<np> []{1,4} </np> []', ("leads", "simulation")), ('[] </s>', ("leads", "simulation")), ('</np> []', ("leads", "simulation")),
+        ('<np> [] <s>', ("leads", "simulation")), ('[]{1,2} [: pos="V" :] within s', ("leads", "sweep", "simulation")), ('a:[] [: lbound(s) & rbound(s, a) :] []', ("leads", "simulation")),
+        ('[pos="A"]+ []{0,2} [pos="V"]', ("sweep", "simulation")), ('([pos="A"] | [pos="N"])+ within s', ("sweep", "simulation")), ('"zzz"+', ("sweep", "simulation")),
+    ],
+)
+def test_engines_agree(m1, monkeypatch, text, names):
+    from tessella import model
+
+    for block in (50_000, 4):
+        monkeypatch.setattr(model, "BLOCK", block)
+        monkeypatch.setattr(sequence, "BLOCK", block)
         for strategy in ("traditional", "longest"):
-            a = sequence._leads(m1, q, plan, {}, strategy, None)
-            b = sequence._automaton(m1, q, plan, {}, strategy, None, True, (0, 1))
-            assert pairs(a) == pairs(b)
+            got = engines(m1, text, names, strategy)
+            assert len(set(map(tuple, got.values()))) == 1, (strategy, got)
+
+
+def test_rare_patterns_and_empty_blocks(spark, m1):
+    other = corpus(spark, "M3", ["pad"] * 9, ["Z"] * 9, [("s", 0, 0, 4, None), ("s", 1, 5, 8, None)])
+    both = Corpus(m1.tokens.drop("np_id", "np_start", "np_end", "np_value").unionByName(other.tokens), m1.regions.unionByName(other.regions), ("word", "pos"), ("s",))
+    assert ask(both, '"dog"+ "zzz"') == [] and ask(both, '"dog"+ "saw"') == [(3, 4)] and ask(both, 'a:"dog" []* [pos = a.pos]') == [(3, 6)]
+    assert ask(both, 'a:"zzz"+ [pos = a.pos] within s') == [] and ask(both, '"cat" [word != "dog"]+ "fast" within 2 s') == [(6, 10)]
+    empty = Corpus(both.tokens.limit(0), both.regions.limit(0), both.patts, both.satts)
+    assert ask(empty, '"dog"+') == [] and ask(empty, '"dog" "saw"') == [] and ask(empty, 'a:"dog"+ [pos = a.pos]') == []
+
+
+def test_labels_with_patterns_functions_and_variables(m1):
+    from dataclasses import replace
+
+    v = {"v": {"d.g", "cat"}, "none": set()}
+    for text, want in (
+        ('a:[pos="A"] [] [word = RE($v) & pos != a.pos]', [(1, 3)]), ('a:[pos="A"] [word = RE($v) & pos != a.pos]', [(2, 3)]), ('a:[pos="V"]+ [] [word = RE($v)%c & pos != a.pos]', [(4, 6)]),
+        ('a:[]+ [word = $v & pos = "N" & a.word = RE($v)] within s', []), ('a:[pos="A"]+ [a.word != RE($v)]', [(1, 2), (2, 3)]), ('a:[word != RE($none)]+ [a.word = "dog"]', [(0, 4)]),
+    ):
+        assert ask(m1, text, variables=v) == want, text
+    c = replace(m1, functions={"tail": lambda x, n: F.right(x, n.cast("int"))})
+    assert ask(c, 'a:[tail(word, 1) = "s"]+ [tail(a.word, 1) != tail(word, 1)]') == [(8, 9)] and ask(c, 'a:[] [tail(a.word, 2) = "og" & pos = "V"]') == [(3, 4)]
+
+
+def test_boundary(m1):
+    assert ask(m1, '"dog" []* "cat"', boundary=2) == [] and ask(m1, '"dog" []* "cat"', boundary=3) == [(3, 6)]
+    assert ask(m1, '"the" []* "fast" within 100000') == [(0, 10)]
+
+
+def test_stored_corpus(spark, m1):
+    c = m1.stored("m1")
+    assert c.longest == {"np": 4, "s": 8}
+    for text in ('[pos="A"] [pos="N"]', '"the" []* "cat" within s', 'a:[pos="A"] []* [pos = a.pos] within s', "<np> []* </np>"):
+        assert ask(c, text) == ask(m1, text)
+    plan = sequence.run(c, parse('[pos="A"] [pos="N"]'), strategy="traditional")._jdf.queryExecution().toString()
+    assert "Window" in plan and plan.split("== Physical Plan ==")[1].split("Window")[1].count("Exchange") == 0
 
 
 def mu(c, text, **kw):

@@ -117,6 +117,10 @@ def test_functions(spark):
     c = lambda e, *v: column(spark, e, *v)
     assert c(featuresets.make_set, "|b|a|b|") == "|a|b|b|" and c(lambda x: featuresets.make_set(x, True), "a b") == "|a|b|" and c(featuresets.make_set, "a|b") is None
     assert c(featuresets.unify, "|a|b|", "|b|c|") == "|b|" and c(featuresets.ambiguity, "|") == 0 and c(featuresets.ambiguity, None) == 0
+    assert c(featuresets.unify, None, "|b|") == "|b|"
+    for f, args in ((featuresets.unify, ("|a|", None)), (featuresets.unify, ("a", "|b|")), (featuresets.ambiguity, ("a",))):
+        with pytest.raises(Exception, match="malformed or undefined"):
+            c(f, *args)
     assert c(featuresets.set_intersection, "|a|a|b|", "|a|a|c|") == "|a|a|" and c(featuresets.set_size, "x") == -1
     assert c(lambda x: set_contains(x, "a."), "|ab|cd|") is True and c(lambda x: set_matches(x, "a."), "|ab|cd|") is False
     assert c(scalar.to_int, "12abc") == 12 and c(scalar.to_int, "abc") == 0 and c(scalar.to_int, None) is None
