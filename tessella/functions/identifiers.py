@@ -1,4 +1,4 @@
-"""Identifiers: ASCII letters, digits, underscores and hyphens, not starting with a digit or hyphen."""
+"""Identifiers: ASCII letters, digits, underscores, hyphens and full stops, starting with a letter or underscore."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 
 
 def is_valid(name: str) -> bool:
-    return re.fullmatch(r"[A-Za-z_][A-Za-z0-9_-]*", name) is not None
+    return re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.-]*", name) is not None
 
 
 def upper(name: str) -> str:

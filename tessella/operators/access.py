@@ -11,6 +11,36 @@ from tessella.operators.ranges import point_in_interval
 from tessella.operators.skew import running_sum
 
 
+def max_cpos(c: Corpus, att: str) -> DataFrame:
+    """(corpus, max_cpos): the number of positions."""
+    return c.tokens.groupBy("corpus").agg((F.max("cpos") + 1).alias("max_cpos"))
+
+
+def max_id(c: Corpus, att: str) -> DataFrame:
+    """(corpus, max_id): the number of types."""
+    return c.tokens.filter(F.col(att).isNotNull()).groupBy("corpus").agg(F.count_distinct(att).alias("max_id"))
+
+
+def max_struc(c: Corpus, satt: str) -> DataFrame:
+    """(corpus, max_struc): the number of regions."""
+    return c.regions.filter(F.col("satt") == satt).groupBy("corpus").agg(F.count("*").alias("max_struc"))
+
+
+def max_alg(c: Corpus) -> DataFrame:
+    """(source, target, max_alg): the number of beads of a pair."""
+    return c.beads.groupBy("source", "target").agg(F.count("*").alias("max_alg"))
+
+
+def has_extended_alignment(c: Corpus) -> bool:
+    """Beads here always have their own intervals on both sides."""
+    return c.beads is not None
+
+
+def struc_has_values(c: Corpus, satt: str) -> DataFrame:
+    """(corpus, has_values): whether any region of an attribute has a value."""
+    return c.regions.filter(F.col("satt") == satt).groupBy("corpus").agg((F.count("value") > 0).alias("has_values"))
+
+
 def attribute_size(c: Corpus, att: str) -> DataFrame:
     """(corpus, size): tokens of a p-attribute, regions of an s-attribute."""
     rows = c.regions.filter(F.col("satt") == att) if att in c.satts else c.tokens
@@ -29,6 +59,21 @@ def id2str(c: Corpus, att: str, ids: list[int]) -> DataFrame:
     return c.lexicon(att).filter(F.col("id").isin(ids)).select("corpus", "id", att)
 
 
+def id2strlen(c: Corpus, att: str, ids: list[int]) -> DataFrame:
+    """(corpus, id, len): bytes of the string."""
+    return id2str(c, att, ids).select("corpus", "id", F.octet_length(att).cast("long").alias("len"))
+
+
+def id2sort(c: Corpus, att: str, ids: list[int]) -> DataFrame:
+    """(corpus, id, rank): where an id stands in byte order."""
+    return sort_index(c, att).filter(F.col("id").isin(ids)).select("corpus", "id", "rank")
+
+
+def sort2id(c: Corpus, att: str, ranks: list[int]) -> DataFrame:
+    """(corpus, rank, id): the id at a place in byte order."""
+    return sort_index(c, att).filter(F.col("rank").isin(ranks))
+
+
 def id2freq(c: Corpus, att: str, ids: list[int]) -> DataFrame:
     return c.lexicon(att).filter(F.col("id").isin(ids)).select("corpus", "id", "freq")
 
@@ -65,12 +110,12 @@ def cpos2id(c: Corpus, att: str, cpos: list[int]) -> DataFrame:
 
 
 def cpos2struc(c: Corpus, satt: str, cpos: list[int] | DataFrame | None = None) -> DataFrame:
-    """(corpus, cpos, struc, lbound, rbound, value, flags): 1 at a region's start, 2 at its end, 4 inside.
+    """(corpus, cpos, struc, lbound, rbound, value, flags): 1 within a region, 2 at its start, 4 at its end, added up; 0 outside.
 
     ``cpos`` lists positions of each corpus, or is a table (corpus, cpos); without it, all positions come out.
     """
     s, e = F.col(f"{satt}_start"), F.col(f"{satt}_end")
-    flags = 4 + (F.col("cpos") == s).cast("long") + 2 * (F.col("cpos") == e).cast("long")
+    flags = F.when(s.isNull(), F.lit(0).cast("long")).otherwise(1 + 2 * (F.col("cpos") == s).cast("long") + 4 * (F.col("cpos") == e).cast("long"))
     if cpos is None:
         rows = c.tokens
     elif isinstance(cpos, DataFrame):

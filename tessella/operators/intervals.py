@@ -1,16 +1,19 @@
 """Algebra and pruning of interval sets. All work by corpus; an element is its (match, matchend).
 
-Pruning is windowed over overlap clusters cut at fixed blocks: see ``_clusters``.
+Pruning is windowed over fixed blocks of positions.
 No window is partitioned by corpus alone, so a corpus that holds most rows is cut too.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.model import RESULT, result
+from tessella.model import result
 
 KEY = ["corpus", "match", "matchend"]
 
@@ -77,14 +80,14 @@ def left_maximal(a: DataFrame) -> DataFrame:
     return result(last)
 
 
-def _clusters(a: DataFrame) -> DataFrame:
+def clusters(a: DataFrame) -> DataFrame:
     """``_cluster``: the start of the run of overlapping elements that holds the row.
 
     A cluster begins where no earlier element reaches. Within a block that is a
     running maximum; what reaches in from earlier blocks is carried by a table of one row
     per block and corpus.
     """
-    rows = unique(a).withColumn("_block", F.floor(F.col("match") / BLOCK))
+    rows = a.withColumn("_block", F.floor(F.col("match") / BLOCK))
     per = rows.groupBy("corpus", "_block").agg(F.max("matchend").alias("_end"))
     carried = per.withColumn("_carry", F.max("_end").over(Window.partitionBy("corpus").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
     w = Window.partitionBy("corpus", "_block").orderBy("match", "matchend")
@@ -100,25 +103,76 @@ def _clusters(a: DataFrame) -> DataFrame:
 def non_overlapping(a: DataFrame) -> DataFrame:
     """Greedy from the left: an element that starts at or before the end of the last one kept is dropped.
 
-    Sequential only within a cluster of overlapping elements; whole clusters
-    are hashed together into groups that are folded one after the other.
+    The corpus is cut into blocks by start. What a block keeps depends on the end that
+    the blocks before it carry in, so each block says for every end that may come in which end goes out
+    (``_outcomes``: no more rows than elements that begin under an end from before, and few of them, as greedy chains meet);
+    these small tables are chained by corpus, and every block is then folded by itself.
     """
-    names = list(RESULT)
-    kinds = {f.name: f.dataType.simpleString() for f in result(a).schema.fields}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["corpus", "match", "matchend"], kind="stable")
-        keep, last = [], (None, -1)
-        for c, s, e in zip(pdf["corpus"], pdf["match"], pdf["matchend"], strict=True):
-            ok = c != last[0] or s > last[1]
-            if ok:
-                last = (c, e)
-            keep.append(ok)
-        return pdf.loc[keep, names]
-
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
-    rows = _clusters(a).select(*names, F.pmod(F.xxhash64("corpus", "_cluster"), F.lit(256)).alias("_g"))
-    return rows.groupBy("_g").applyInPandas(lambda pdf: fold(pdf), schema)
+    rows = unique(a).withColumn("_block", F.floor(F.col("match") / BLOCK))
+    ends = rows.groupBy("corpus", "_block").agg(F.max("matchend").alias("_end"))
+    reach = ends.select("corpus", "_block", F.coalesce(F.max("_end").over(Window.partitionBy("corpus").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast("long")).alias("_reach"))
+    key = ["corpus", "_block"]
+    spans = rows.select(*key, "match", "matchend").join(reach, key)
+    chained = spans.groupBy(*key).applyInArrow(lambda t: _outcomes(t), "corpus string, _block bigint, upto bigint, out bigint").groupBy("corpus").applyInArrow(lambda t: _chain(t), "corpus string, _block bigint, _carry bigint")
+    kept = rows.select(*key, "match", "matchend").join(chained, key).groupBy(*key).applyInArrow(lambda t: _kept(t), "corpus string, match bigint, matchend bigint")
+    return result(rows.drop("_block").join(kept, KEY))
+
+
+def _greedy(starts: list[int], ends: list[int]) -> list[int]:
+    """For each element, the next one that is kept after it; len(starts) if there is none."""
+    return np.searchsorted(np.array(starts), np.array(ends), "right").tolist()
+
+
+def _outcomes(table: pa.Table) -> pa.Table:
+    """(upto, out): an end carried in that is at most upto, and above the one of the row before, goes out as ``out`` (null: as it came)."""
+    table = table.sort_by([("match", "ascending"), ("matchend", "ascending")])
+    starts, ends = table["match"].to_pylist(), table["matchend"].to_pylist()
+    after, out = _greedy(starts, ends), list(ends)
+    for i in range(len(starts) - 1, -1, -1):
+        if after[i] < len(starts):
+            out[i] = out[after[i]]
+    reach = table["_reach"][0].as_py()
+    upto, outs = [], []
+    # the first of those that start alike is entered; up to its start less one, the element is
+    for i, s in enumerate(starts):
+        if i and starts[i - 1] == s:
+            continue
+        upto.append(s - 1)
+        outs.append(out[i])
+        if s > reach:
+            break
+    else:
+        upto.append(reach)
+        outs.append(None)
+    # chains soon meet: of thresholds with one outcome the last says it all
+    last = [k for k in range(len(upto)) if k + 1 == len(upto) or outs[k + 1] != outs[k]]
+    upto, outs, n = [upto[k] for k in last], [outs[k] for k in last], len(last)
+    return pa.table([pa.array([table["corpus"][0].as_py()] * n, pa.string()), pa.array([table["_block"][0].as_py()] * n, pa.int64()), pa.array(upto, pa.int64()), pa.array(outs, pa.int64())], names=["corpus", "_block", "upto", "out"])
+
+
+def _chain(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("_block", "ascending"), ("upto", "ascending")])
+    blocks, carries, end = [], [], -1
+    done = True
+    for b, upto, out in zip(*(table[c].to_pylist() for c in ("_block", "upto", "out")), strict=True):
+        if not blocks or blocks[-1] != b:
+            blocks.append(b)
+            carries.append(end)
+            done = False
+        if not done and carries[-1] <= upto:
+            end, done = (end if out is None else out), True
+    return pa.table([pa.array([table["corpus"][0].as_py()] * len(blocks), pa.string()), pa.array(blocks, pa.int64()), pa.array(carries, pa.int64())], names=["corpus", "_block", "_carry"])
+
+
+def _kept(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("match", "ascending"), ("matchend", "ascending")])
+    starts = table["match"].to_pylist()
+    after = _greedy(starts, table["matchend"].to_pylist())
+    at, i = [], bisect_right(starts, table["_carry"][0].as_py())
+    while i < len(starts):
+        at.append(i)
+        i = after[i]
+    return table.select(["corpus", "match", "matchend"]).take(pa.array(at, pa.int64()))
 
 
 def prune(a: DataFrame, strategy: str) -> DataFrame:
@@ -135,11 +189,9 @@ def containing(parents: DataFrame, inner: DataFrame) -> DataFrame:
     return result(parents).join(hit.select("corpus", F.col("_s").alias("match"), F.col("_e").alias("matchend")).distinct(), KEY, "left_semi").transform(result)
 
 
-
-
 def complement(tokens: DataFrame, a: DataFrame) -> DataFrame:
-    """All single positions of the corpora that ``a`` lacks; only for results of single positions."""
-    if a.filter("match <> matchend").limit(1).count():
-        raise ValueError("the complement is defined for single positions only")
+    """All single positions of the corpora that ``a`` lacks; a longer interval among its rows is an error when the result is computed."""
+    single = F.when(F.col("match") == F.col("matchend"), F.col("match")).otherwise(F.raise_error(F.lit("the complement is defined for single positions only")).cast("long"))
+    a = a.withColumn("match", single)
     all_ = tokens.select("corpus", F.col("cpos").alias("match"), F.col("cpos").alias("matchend"))
     return difference(all_, a)

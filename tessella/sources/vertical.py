@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,27 +134,49 @@ def numbered_regions(regions: DataFrame) -> DataFrame:
 
 
 def import_regions(rows: DataFrame, satt: str, overlap: str = "strict") -> DataFrame:
-    """Regions from (corpus, start, end, value).
+    """Regions from (corpus, start, end, value[, line]).
 
-    ``strict`` wants them ascending and without overlap, and raises otherwise; ``merge`` inserts
-    them one by one: the earlier start or longer region holds, an equal start is replaced
-    by one at least as long, later ones that overlap are dropped.
+    ``strict`` wants them ascending and without overlap; anything else is an error when the regions
+    are computed. ``merge`` takes them one by one in the order of ``line`` (without it, of start,
+    end, value): one that starts within a region there already is dropped, unless
+    it starts with it and is at least as long, and then replaces it; regions that a new
+    one reaches into go. Inverted ones are dropped first.
+
+    Only regions that overlap, directly or through others, can matter to each
+    other; these clusters are found by windows over blocks and folded in their own order.
     """
     if overlap == "strict":
         follows = next_in_order(rows, ["corpus"], "start", F.col("start"), "_next")
-        bad = follows.filter("start > end or _next <= end").limit(1).collect()
-        if bad:
-            raise ValueError(f"region {bad[0]['start']}..{bad[0]['end']} is inverted or overlaps")
-        kept = rows
+        what = F.concat(F.lit("inverted or overlapping region: "), F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
+        good = (F.col("start") <= F.col("end")) & F.coalesce(F.col("_next") > F.col("end"), F.lit(True))
+        kept = follows.withColumn("start", F.when(good, F.col("start")).otherwise(F.raise_error(what).cast("long")))
     else:
-        from tessella.operators.intervals import non_overlapping
+        from tessella.operators.intervals import clusters
 
-        longest = rows.filter("start <= end").groupBy("corpus", "start").agg(F.max(F.struct("end", "value")).alias("_r")).select("corpus", "start", "_r.*")
-        flat = non_overlapping(longest.select("corpus", F.col("start").alias("match"), F.col("end").alias("matchend")))
-        kept = longest.join(flat.select("corpus", F.col("match").alias("start"), F.col("matchend").alias("end")), ["corpus", "start", "end"])
+        order = F.col("line").cast("long") if "line" in rows.columns else F.lit(0).cast("long")
+        spans = rows.filter("start <= end").select("corpus", F.col("start").alias("match"), F.col("end").alias("matchend"), "value", order.alias("line"))
+        kept = clusters(spans).select("corpus", "_cluster", "match", "matchend", "value", "line").groupBy("corpus", "_cluster").applyInArrow(lambda t: _inserted(t), "corpus string, start bigint, end bigint, value string")
     return numbered_regions(kept.select("corpus", F.lit(satt).alias("satt"), "start", "end", "value"))
 
 
+def _inserted(table: pa.Table) -> pa.Table:
+    rows = table.sort_by([("line", "ascending"), ("match", "ascending"), ("matchend", "ascending"), ("value", "ascending")])
+    starts: list[int] = []  # of what is kept, ascending
+    kept: dict[int, tuple[int, str | None]] = {}
+    for s, e, v in zip(*(rows[c].to_pylist() for c in ("match", "matchend", "value")), strict=True):
+        k = bisect_right(starts, s)
+        if k and s <= kept[starts[k - 1]][0]:
+            if starts[k - 1] < s or kept[s][0] > e:
+                continue
+        else:
+            starts.insert(k, s)
+            k += 1
+        kept[s] = (e, v)
+        gone = bisect_right(starts, e)
+        del starts[k:gone]
+    return pa.table([pa.array([table["corpus"][0].as_py()] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array([kept[s][0] for s in starts], pa.int64()), pa.array([kept[s][1] for s in starts], pa.string())], names=["corpus", "start", "end", "value"])
+
+
 def export_regions(regions: DataFrame, satt: str, values: bool = True) -> DataFrame:
     """(corpus, line): ``start TAB end [TAB value]``."""
     cells = [F.col("start").cast("string"), F.col("end").cast("string")] + ([F.col("value")] if values else [])

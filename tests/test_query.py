@@ -185,6 +185,12 @@ def test_labels_with_patterns_functions_and_variables(m1):
     assert ask(c, 'a:[tail(word, 1) = "s"]+ [tail(a.word, 1) != tail(word, 1)]') == [(8, 9)] and ask(c, 'a:[] [tail(a.word, 2) = "og" & pos = "V"]') == [(3, 4)]
 
 
+def test_delete_keeps_equal_rows(spark):
+    a = ranges(spark, [(0, 1), (2, 3), (2, 3), (4, 4)])
+    assert pairs(refine.delete_lines(a, 1)) == [(0, 1), (2, 3), (4, 4)] and pairs(refine.delete_lines(a, 0, 2)) == [(4, 4)]
+    assert pairs(refine.cut(a, 1, 2)) == [(2, 3), (2, 3)] and refine.reduce(a, 3, seed=1).count() == 3 and refine.reduce(a, 20_000, seed=1).count() == 4
+
+
 def test_boundary(m1):
     assert ask(m1, '"dog" []* "cat"', boundary=2) == [] and ask(m1, '"dog" []* "cat"', boundary=3) == [(3, 6)]
     assert ask(m1, '"the" []* "fast" within 100000') == [(0, 10)]
@@ -237,6 +243,14 @@ def test_pruning(spark, monkeypatch):
                     kept.append((s, e))
                     last = e
             assert pairs(intervals.non_overlapping(a)) == kept
+    for gap in (1, 5, 9):  # chains that never meet, long elements over many blocks, and ends that nothing follows
+        rows = sorted({(s, s + gap) for s in range(60)} | {(10, 44), (7, 70), (90, 91)})
+        kept, last = [], -1
+        for s, e in rows:
+            if s > last:
+                kept.append((s, e))
+                last = e
+        assert pairs(intervals.non_overlapping(ranges(spark, rows))) == kept
     assert pairs(intervals.maximal(ranges(spark, []))) == [] and pairs(intervals.non_overlapping(ranges(spark, []))) == []
 
 
@@ -318,7 +332,7 @@ def test_alignment(spark):
 def test_access(m1):
     assert {(r.word, r.id) for r in access.str2id(m1, "word", ["the", "."]).collect()} == {("the", 0), (".", 7)}
     assert access.idlist2freq(m1, "word", [7]).first().freq == 2 and access.lexicon_size(m1, "pos").first().size == 6
-    assert {tuple(r)[1:] for r in access.cpos2struc(m1, "s", [7, 8]).collect()} == {(7, 0, 0, 7, "1", 6), (8, 1, 8, 11, "2", 5)}
+    assert {tuple(r)[1:] for r in access.cpos2struc(m1, "s", [7, 8]).collect()} == {(7, 0, 0, 7, "1", 5), (8, 1, 8, 11, "2", 3)}
     assert [r.cpos for r in access.positions_in_order(m1, "word", ".").collect()] == [7, 11]
 
 

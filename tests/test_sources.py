@@ -78,8 +78,17 @@ def test_regions_and_beads(spark):
     merged = vertical.import_regions(rows, "s", "merge")
     assert {(r.struc, r.start, r.end, r.value) for r in merged.collect()} == {(0, 0, 5, "z"), (1, 6, 6, None)}
     assert {r.line for r in vertical.export_regions(merged, "s").collect()} == {"0\t5\tz", "6\t6"}
-    with pytest.raises(ValueError, match="overlaps"):
-        vertical.import_regions(rows, "s")
+    with pytest.raises(Exception, match="overlapping region"):
+        vertical.import_regions(rows, "s").collect()
+    good = rows.filter("start in (6, 2)")
+    assert {(r.struc, r.start, r.end) for r in vertical.import_regions(good, "s").collect()} == {(0, 2, 3), (1, 6, 6)}
+
+    def merge(spans):
+        df = spark.createDataFrame([("C", s, e, str(k), k) for k, (s, e) in enumerate(spans)], "corpus string, start bigint, end bigint, value string, line bigint")
+        return sorted((r.start, r.end, int(r.value)) for r in vertical.import_regions(df, "s", "merge").collect())
+
+    assert merge([(5, 10), (8, 20), (0, 6)]) == [(0, 6, 2)] and merge([(0, 6), (5, 10), (8, 20)]) == [(0, 6, 0), (8, 20, 2)]
+    assert merge([(3, 4), (3, 4)]) == [(3, 4, 1)] and merge([(3, 4), (3, 3)]) == [(3, 4, 0)] and merge([(3, 4), (6, 7), (9, 9), (3, 6)]) == [(3, 6, 3), (9, 9, 2)]
     beads = spark.createDataFrame([("S", "T", 0, 1, 0, 2), ("S", "T", 2, 1, 3, 4)], "source string, target string, s1 bigint, s2 bigint, t1 bigint, t2 bigint")
     assert [tuple(r) for r in vertical.import_beads(beads, reverse=True).collect()] == [("T", "S", 0, 0, 2, 0, 1)]
 
@@ -101,10 +110,10 @@ def test_results(spark, tmp_path):
     results.write_dump(a, str(tmp_path / "d"))
     assert [r.value for r in spark.read.text(str(tmp_path / "d")).collect()] == ["5\t6\t-1\t-1", "0\t2\t1\t-1"]
     for bad in ([("C", 0, 5, 4, -1)], [("C", 0, 5, 10, -1)], [("D", 0, 0, 0, -1)], [("C", 0, 0, 0, 12)]):
-        with pytest.raises(ValueError, match="interval"):
-            results.undump(c, spark.createDataFrame(bad, rows.schema))
-    with pytest.raises(ValueError, match="overlap"):
-        results.undump(c, rows, ascending=True)
+        with pytest.raises(Exception, match="interval"):
+            results.undump(c, spark.createDataFrame(bad, rows.schema)).collect()
+    with pytest.raises(Exception, match="overlap"):
+        results.undump(c, rows, ascending=True).collect()
 
 
 def column(spark, expr, *values):
