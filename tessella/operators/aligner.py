@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from tessella.functions.folding import fold_text
 from tessella.model import Corpus
 from tessella.session import cut
 
+STEPS = ((1, 0), (0, 1), (1, 1), (1, 2), (2, 1), (2, 2))
 BEADS = "source string, target string, s1 bigint, s2 bigint, t1 bigint, t2 bigint, kind string, quality bigint"
 
 
@@ -63,7 +64,7 @@ def align(source: Corpus, target: Corpus, satt: str = "s", pre: str = "text", by
 
     Every pair of ``corpora`` (source, target) is aligned by itself; without it, each corpus of
     ``source`` with each of ``target``. Regions of ``pre`` with the same number or value are pre-aligned; each pair of them is one group, in
-    which the best path over 1:0, 0:1, 1:1, 2:1, 1:2 and 2:2 steps is found in a beam of diagonals. A
+    which the best path over 1:0, 0:1, 1:1, 2:1, 1:2 and 2:2 steps is found in a band (``_beads``). A
     2:2 bead no better than ``split`` times the two 1:1 beads in it is split.
     ``word_list`` (source, target) adds bilingual pairs. Regions on one side only give no beads.
     """
@@ -94,7 +95,6 @@ def align(source: Corpus, target: Corpus, satt: str = "s", pre: str = "text", by
     return a.groupBy(*on).cogroup(b.groupBy(*on)).applyInPandas(lambda left, right: group(left, right), BEADS)
 
 
-@lru_cache(maxsize=100_000)
 def _grams(word: str, ngrams: tuple[tuple[int, int], ...]) -> list[tuple[int, str, int]]:
     folded = fold_text(word, "cd")
     return [(n, folded[k : k + n], weight) for n, weight in ngrams for k in range(len(folded) - n + 1)]
@@ -103,6 +103,7 @@ def _grams(word: str, ngrams: tuple[tuple[int, int], ...]) -> list[tuple[int, st
 def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int, int, Counter]]:
     """(start, end, characters, weighted features) of each sentence."""
     out = []
+    grams: dict[str, list] = {}  # of this group's words
     rows = rows.sort_values("cpos", kind="stable")
     for (s, e), g in rows.groupby(["s", "e"], sort=True):
         bag: Counter = Counter()
@@ -112,7 +113,9 @@ def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int,
             chars += len(w)
             if shared is True or shared == True and not pd.isna(shared):  # noqa: E712
                 bag["w", w, f.shared] += 1
-            for k in _grams(w, f.ngrams):
+            if w not in grams:
+                grams[w] = _grams(w, f.ngrams)
+            for k in grams[w]:
                 bag[k] += 1
             if listed is not None and not isinstance(listed, float):
                 for p in listed:
@@ -121,57 +124,99 @@ def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int,
     return out
 
 
-def _beads(x: list, y: list, f: Features) -> list[tuple]:
-    # features on one side only add nothing; the others are numbered
-    there = set().union(*(b[3] for b in x)) & set().union(*(b[3] for b in y))
-    ids = {k: i for i, k in enumerate(there)}
-    weight = [k[2] for k in ids]
+LOST = -(1 << 60)
 
-    def spans(side: list) -> dict[int, list[tuple[int, dict[int, int]]]]:
-        """(characters, features) of each sentence and of each two in a row."""
-        one = [(b[2], {ids[k]: c for k, c in b[3].items() if k in ids}) for b in side]
-        two = [(p + q, {k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()}) for (p, a), (q, b) in zip(one, one[1:])]  # noqa: B905
-        return {1: one, 2: two}
 
-    xs, ys = spans(x), spans(y)
+class _Side:
+    """Sentences of one side, by themselves and by twos, with their features as sparse rows."""
 
-    @lru_cache(maxsize=None)
-    def like(i: int, di: int, j: int, dj: int) -> int:
-        (p, left), (q, right) = xs[di][i], ys[dj][j]
-        return f.characters * min(p, q) + sum(min(left[k], right[k]) * weight[k] for k in left.keys() & right.keys())
+    def __init__(self, bags: list[tuple[int, int, int, Counter]], ids: dict[tuple, int]) -> None:
+        ones = [(chars, {ids[k]: c for k, c in bag.items() if k in ids}) for _, _, chars, bag in bags]
+        twos = [(p + q, dict(Counter(a) + Counter(b))) for (p, a), (q, b) in zip(ones, ones[1:])]  # noqa: B905
+        self.chars, self.ends, self.ids, self.counts = {}, {}, {}, {}
+        for d, rows in ((1, ones), (2, twos)):
+            self.chars[d] = np.array([c for c, _ in rows], np.int64)
+            self.ends[d] = np.concatenate(([0], np.cumsum([len(r) for _, r in rows], dtype=np.int64)))
+            self.ids[d] = np.array([k for _, r in rows for k in r], np.int64)
+            self.counts[d] = np.array([c for _, r in rows for c in r.values()], np.int64)
 
+    def row(self, d: int, i: int, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        at = slice(self.ends[d][i], self.ends[d][i + 1])
+        out[self.ids[d][at]] = self.counts[d][at]
+        return out
+
+
+def _beads(x: list, y: list, f: Features) -> list[tuple]:
+    """The best path through the grid of sentence counts, row by row.
+
+    Row i holds what the first i sentences of x are worth with the first j of y, for the
+    j in a band of ``beam`` to either side of where the shares of characters seen are equal. Bands
+    of neighbouring rows touch, so a path to the end always exists. Of equal
+    steps the first in the order of STEPS holds.
+    """
+    # features on one side only add nothing; the others are numbered
+    there = set().union(*(b[3] for b in x)) & set().union(*(b[3] for b in y))
+    ids = {k: i for i, k in enumerate(there)}
+    weight = np.array([k[2] for k in ids], np.int64)
+    left, right = _Side(x, ids), _Side(y, ids)
     m, n = len(x), len(y)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {(0, 0): (1, 0, 0)}
-    centre = 1
-    for diagonal in range(1, m + n + 1):
-        lo = centre - f.beam // 2
-        top = 0
-        centre = lo
-        for i in range(lo, lo + f.beam):
-            j = diagonal - i
-            if i < 0 or j < 0 or i > m or j > n:
+
+    def gain(i: int, di: int, dj: int, j0: int, j1: int) -> np.ndarray:
+        """What di sentences from i on have in common with dj from each j in j0 .. j1 - 1 on."""
+        ends = right.ends[dj][j0 : j1 + 1]
+        at = slice(ends[0], ends[-1])
+        k = right.ids[dj][at]
+        shared = np.minimum(left.row(di, i, len(ids))[k], right.counts[dj][at]) * weight[k]
+        upto = np.concatenate(([0], np.cumsum(shared)))[ends - ends[0]]
+        return np.diff(upto) + f.characters * np.minimum(left.chars[di][i], right.chars[dj][j0:j1])
+
+    share = lambda chars: np.concatenate(([0.0], np.cumsum(chars) / max(1, chars.sum())))
+    centre = np.searchsorted(share(right.chars[1]), share(left.chars[1]) - 1e-12)
+    lows, rows, steps = [], [], []
+
+    def band(i: int, j0: int, j1: int) -> np.ndarray:
+        """Row i from j0 to j1 - 1; LOST outside its band."""
+        out = np.full(j1 - j0, LOST, np.int64)
+        if i >= 0:
+            a, b = max(j0, lows[i]), min(j1, lows[i] + len(rows[i]))
+            if a < b:
+                out[a - j0 : b - j0] = rows[i][a - lows[i] : b - lows[i]]
+        return out
+
+    for i in range(m + 1):
+        lo, hi = max(0, int(centre[i]) - f.beam), min(n, int(centre[i]) + f.beam)
+        if i:
+            lo = min(lo, lows[-1] + len(rows[-1]) - 1)
+        if i == m:
+            hi = n
+        width = hi - lo + 1
+        found = np.full((len(STEPS), width), LOST, np.int64)
+        if i == 0:
+            found[1, 0] = 0
+        for s, (di, dj) in enumerate(STEPS):
+            if (di, dj) == (0, 1) or i < di:
                 continue
-            choice = None
-            for di, dj in ((1, 0), (0, 1), (1, 1), (1, 2), (2, 1), (2, 2)):
-                before = best.get((i - di, j - dj))
-                if before is None:
-                    continue
-                score = before[0] + (like(i - di, di, j - dj, dj) if di and dj else 0)
-                if choice is None or score > choice[0]:
-                    choice = (score, di, dj)
-            if choice is not None:
-                best[i, j] = choice
-                if choice[0] > top:
-                    centre, top = i, choice[0]
+            found[s] = band(i - di, lo - dj, hi - dj + 1)
+            if di and dj:
+                a, b = max(lo - dj, 0), min(hi - dj, n - dj) + 1
+                if a < b:
+                    found[s, a - lo + dj : b - lo + dj] += gain(i - di, di, dj, a, b)
+                found[s, : max(0, a - lo + dj)] = LOST
+        best = np.maximum.accumulate(found.max(axis=0))
+        # a step along the row keeps the value of its left neighbour
+        found[1, 1:] = np.maximum(found[1, 1:], best[:-1])
+        lows.append(lo)
+        rows.append(best)
+        steps.append((found == best).argmax(axis=0).astype(np.int8))
     out, i, j = [], m, n
-    if (m, n) not in best:
-        return []  # the beam lost the end, as it may where lengths differ widely
-    while (i, j) != (0, 0):
-        score, di, dj = best[i, j]
+    while i or j:
+        di, dj = STEPS[steps[i][j - lows[i]]]
+        value = int(rows[i][j - lows[i]])
         i, j = i - di, j - dj
-        quality = score - best[i, j][0]
+        quality = value - int(rows[i][j - lows[i]])
         if di == dj == 2:
-            one, two = like(i, 1, j, 1), like(i + 1, 1, j + 1, 1)
+            one, two = int(gain(i, 1, 1, j, j + 1)[0]), int(gain(i + 1, 1, 1, j + 1, j + 2)[0])
             if quality <= f.split * (one + two):
                 out += [(i + 1, 1, j + 1, 1, two), (i, 1, j, 1, one)]
                 continue

@@ -165,30 +165,37 @@ class Span:
 
 
 def span_tokens(corpus: Corpus, a: DataFrame, att: str, span: Span = Span(), out: str = "toks", reverse: bool = False) -> DataFrame:  # noqa: B008
-    """``a`` with the array of an attribute's values over a span, clamped to the corpus; right to left if ``reverse`` or if its ends are inverted."""
+    """``a`` with the array of an attribute's values over a span, clamped to the corpus; right to left if ``reverse`` or if its ends are inverted.
+
+    Spans are made distinct before they meet the tokens, and only (corpus, span) is joined back.
+    """
     lo, hi = F.col(span.lo) + span.lo_offset, F.col(span.hi) + span.hi_offset
-    rows = result(a).withColumn("_id", F.struct("match", "matchend", "target", "keyword", "sort_rank"))
-    spans = rows.select("corpus", "_id", F.greatest(F.least(lo, hi), F.lit(0)).alias("_lo"), F.greatest(lo, hi).alias("_hi")).filter("_lo is not null and _hi is not null").distinct()
+    rows = result(a).withColumns({"_lo": F.greatest(F.least(lo, hi), F.lit(0)), "_hi": F.greatest(lo, hi)})
+    rows = rows.withColumns({"_lo": F.when((lo + hi).isNotNull(), F.col("_lo")), "_hi": F.when((lo + hi).isNotNull(), F.col("_hi"))})
+    spans = rows.select("corpus", "_lo", "_hi").filter("_lo is not null").distinct()
     c = f"{att}_value" if att in corpus.satts else att
     hit = point_in_interval(corpus.tokens.select("corpus", "cpos", F.coalesce(c, F.lit("")).alias("_t")), "cpos", spans, "_lo", "_hi")
     toks = F.transform(F.array_sort(F.collect_list(F.struct("cpos", "_t"))), lambda x: x["_t"])
-    texts = hit.groupBy("corpus", "_id").agg(toks.alias(out))
-    joined = rows.join(texts.select(F.col("corpus").alias("_c"), F.col("_id").alias("_i"), out), (F.col("corpus") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_i")), "left").drop("_c", "_i", "_id")
+    joined = rows.join(hit.groupBy("corpus", "_lo", "_hi").agg(toks.alias(out)), ["corpus", "_lo", "_hi"], "left").drop("_lo", "_hi")
     joined = joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
     if reverse:
         return joined.withColumn(out, F.transform(F.reverse(out), lambda x: F.reverse(x)))
     return joined.withColumn(out, F.when(lo > hi, F.reverse(out)).otherwise(F.col(out)))
 
 
-def count(corpus: Corpus, a: DataFrame, att: str = "word", flags: str = "", span: Span = Span(), reverse: bool = False, cut: int = 1) -> DataFrame:  # noqa: B008
+def count(corpus: Corpus, a: DataFrame, att: str = "word", flags: str = "", span: Span = Span(), reverse: bool = False, cut: int = 1, descending: bool = False) -> DataFrame:  # noqa: B008
     """(corpus, text, size, first): equal token strings of the span, with the rank at which they start in sort order.
 
     text is folded as compared, and reversed if ``reverse``. Strings of at least ``cut`` rows remain.
+    ``descending`` ranks from the end of the order.
     """
     rows = span_tokens(corpus, a, att, span, "toks", reverse)
     text = F.transform("toks", lambda x: fold(x, flags)) if flags else F.col("toks")
     sizes = rows.groupBy("corpus", text.alias("toks")).agg(F.count("*").alias("size"))
     ranked = running_sum(sizes, ["corpus"], ["toks"], "size", "_upto").withColumn("first", F.col("_upto") - F.col("size"))
+    if descending:
+        total = sizes.groupBy("corpus").agg(F.sum("size").alias("_all"))
+        ranked = ranked.join(total, "corpus").withColumn("first", F.col("_all") - F.col("_upto"))
     return ranked.filter(F.col("size") >= max(1, cut)).select("corpus", F.array_join("toks", " ").alias("text"), "size", "first")
 
 

@@ -100,6 +100,12 @@ def _sample(c: Corpus) -> DataFrame:
     return there.groupBy("corpus").agg(F.count("*").alias("size"), F.count_distinct("match", "matchend").alias("distinct_rows"), F.count("_there").alias("of_result"))
 
 
+def _shown(c: Corpus) -> DataFrame:
+    view = display.View(1, 1, "word", "word", ("word", "pos"), ("s",), targets=True, structures=("text",))
+    found = _find(c, '@[pos="X"]')
+    return display.concordance(c, found.unionByName(found), view).select("corpus", "line_no", "match", "structures", "left_context", "node", "right_context")
+
+
 def _merged(c: Corpus) -> DataFrame:
     """Overlapping intervals, in an order that isn't theirs, as regions."""
     line = (F.col("match") * 7919 + F.col("matchend") * 104729) % 1000003
@@ -199,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sort_by_word": _with(lambda c: frequency.sort(c, _find(c, '[pos="X"]'), "word").select("corpus", "match", "sort_rank")),
     "tabulate": _with(lambda c: display.tabulate(c, _find(c, '[pos="A"] [pos="N"]'), [display.Item(frequency.Span(), "word"), display.single("match", "lemma", -1), display.single("matchend")]).select("corpus", "match", "item_0", "item_1", "item_2")),
     "kwic_words": _with(lambda c: display.kwic(c, _find(c, '[pos="X"]'), 2, 2, "word").select("corpus", "match", "left_context", "node", "right_context")),
+    "kwic_attributes": _with(_shown),
     "dump_rows": _with(lambda c: display.dump(_targets(c))),
     "decode_lines": _with(lambda c: display.decode(c, ["word", "pos"])),
     "describe": _with(display.describe),
@@ -343,6 +350,11 @@ SQL: dict[str, str] = {
     + """select x.corpus, x.match, coalesce(string_agg(coalesce(t.word, ''), ' ' order by t.cpos) filter (t.cpos < x.match), '') as left_context,
         coalesce(string_agg(coalesce(t.word, ''), ' ' order by t.cpos) filter (t.cpos = x.match), '') as node, coalesce(string_agg(coalesce(t.word, ''), ' ' order by t.cpos) filter (t.cpos > x.match), '') as right_context
         from xs x join t on t.corpus = x.corpus and t.cpos between x.match - 2 and x.match + 2 group by 1, 2""",
+    "kwic_attributes": T
+    + """, c as (select *, case when cpos = s_start then '<s>' else '' end || coalesce(word, '') || '/' || pos || case when cpos = s_end then '</s>' else '' end as cell from t)
+        select x.corpus, 2 * (row_number() over (partition by x.corpus, twice.k order by x.cpos) - 1) + twice.k as line_no, x.cpos as match, case when x.text_id is not null then '<text ' || coalesce(x.text_value, '') || '>' else '' end as structures,
+        coalesce(l.cell, '') as left_context, x.cell || '(0)' as node, coalesce(r.cell, '') as right_context
+        from (select 0 as k union all select 1) twice, c x left join c l on l.corpus = x.corpus and l.cpos = x.cpos - 1 left join c r on r.corpus = x.corpus and r.cpos = x.cpos + 1 where x.pos = 'X'""",
     "dump_rows": T + "select corpus, row_number() over (partition by corpus order by match) - 1 as line, match, matchend, coalesce(target, -1) as target, -1::bigint as keyword from tg",
     "decode_lines": T + "select corpus, cpos, 0 as ord, coalesce(word, '__UNDEF__') || chr(9) || pos as line from t",
     "describe": T

@@ -34,15 +34,33 @@ class Structure:
         return cls(name, int(depth or 0), tuple(a.rstrip("/") for a in attrs), valued)
 
 
-def read_files(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """(corpus, file, line_no, raw) of text files, compressed ones included. Files are taken in byte order of their names.
-
-    Lines of a file are numbered by their byte order within it: one file is one ordered
-    stream, so it is read by a single task; large corpora should come in many files.
+def read_files(spark: SparkSession, path: str, corpus: str, charset: str = "utf-8", invalid: str = "error") -> DataFrame:
+    """(corpus, file, line_no, raw) of text files, compressed ones included; files are put in byte order of their names.
+
+    A large file is read by many tasks, as Spark splits it. A line's place is its split's first byte and its
+    turn within the split; places are made numbers from 0 per file by prefix sums over range partitions.
+    A byte order mark at the beginning and carriage returns at the ends of lines are taken off. ``charset`` names the
+    encoding (UTF-8, or one the JVM decodes). Bytes that aren't valid UTF-8 are an error when the lines are read
+    (``invalid="error"``), become U+FFFD (``"repair"``), or stay for ``check_lines`` to report (``"keep"``).
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\\A\\x{feff}|\\n\\z", ""), "\\n")).alias("line_no", "raw"))
-    return lines.select(F.lit(corpus).alias("corpus"), "file", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("raw", "\\r\\z", "").alias("raw"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_turn"), F.col("value"))
+    if charset.lower().replace("-", "") != "utf8":
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), charset))
+    elif invalid == "repair":
+        lines = lines.withColumn("value", F.make_valid_utf8("value"))
+    elif invalid == "error":
+        lines = lines.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "file")).cast("string")))
+    numbered = running_sum(lines.withColumn("_one", F.lit(1).cast("long")), ["file"], ["_at", "_turn"], "_one", "_n")
+    # by bytes, which leaves invalid ones as they are
+    whole = F.when((F.col("_n") == 1) & F.col("value").startswith("\ufeff"), _bytes("value", F.lit(4), F.octet_length("value") - 3)).otherwise(F.col("value"))
+    numbered = numbered.withColumn("value", whole)
+    raw = F.when(F.col("value").endswith("\r"), _bytes("value", F.lit(1), F.octet_length("value") - 1)).otherwise(F.col("value"))
+    return numbered.select(F.lit(corpus).alias("corpus"), "file", (F.col("_n") - 1).alias("line_no"), raw.alias("raw"))
+
+
+def _bytes(c: str, start: Column, n: Column) -> Column:
+    return F.substr(F.col(c).cast("binary"), start, n).cast("string")
 
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str) -> DataFrame:
@@ -193,9 +211,11 @@ def import_beads(rows: DataFrame, reverse: bool = False) -> DataFrame:
 
 
 def check_lines(lines: DataFrame, columns: int | None = None) -> DataFrame:
-    """(corpus, file, line_no, problem): empty lines, CR ends, leading blanks, malformed tags, other column counts, unbalanced tags.
+    """(corpus, file, line_no, problem): empty lines, invalid UTF-8, CR ends, leading blanks, malformed tags, other column counts, unbalanced and crossing tags.
 
-    ``columns`` is the wanted number; without it the most frequent one of the corpus.
+    ``columns`` is the wanted number; without it the most frequent one of the corpus. Tags nest if an end tag meets, as the
+    last tag of its level, the start tag of its name: ``crossing``, at the end tag, tells of one that doesn't, ``surplus``
+    of one that nothing opened. Levels are prefix sums over range partitions. A tag that stays open is ``unbalanced``.
     """
     raw = F.col("raw")
     tag = raw.rlike(r"\A<(?:/?[A-Za-z]|[!?])")
@@ -207,11 +227,57 @@ def check_lines(lines: DataFrame, columns: int | None = None) -> DataFrame:
     else:
         rows = rows.withColumn("_want", F.lit(columns))
     problem = (
-        F.when(raw.isNull() | (raw == ""), "empty").when(raw.endswith("\r"), "carriage_return").when(raw.rlike(r"\A\s"), "leading_blank")
+        F.when(raw.isNull() | (raw == ""), "empty").when(~F.is_valid_utf8(raw), "encoding").when(raw.endswith("\r"), "carriage_return").when(raw.rlike(r"\A\s"), "leading_blank")
         .when(tag & ~raw.rlike(r"\A<[!?]") & ~raw.rlike(r"\A</?[A-Za-z][\w.-]*(?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*/?>\s*\z"), "tag")
         .when(F.col("_n") != F.col("_want"), "columns")
     )
     found = rows.select("corpus", "file", "line_no", problem.alias("problem")).filter("problem is not null")
-    tags = rows.filter(tag & raw.rlike(r"\A</?[A-Za-z]") & ~raw.rlike(r"/>\s*\z")).select("corpus", "file", F.regexp_extract("raw", r"\A</?([A-Za-z][\w.-]*)", 1).alias("_name"), F.when(raw.startswith("</"), -1).otherwise(1).alias("_step"))
+    tags = rows.filter(tag & raw.rlike(r"\A</?[A-Za-z]") & ~raw.rlike(r"/>\s*\z")).select("corpus", "file", "line_no", F.regexp_extract("raw", r"\A</?([A-Za-z][\w.-]*)", 1).alias("_name"), F.when(raw.startswith("</"), -1).otherwise(1).cast("long").alias("_step"))
+    level = running_sum(tags, ["corpus", "file"], ["line_no"], "_step", "_level").withColumn("_level", F.when(F.col("_step") == 1, F.col("_level") - 1).otherwise(F.col("_level")))
+    # of tags on one level, each start tag is followed by its end tag
+    after = next_in_order(level, ["corpus", "file", "_level"], "line_no", F.struct("_step", "_name", "line_no"), "_next")
+    fits = (F.col("_next._step") == -1) & (F.col("_next._name") == F.col("_name"))
+    crossing = after.filter((F.col("_step") == 1) & F.col("_next").isNotNull() & ~fits).select("corpus", "file", F.col("_next.line_no").alias("line_no"), F.concat(F.lit("crossing "), "_next._name").alias("problem"))
+    # an end tag that begins a level, or follows another one on it, ends nothing
+    first = level.groupBy("corpus", "file", "_level").agg(F.min_by(F.struct("_step", "_name", "line_no"), "line_no").alias("_next"))
+    ends = after.filter("_step = -1").select("corpus", "file", "_next").unionByName(first.select("corpus", "file", "_next")).filter("_next._step = -1")
+    surplus = ends.select("corpus", "file", F.col("_next.line_no").alias("line_no"), F.concat(F.lit("surplus "), "_next._name").alias("problem"))
     unbalanced = tags.groupBy("corpus", "file", "_name").agg(F.sum("_step").alias("_s")).filter("_s <> 0").select("corpus", "file", F.lit(None).cast("long").alias("line_no"), F.concat(F.lit("unbalanced "), F.col("_name")).alias("problem"))
-    return found.unionByName(unbalanced)
+    return found.unionByName(crossing).unionByName(surplus).unionByName(unbalanced)
+
+
+def read_beads(lines: DataFrame, target: str) -> DataFrame:
+    """Beads from (corpus, file, line_no, raw) of alignment files: ``s1 s2 t1 t2`` by blanks or tabs, further columns ignored.
+
+    Lines that don't begin with a digit (the header) are skipped, as are beads with an empty side. Source
+    regions must ascend without overlap; anything else is an error when the beads are computed.
+    """
+    cells = F.split(F.trim("raw"), "\\s+")
+    at = [F.get(cells, F.lit(k)).try_cast("long").alias(c) for k, c in enumerate(("s1", "s2", "t1", "t2"))]
+    rows = lines.filter(F.col("raw").rlike(r"\A\s*\d")).select(F.col("corpus").alias("source"), F.lit(target).alias("target"), "file", "line_no", *at)
+    after = next_in_order(rows, ["source", "file"], "line_no", F.col("s1"), "_next")
+    good = (F.col("s1").isNotNull() & F.col("t2").isNotNull()) & F.coalesce(F.col("_next") > F.col("s2"), F.lit(True))
+    what = F.concat(F.lit("source regions must ascend: line "), F.col("line_no").cast("string"))
+    return import_beads(after.withColumn("s1", F.when(good, F.col("s1")).otherwise(F.raise_error(what).cast("long"))).select("source", "target", "s1", "s2", "t1", "t2"))
+
+
+def check_pre_alignment(source: "Corpus", target: "Corpus", satt: str, pre: str) -> DataFrame:  # noqa: F821
+    """(corpus, pair, struc, problem): what keeps regions of ``pre`` from aligning sentences pair by pair.
+
+    ``count``: the corpora have different numbers of them; ``partition``: a region doesn't begin or end with
+    one of ``satt``. Empty if all is well.
+    """
+    out = None
+    for c, other in ((source, target), (target, source)):
+        of = c.regions.filter(F.col("satt") == pre)
+        inner = c.regions.filter(F.col("satt") == satt)
+        edges = of.join(inner.select("corpus", "start", F.lit(True).alias("_a")), ["corpus", "start"], "left").join(inner.select("corpus", "end", F.lit(True).alias("_z")), ["corpus", "end"], "left")
+        bad = edges.filter("_a is null or _z is null").select("corpus", F.lit(None).cast("string").alias("pair"), "struc", F.lit("partition").alias("problem"))
+        mine = of.groupBy("corpus").agg(F.count("*").alias("_n"))
+        theirs = other.regions.filter(F.col("satt") == pre).groupBy(F.col("corpus").alias("pair")).agg(F.count("*").alias("_m"))
+        uneven = mine.join(theirs, F.col("corpus") != F.col("pair")).filter("_n <> _m").select("corpus", "pair", F.lit(None).cast("long").alias("struc"), F.lit("count").alias("problem"))
+        both = bad.unionByName(uneven)
+        out = both if out is None else out.unionByName(both)
+    return out.distinct()
+
+

@@ -63,3 +63,33 @@ def test_stream_extensions(spark, tmp_path):
     assert {tuple(r) for r in spark.table("counts").collect()} == batch
     tokens = spark.createDataFrame([("A", 0, "x"), ("A", 0, "x"), ("A", 1, "x")], "corpus string, cpos bigint, word string")
     assert [tuple(r) for r in live_ngrams(tokens).collect()] == [("A", "x", 2)]
+
+
+def test_best_path_against_brute_force():
+    import random
+    from collections import Counter
+    from functools import cache
+
+    from tessella.operators.aligner import STEPS, _beads
+
+    rng = random.Random(5)
+    f = Features(shared=7, split=0)
+    for _ in range(40):
+        x, y = ([(10 * k, 10 * k + 9, rng.randrange(20), Counter({("w", rng.choice("abcdef"), 7): rng.randrange(1, 3) for _ in range(3)})) for k in range(rng.randrange(1, 9))] for _ in range(2))
+
+        def like(i, di, j, dj, x=x, y=y):
+            a, b = (sum((s[3] for s in side[k : k + d]), Counter()) for side, k, d in ((x, i, di), (y, j, dj)))
+            return min(sum(s[2] for s in x[i : i + di]), sum(s[2] for s in y[j : j + dj])) + 7 * sum((a & b).values())
+
+        @cache
+        def best(i, j, x=x, y=y):
+            if i == len(x) and j == len(y):
+                return 0
+            return max(best(i + di, j + dj) + (like(i, di, j, dj) if di and dj else 0) for di, dj in STEPS if i + di <= len(x) and j + dj <= len(y))
+
+        beads = _beads(x, y, f)
+        assert sum(b[5] for b in beads) == best(0, 0)
+        starts = [b[:2] for b in beads if b[1] >= b[0]]
+        assert [p for a, z in starts for p in range(a, z + 1)] == [p for s in x for p in range(s[0], s[1] + 1)]
+        assert sum(b[5] for b in _beads(x, y, Features(shared=7, split=0, beam=1))) <= best(0, 0)
+    assert _beads([(0, 9, 5, Counter())], [(k, k, 1, Counter()) for k in range(300)], Features(beam=2))[-1][3] == 299

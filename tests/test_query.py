@@ -8,7 +8,7 @@ from tessella.operators import access, alignment, cooccur, display, frequency, i
 from tessella.plans.language import Parser, QuerySyntaxError, parse
 from tessella.plans.macros import MacroError, Macros
 from tessella.plans.predicates import BindError
-from tessella.plans.session import session
+from tessella.plans.session import Facade, session
 
 M1 = "the big red dog saw a cat . Dogs run fast .".split()
 P1 = "D A A N V D N P N V R P".split()
@@ -317,6 +317,21 @@ def test_display(m1):
     assert lines == ["<s 2>", "Dogs\tN", "run\tV", "fast\tR", ".\tP", "</s>"]
 
 
+def test_concordance(m1):
+    a = sequence.run(m1, parse('@"dog" @1"saw"'))
+    twice = a.unionByName(a)
+    view = display.View(2, 1, "word", "np", ("word", "pos"), ("np",), targets=True, structures=("s",))
+    rows = display.concordance(m1, twice, view).orderBy("line_no").collect()
+    assert [(r.line_no, r.structures, r.left_context, r.node, r.right_context) for r in rows] == [(k, "<s 1>", "big/A red/A", "dog/N</np>(0) saw/V(1)", "") for k in (0, 1)]
+    assert display.kwic(m1, twice, 1, 1, "word").count() == 2
+    for mode in display.MODES:
+        for table in (False, True):
+            lines = [r.text for r in display.rendered(display.concordance(m1, a, view), mode, numbered=True, table=table).collect()]
+            top, bottom = display.frame(mode, {"query": "a & b"}, table, True)
+            assert len(lines) == 1 and "saw/V(1)" in lines[0] and ("</np>" in lines[0]) == (mode in ("ascii", "latex")) and len(top) + len(bottom) > 0
+    assert display.tabulate(m1, twice, [display.single("target", "word"), display.single("keyword", "pos", 1)]).select("item_0", "item_1").collect() == [("dog", "D")] * 2
+
+
 def test_alignment(spark):
     beads = spark.createDataFrame([("S", "T", 0, 0, 1, 0, 2), ("S", "T", 1, 2, 4, 3, 4), ("S", "T", 2, 6, 7, 5, 6)], "source string, target string, bead bigint, s1 bigint, s2 bigint, t1 bigint, t2 bigint")
     s, t = corpus(spark, "S", list("abcdefgh"), beads=beads), corpus(spark, "T", list("tuvwxyz"))
@@ -338,9 +353,9 @@ def test_access(m1):
 
 def test_access_by_table_and_all(spark, m1):
     some = spark.createDataFrame([("M1", 7), ("M1", 8), ("M1", 8), ("M2", 9), ("M1", 99)], "corpus string, cpos bigint").withColumn("word", F.lit("own"))
-    assert sorted(tuple(r)[1:] for r in access.cpos2struc(m1, "s", some).collect()) == [(7, 0, 0, 7, "1", 6), (8, 1, 8, 11, "2", 5)]
+    assert sorted(tuple(r)[1:] for r in access.cpos2struc(m1, "s", some).collect()) == [(7, 0, 0, 7, "1", 5), (8, 1, 8, 11, "2", 3)]
     every = access.cpos2struc(m1, "s").collect()
-    assert sorted(r.cpos for r in every) == list(range(12)) and {r.cpos for r in every if r.flags == 6} == {7, 11}
+    assert sorted(r.cpos for r in every) == list(range(12)) and {r.cpos for r in every if r.flags == 5} == {7, 11}
 
 
 def test_macros():
@@ -354,6 +369,47 @@ def test_macros():
             m.expand(bad)
 
 
+def test_session_options_and_output(spark, m1, tmp_path):
+    s = session({"M1": m1})
+    s.run('set DefaultNonbrackAttr "pos"')
+    assert pairs(s.run('"D" "N"')) == [(5, 6)] and pairs(s.run('["V"]')) == [(4, 4), (9, 9)]
+    s.run('set da word; set hb 2; set HardCut 1')
+    assert pairs(s.run('"dog" []* "cat"')) == [] and pairs(s.run(N)) == [(3, 3)]
+    s.run("set hb 500; set hc 0")
+    s.run('A = @"dog" @1"saw"; set Context 1 words; set LeftContext 1 np; set ShowTargets on; show +pos +np -cpos; set ps s')
+    assert [r.text for r in s.run("cat A").collect()] == ["<s 1>:  big/A red/A".replace(":  ", ": <np>the/D ") + " <dog/N</np>(0) saw/V(1)> <np>a/D"]
+    s.run("show -pos; show -np; set c 3; show +cpos; set st off; set ps none")
+    assert [r.text for r in s.run("cat A").collect()] == ["        3: red <dog saw> a c"]
+    s.run("set pm html; set po hdr")
+    text = [r.text for r in s.run("cat A").orderBy("corpus", "line_no").collect()]
+    assert text[-1] == "</ul>" and any("dog saw" in x and "<li>" in x for x in text) and any("query" in x for x in text)
+    s.run("set pm ascii; set po none")
+    assert s.run("show cd")["positional"] == {"word": True, "pos": False} and s.run("set hb") == {"hard_boundary": 500} and "pager" in s.run("show options")
+    for bad in ("set Nothing 1", "set hb many", "set ShowTargets perhaps", "set ms odd", "set pm odd", "show +odd", "count A word"):
+        with pytest.raises(QuerySyntaxError):
+            s.run(bad)
+    read = lambda n: [r.value for r in spark.read.text(str(tmp_path / n)).collect()]
+    s.run(f"""B = [pos="N"]; cat A > "{tmp_path}/cat"; dump B > "{tmp_path}/dump"; tabulate B match word, match pos > '{tmp_path}/tab'; group B match word > "{tmp_path}/group"; count B by word > "{tmp_path}/count" """)
+    assert read("cat") == ["        3: red <dog saw> a c"] and read("dump") == ["3\t3\t-1\t-1", "6\t6\t-1\t-1", "8\t8\t-1\t-1"] and read("tab") == ["dog\tN", "cat\tN", "Dogs\tN"]
+    assert len(read("group")) == 3 and [x.split("\t")[0] for x in read("count")] == ["Dogs", "cat", "dog"]
+    assert [r["first"] for r in s.run("count B by word desc").orderBy("text").collect()] == [2, 1, 0]
+    with pytest.raises(QuerySyntaxError):
+        s.run('cat A > "| sort"')
+    s.run(f'undump U < "{tmp_path}/dump"; undump T with target keyword < "{tmp_path}/dump"')
+    assert pairs(s.named("U")) == [(3, 3), (6, 6), (8, 8)] and s.named("T").filter("target is null").count() == 3
+    (tmp_path / "words").write_text("dog\nbig red\n")
+    s.run(f'define $v = "cat"; define $v += < "{tmp_path}/words"')
+    assert s.run("show $v") == ["big red", "cat", "dog"]
+    s.run("set sub on; [pos=\"D\"] [pos=\"A\"]+ [pos=\"N\"]")
+    assert s.active == "Last" and pairs(s.run('[pos="A"]')) == [(1, 1), (2, 2)]
+    f = Facade(session({"M1": m1}))
+    assert pairs(f.query("M1", "Q", N)) == [(3, 3), (6, 6), (8, 8)] and f.list_subcorpora("M1") == ["Last", "Q"] and f.subcorpus_size("Q").first().size == 3
+    assert not f.subcorpus_has_field("Q", "target") and f.subcorpus_has_field("Q", "match") and [r.match for r in f.dump_subcorpus("Q", "match", 1, 2).orderBy("line").collect()] == [6, 8]
+    assert {(r.value, r.freq) for r in f.fdist_1("Q", 3, "match", "pos").collect()} == {("N", 3)} and f.fdist_2("Q", 1, "match", "pos", "match", "word").count() == 3
+    f.drop_subcorpus("Q")
+    assert f.list_subcorpora("M1") == ["Last"]
+
+
 def test_session(m1):
     s = session({"M1": m1})
     assert pairs(s.run(f"A = {N}; B = [pos=\"P\"]; C = union A B")) == [(3, 3), (6, 6), (7, 7), (8, 8), (11, 11)]

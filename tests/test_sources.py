@@ -66,6 +66,37 @@ def test_files(spark, tmp_path):
     assert [r.raw for r in rows.orderBy("file", "line_no").collect()] == ["one", "uno", "two"]
 
 
+def test_large_and_odd_files(spark, tmp_path):
+    words = [f"w{i}" for i in range(3000)]
+    (tmp_path / "big.vrt").write_text("\n".join(words) + "\n\nlast")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = vertical.read_files(spark, str(tmp_path / "big.vrt"), "C")
+        assert [r.raw for r in rows.orderBy("line_no").collect()] == [*words, "", "last"] and rows.agg(F.max("line_no")).first()[0] == 3001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "latin.vrt").write_bytes("é\nx\n".encode("latin-1"))
+    at = str(tmp_path / "latin.vrt")
+    assert [r.raw for r in vertical.read_files(spark, at, "C", "iso-8859-1").orderBy("line_no").collect()] == ["é", "x"]
+    assert [r.raw for r in vertical.read_files(spark, at, "C", invalid="repair").orderBy("line_no").collect()] == ["\ufffd", "x"]
+    with pytest.raises(Exception, match="not UTF-8"):
+        vertical.read_files(spark, at, "C").collect()
+    assert {(r.line_no, r.problem) for r in vertical.check_lines(vertical.read_files(spark, at, "C", invalid="keep")).collect()} == {(0, "encoding")}
+
+
+def test_alignment_files(spark):
+    raw = ["S s T s", "0 3\t0 4 1:1", "4 6 5 4", "7 9 5 9 2:1 77"]
+    lines = spark.createDataFrame([("S", "f", i, x) for i, x in enumerate(raw)], "corpus string, file string, line_no bigint, raw string")
+    assert [tuple(r) for r in vertical.read_beads(lines, "T").orderBy("bead").collect()] == [("S", "T", 0, 0, 3, 0, 4), ("S", "T", 1, 7, 9, 5, 9)]
+    bad = lines.unionByName(spark.createDataFrame([("S", "f", 9, "8 10 10 12")], lines.schema))
+    with pytest.raises(Exception, match="must ascend"):
+        vertical.read_beads(bad, "T").collect()
+    c = [Corpus.build(spark.createDataFrame([(k, i, "x") for i in range(6)], "corpus string, cpos bigint, word string"), spark.createDataFrame(r, "corpus string, satt string, struc bigint, start bigint, end bigint, value string"), ("word",), ("s", "text")) for k, r in (
+        ("S", [("S", "text", 0, 0, 5, None), ("S", "s", 0, 0, 2, None), ("S", "s", 1, 3, 5, None)]), ("T", [("T", "text", 0, 0, 2, None), ("T", "text", 1, 3, 5, None), ("T", "s", 0, 0, 3, None), ("T", "s", 1, 4, 5, None)]))]
+    got = {tuple(r) for r in vertical.check_pre_alignment(c[0], c[1], "s", "text").collect()}
+    assert got == {("S", "T", None, "count"), ("T", "S", None, "count"), ("T", None, 0, "partition"), ("T", None, 1, "partition")}
+
+
 def test_blocks_are_crossed(spark, monkeypatch):
     monkeypatch.setattr(vertical, "BLOCK", 3)
     df = spark.createDataFrame([("a", i) for i in (0, 1, 2, 7, 20)] + [("b", 4)], "k string, o bigint")
@@ -97,8 +128,17 @@ def test_check_lines(spark):
     raw = ["a\tb", "a\tb", "", " a\tb", "a", "<s x=1>", "<s>", "</s>", "</s>", "a\tb\r"]
     lines = spark.createDataFrame([("C", "f", i, x) for i, x in enumerate(raw)], "corpus string, file string, line_no bigint, raw string")
     got = {(r.line_no, r.problem) for r in vertical.check_lines(lines).collect()}
+    # the start tag in line 5 is malformed, yet a tag
     assert got == {(2, "empty"), (3, "leading_blank"), (4, "columns"), (5, "tag"), (9, "carriage_return")}
 
+    def nesting(*tags):
+        df = spark.createDataFrame([("C", "f", i, x) for i, x in enumerate(tags)], lines.schema)
+        return {(r.line_no, r.problem) for r in vertical.check_lines(df).collect()}
+
+    assert nesting("<a>", "<b>", "</b>", "<b>", "</b>", "</a>", "<c/>") == set()
+    assert nesting("<a>", "<b>", "</a>", "</b>") == {(2, "crossing a"), (3, "crossing b")}
+    assert nesting("</a>", "<a>") == {(0, "surplus a")} and nesting("<a>", "</a>", "</a>", "<b>", "</b>", "</c>") == {(2, "surplus a"), (5, "surplus c"), (None, "unbalanced a"), (None, "unbalanced c")} and nesting("<a>", "<b>", "</b>") == {(None, "unbalanced a")}
+
 
 def test_results(spark, tmp_path):
     c = Corpus.build(spark.createDataFrame([("C", i, "x") for i in range(10)], "corpus string, cpos bigint, word string"), None, ("word",))
