@@ -155,25 +155,59 @@ def key_runs(df: DataFrame, keys: Sequence[str], order: str, n: int | None = Non
     return stitched.select(*[F.col(a).alias(k) for a, k in zip(ks, keys, strict=True)], "n_rows", "n_positions", "first_pos", "last_pos", "max_gap")
 
 
+def _local_sums(keys: list[int], value: int, schema: pa.Schema):
+    """Streams a sorted partition and adds its number and each row's sum within key and partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        part = ctx.partitionId() if ctx is not None else 0
+        open_key, carried = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(i) for i in keys]
+            at = np.flatnonzero(_changes(columns))
+            v = b.column(value).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(v)
+            # each run of a key begins anew, but for one that the last batch left open
+            before = np.where(at > 0, upto[at - 1], 0)
+            first = tuple(c[0].as_py() for c in columns)
+            if first == open_key:
+                before[0] -= carried
+            sums = upto - np.repeat(before, np.diff(np.append(at, b.num_rows)))
+            open_key, carried = tuple(c[b.num_rows - 1].as_py() for c in columns), int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(sums)], schema=schema)
+
+    return run
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, n: int | None = None) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the key's rows up to and with this one.
+    """``df`` with ``out``: the sum of ``value`` (integers) over the key's rows up to and with this one.
 
-    Range partitions on (keys, order) as in key_runs; one sum per key and
-    partition, whose own prefix sums (at most partitions x keys rows) are joined
-    back as the offset of the partition. ``order`` must be unique within a key
-    for a defined result. Null values count as 0; null keys form groups.
-    The ranged rows are written once, as both passes need the same cuts.
+    Range partitions on (keys, order) as in key_runs, shuffled once: each sorted
+    partition is streamed past one sum, and written with it. What the partitions before a
+    row's own hold of its key (at most partitions x keys rows) is joined back.
+    ``order`` must be unique within a key for a defined result. Null values count as 0; null keys
+    form groups. A column named ``out`` is replaced.
     """
     n = n or partitions(df.sparkSession)
+    df = df.drop(out)
     part, at, offset = _free(df, "part"), _free(df, "at_part"), _free(df, "offset")
     own = [_free(df, f"key{i}") for i in range(len(keys))]
-    ranged = cut(df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()), "ranged")
-    v = F.coalesce(F.col(value), F.lit(0))
-    sums = ranged.groupBy(*keys, part).agg(F.sum(v).alias(offset))
+    if not isinstance(df.schema[value].dataType, T.IntegralType):
+        raise TypeError(f"{value} isn't a column of integers")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(out, T.LongType())])
+    # spelled as in the schema, whatever the case the caller wrote
+    place = {c.lower(): i for i, c in enumerate(df.columns)}
+    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    local = cut(ranged.mapInArrow(_local_sums([place[k.lower()] for k in keys], place[value.lower()], to_arrow_schema(schema)), schema), "ranged")
+    sums = local.groupBy(*keys, part).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias(offset))
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(k).alias(c) for k, c in zip(keys, own, strict=True)], F.col(part).alias(at), F.coalesce(F.sum(offset).over(before), F.lit(0)).alias(offset))
-    inner = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn(out, F.sum(v).over(inner))
     on = F.col(part) == F.col(at)
     for k, c in zip(keys, own, strict=True):
         on = on & F.col(k).eqNullSafe(F.col(c))
