@@ -1,4 +1,16 @@
-"""Passages of held-out items in documents: a generalised suffix automaton over words."""
+"""Passages of held-out items in documents: generalised suffix automata over words.
+
+Words are compared by 64 bits of their hash; a passage is a run of such words, so that
+all of them would have to collide.
+
+1. Items are read into words and cut into blocks of bounded size (``item_parts``).
+2. One pass reads all documents into words, whatever the number of blocks. A bit
+   filter over the items' runs of ``least`` words, of bounded size, leaves the
+   stretches that may hold a passage (``_stretches``); only these are written.
+3. Stretches are led to the blocks by their runs of words, and each block's automaton, built in
+   a task of its own, tracks the longest match along its stretches. What the filter let pass by chance finds none.
+4. The places found are put together by text and item, so block borders don't show.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +18,14 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.skew import running_sum, weighted_join
 from tessella.session import cut
 
 # Tags that end a line or a block; all others leave no gap between letters.
@@ -75,22 +88,19 @@ def words(text: str) -> list[str]:
 
 
 class Automaton:
-    """Suffix automaton of all items' words; built on the driver, read in the tasks.
+    """Generalised suffix automaton of some items' words.
 
-    ``step[v]`` maps a word number to the next state, ``link`` and ``size`` are
+    ``step[v]`` maps a word to the next state, ``link`` and ``size`` are
     the suffix links and longest lengths. ``level[v]`` is the state on v's link
     path that holds its suffix of ``least`` words (-1 if v is shorter), and
     ``items[level]`` the items that hold those words.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], least: int) -> None:
+    def __init__(self, items: list[tuple[int, list]], least: int) -> None:
         self.least = least
-        self.vocab: dict[str, int] = {}
-        self.length = {i: len(w) for i, w in items}
-        step: list[dict[int, int]] = [{}]
+        step: list[dict] = [{}]
         link, size = [-1], [0]
-        coded = [(i, [self.vocab.setdefault(x, len(self.vocab)) for x in w]) for i, w in items]
-        for _, code in coded:
+        for _, code in items:
             last = 0
             for c in code:
                 last = self._extend(step, link, size, last, c)
@@ -100,7 +110,7 @@ class Automaton:
             if size[v] >= least:
                 self.level[v] = v if size[link[v]] < least else self.level[link[v]]
         found: dict[int, set[int]] = {}
-        for i, code in coded:
+        for i, code in items:
             v = 0
             for n, c in enumerate(code, 1):
                 v = step[v][c]
@@ -109,7 +119,7 @@ class Automaton:
         self.items = {k: tuple(sorted(x)) for k, x in found.items()}
 
     @staticmethod
-    def _extend(step: list[dict[int, int]], link: list[int], size: list[int], last: int, c: int) -> int:
+    def _extend(step: list[dict], link: list[int], size: list[int], last: int, c: object) -> int:
         def split(p: int, q: int) -> int:
             """State for what p reads by c, cut out of q where q also holds longer strings."""
             if size[p] + 1 == size[q]:
@@ -137,152 +147,271 @@ class Automaton:
             link[new] = split(p, step[p][c])
         return new
 
-    def ends(self, code: np.ndarray) -> list[tuple[int, int]]:
-        """(position, level state) of every word that ends a match of ``least`` words or more.
-
-        Only stretches of at least ``least`` words known to some item are walked.
-        """
-        known = np.flatnonzero(np.diff(np.concatenate(([0], (code >= 0).astype(np.int8), [0]))))
+    def ends(self, code: list) -> list[tuple[int, int]]:
+        """(position, level state) of every word that ends a match of ``least`` words or more."""
         out: list[tuple[int, int]] = []
         step, link, size, level, least = self.step, self.link, self.size, self.level, self.least
-        for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
-            if b - a < least:
-                continue
-            v = n = 0
-            for at, c in enumerate(code[a:b].tolist(), a):
-                while v and c not in step[v]:
-                    v = link[v]
-                    n = size[v]
-                if c in step[v]:
-                    v = step[v][c]
-                    n += 1
-                if n >= least:
-                    # n may fall short of the state's own strings, never of its level's
-                    out.append((at, level[v]))
+        v = n = 0
+        for at, c in enumerate(code):
+            while v and c not in step[v]:
+                v = link[v]
+                n = size[v]
+            if c in step[v]:
+                v = step[v][c]
+                n += 1
+            if n >= least:
+                # n may fall short of the state's own strings, never of its level's
+                out.append((at, level[v]))
         return out
 
+    def runs(self, code: list) -> dict[int, list[list[int]]]:
+        """By item, the first and last place of each run of places where a match ends."""
+        out: dict[int, list[list[int]]] = {}
+        for at, level in self.ends(code):
+            for i in self.items[level]:
+                runs = out.setdefault(i, [])
+                if runs and runs[-1][1] == at - 1:
+                    runs[-1][1] = at
+                else:
+                    runs.append([at, at])
+        return out
 
-class _Codes(dict):
-    """Written form of a word to its number in the automaton, -1 if no item has it."""
 
-    def __init__(self, vocab: dict[str, int]) -> None:
-        super().__init__()
-        self.vocab = vocab
+class _Codes(dict):
+    """Written form of a word to 64 bits of the folded word's hash."""
 
     def __missing__(self, word: str) -> int:
-        code = self.vocab.get(fold(word), -1)
         if len(self) > 500_000:
             self.clear()
+        code = xxhash.xxh3_64_intdigest(fold(word).encode("utf-8", "surrogatepass"))
+        code -= (code >> 63) << 64
         self[word] = code
         return code
 
 
-def _spans(auto: Automaton, ends: list[tuple[int, int]]) -> dict[int, list[list[int]]]:
-    """By item, the first and last word of each stretch whose every ``least`` words are the item's."""
-    out: dict[int, list[list[int]]] = {}
-    for at, level in ends:
-        for i in auto.items[level]:
-            spans = out.setdefault(i, [])
-            if spans and spans[-1][1] == at - 1:
-                spans[-1][1] = at
-            else:
-                spans.append([at - auto.least + 1, at])
-    return out
+def _coded(text: str, codes: _Codes) -> np.ndarray:
+    return np.fromiter(map(codes.__getitem__, _WORD.findall(mask(text))), np.int64)
 
 
-def automata(items: DataFrame, least: int, block_words: int) -> Iterator[Automaton]:
-    """One automaton per block of at most ``block_words`` words (or a single longer item)."""
-    block: list[tuple[int, list[str]]] = []
-    held = 0
-    for r in items.filter("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        w = words(r.text)
-        if len(w) < least:
-            continue
-        if block and held + len(w) > block_words:
-            yield Automaton(block, least)
-            block, held = [], 0
-        block.append((r.item_id, w))
-        held += len(w)
-    if block:
-        yield Automaton(block, least)
+def _grams(code: np.ndarray, least: int) -> np.ndarray:
+    """A hash of each run of ``least`` words, mixed so that any of its bits serve as bit numbers."""
+    words_ = code.view(np.uint64)
+    n = len(words_) - least + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(least if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words_[k : k + n]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
-LEAKS = "doc_id bigint, item_id bigint, longest int, matched int, item_words int, doc_words int"
+PARTS = "item_id bigint, part int, item_words int, n bigint, codes array<bigint>"
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: int = 8, block_words: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, longest, matched, item_words, doc_words): documents that hold ``least`` consecutive words of an item.
+def item_parts(items: DataFrame, least: int, block_words: int) -> DataFrame:
+    """(item_id, item_words, codes, block): the items' words in parts of at most ``block_words``, in blocks of about as many.
 
-    longest is the longest such stretch, matched the document's words in any of them.
-    Words are what ``words`` reads. Items are the stated query set: their
-    automaton is broadcast in blocks of ``block_words`` words, which bounds its
-    size (under 1 kB a word); every block is held against all documents
-    in a narrow pass without shuffle. Documents are streamed word by word past
-    the automaton, which tracks the state of the longest match. Null or empty
-    texts, a null doc_id or item_id, and items shorter than ``least`` words
-    give no rows; repeated documents each count; a repeated item_id counts
-    once per document within a block and its texts are taken together.
+    Parts of one item share ``least`` - 1 words, so every run of ``least`` words lies in one of them.
+    Items shorter than ``least`` words, or without id or text, have none.
     """
-    spark = documents.sparkSession
-    docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    found = [docs.mapInArrow(_leaks(_share(spark, auto)), LEAKS) for auto in automata(items, least, block_words)]
-    if len(found) < 2:
-        return found[0] if found else spark.createDataFrame([], LEAKS)
-    # an item_id repeated in several blocks is one item
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("longest", "matched", "item_words", "doc_words")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        stride = max(block_words - least + 1, 1)
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                code = _coded(text, codes)
+                for k, s in enumerate(range(0, len(code) - least + 1, stride)):
+                    part = code[s : s + stride + least - 1]
+                    rows.append((i, k, len(code), len(part), part))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "part", "item_words", "n", "codes"])
+
+    parts = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(run, PARTS)
+    placed = running_sum(parts.dropDuplicates(["item_id", "codes"]).withColumn("_all", F.lit(0)), ["_all"], ["item_id", "part", "n", "codes"], "n", "_upto")
+    return cut(placed.select("item_id", "item_words", "codes", "n", F.floor((F.col("_upto") - F.col("n")) / block_words).alias("block")), "item-parts")
+
+
+MOST_BITS = 28
+PROBES = (0, 12, 24, 36)
+
+
+def _filter(grams: DataFrame, runs: int) -> bytes:
+    """Four bits per run of words in 64 bits a run, but 2 ** MOST_BITS (32 MB) at most: what is broadcast has that bound.
 
-def _share(spark: SparkSession, auto: Automaton):
-    """Broadcast as plain lists and dicts, which tasks read without this module at hand."""
-    return spark.sparkContext.broadcast(vars(auto))
+    Made as bitmaps of 4 kB by Spark. Of other runs 0.002 % pass by chance, 0.4 % with 20 million
+    runs in it; that costs time later, no results.
+    """
+    bits = min(MOST_BITS, max(16, (64 * max(runs, 1)).bit_length()))
+    mask_ = (1 << bits) - 1
+    each = F.array(*[F.shiftrightunsigned("gram", k).bitwiseAND(mask_) for k in PROBES])
+    at = grams.select(F.explode(each).alias("b")).withColumn("b", F.col("b") + 1)  # these maps count from 1
+    maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+    out = bytearray((1 << bits) // 8)
+    for r in maps.collect():  # at most 2 ** MOST_BITS / 32768 rows
+        start = (r.k - 1) * 4096
+        out[start : start + 4096] = r.m[: len(out) - start]
+    return bytes(out)
+
+
+def _passes(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    mask_ = np.uint64(len(bits) * 8 - 1)
+    out = None
+    for k in PROBES:
+        at = (grams >> np.uint64(k)) & mask_
+        hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        out = hit if out is None else out & hit
+    return out.astype(bool)
 
 
-def _shared(value: dict) -> Automaton:
-    auto = Automaton.__new__(Automaton)
-    auto.__dict__.update(value)
-    return auto
+STRETCHES = "doc_id bigint, t1 bigint, t2 bigint, k int, start int, doc_words int, codes array<bigint>"
 
 
-def _leaks(shared):
+def _stretches(documents: DataFrame, bits: bytes, least: int) -> DataFrame:
+    """(doc_id, t1, t2, k, start, doc_words, codes): of each document row, the stretches of words whose runs all pass the filter.
+
+    t1 and t2, 128 bits of hash, stand for the text.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _shared(shared.value)
-        codes = _Codes(auto.vocab)
+        codes, table = _Codes(), np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                code = np.fromiter(map(codes.__getitem__, _WORD.findall(mask(text))), np.int32)
-                if ends := auto.ends(code):
-                    for i, spans in _spans(auto, ends).items():
-                        sizes = [e - s + 1 for s, e in spans]
-                        rows.append((doc, i, max(sizes), len({k for s, e in spans for k in range(s, e + 1)}), auto.length[i], len(code)))
+            rows = []
+            for doc, t1, t2, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                code = _coded(text, codes)
+                if len(code) < least:
+                    continue
+                hit = _passes(_grams(code, least), table)
+                if hit.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+                    for k, (a, z) in enumerate(zip(edges[::2], edges[1::2], strict=True)):
+                        rows.append((doc, t1, t2, k, a, len(code), code[a : z + least - 1]))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "longest", "matched", "item_words", "doc_words"])
+                kinds = (*[pa.int64()] * 3, *[pa.int32()] * 3, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "t1", "t2", "k", "start", "doc_words", "codes"])
+
+    return documents.select(F.col("doc_id").cast("long"), *_fingerprint(), "text").mapInArrow(run, STRETCHES)
+
+
+def _fingerprint() -> list:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
+def _gram_rows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each list of words with its runs' hashes, once each, in the last column's place."""
+        for b in batches:
+            grams = [np.unique(_grams(np.array(c, np.int64), least)).view(np.int64) for c in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(grams, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "grams"])
 
     return run
 
 
-CLEANED = "doc_id bigint, text string, removed_words int, doc_words int, dropped boolean"
+FOUND = "t1 bigint, t2 bigint, item_id bigint, doc_words int, first int, last int"
+SHARE = 100_000
+
+
+def _walk(parts: pa.Table, stretches: pa.Table, least: int) -> pa.Table:
+    """The stretches led to a block, along the automaton of its items."""
+    rows: list[tuple] = []
+    if parts.num_rows and stretches.num_rows:
+        auto = Automaton(list(zip(parts["item_id"].to_pylist(), parts["codes"].to_pylist(), strict=True)), least)
+        for t1, t2, start, n, code in zip(*(stretches[c].to_pylist() for c in ("t1", "t2", "start", "doc_words", "codes")), strict=True):
+            for i, runs in auto.runs(code).items():
+                rows += [(t1, t2, i, n, start + a, start + z) for a, z in runs]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (*[pa.int64()] * 3, *[pa.int32()] * 3)
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["t1", "t2", "item_id", "doc_words", "first", "last"])
+
+
+def _leaked(documents: DataFrame, items: DataFrame, least: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items' parts; the document rows (doc_id, t1, t2) with stretches; and by text and item the runs of places where a match ends."""
+    parts = item_parts(items, least, block_words)
+    runs, last = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
+    grams = parts.select("block", "codes").mapInArrow(_gram_rows(least), "block bigint, grams array<bigint>").select("block", F.explode("grams").alias("gram"))
+    docs = documents.filter("text is not null")
+    stretches = cut(_stretches(docs, _filter(grams, runs), least), "stretches")
+    rows = stretches.filter("k = 0").select("doc_id", "t1", "t2")
+    texts = stretches.drop("doc_id").dropDuplicates(["t1", "t2", "k"])
+    led = texts.withColumn("block", F.lit(0).cast("long"))
+    if last:
+        # lead each text's stretches to the blocks that share a run with them; runs found in many texts are salted
+        own = texts.select("t1", "t2", "k", "codes").mapInArrow(_gram_rows(least), "t1 bigint, t2 bigint, k int, grams array<bigint>").select("t1", "t2", "k", F.explode("grams").alias("gram"))
+        known = grams.distinct().join(own.groupBy("gram").agg(F.count("*").alias("w")), "gram")
+        to = weighted_join(own, known, ["gram"], "w", ["t1", "k"]).select("t1", "t2", "k", "block").distinct()
+        led = cut(texts.join(to, ["t1", "t2", "k"]), "led-stretches")
+    led = led.withColumn("size", F.size("codes").cast("long"))
+    # a block that many stretches lead to is walked by several tasks, each with its automaton
+    shares = led.groupBy("block").agg((F.ceil(F.sum("size") / SHARE)).cast("int").alias("tasks"))
+    left = parts.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).select("block", "share", "item_id", "codes")
+    right = led.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("t1", "t2", "k"), F.col("tasks")).cast("int")).select("block", "share", "t1", "t2", "start", "doc_words", "codes")
+    found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(lambda a, b: _walk(a, b, least), FOUND)
+    return parts, rows, found
+
+
+LEAKS = "t1 bigint, t2 bigint, item_id bigint, doc_words int, longest int, matched int"
+
+
+def _joined(runs: list[tuple[int, int]], least: int) -> list[list[int]]:
+    """Words covered by runs of places where matches of ``least`` words end; runs that follow each other are one."""
+    out: list[list[int]] = []
+    end = None
+    for a, z in sorted(runs):
+        if end is not None and a <= end + 1:
+            out[-1][1] = end = max(end, z)
+        else:
+            out.append([a - least + 1, z])
+            end = z
+    return out
 
 
-MARKED = "doc_id bigint, text string, spans array<int>"
+def _covered(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
 
 
-def _marked(shared):
-    """Rows with the first and last word of each stretch in ``spans``."""
+def find_leaks(documents: DataFrame, items: DataFrame, least: int = 8, block_words: int = 200_000) -> DataFrame:
+    """(doc_id, item_id, longest, matched, item_words, doc_words): documents that hold ``least`` consecutive words of an item.
+
+    longest is the longest stretch all of whose runs of ``least`` words are the item's, matched the
+    document's words in any such stretch. Words are what ``words`` reads. ``block_words`` bounds an
+    automaton and changes no result; neither the number of items nor the length of one is limited.
+
+    Null or empty texts, a null doc_id or item_id, and items shorter than ``least`` words
+    give no rows; repeated documents each count, and of a repeated item_id all texts
+    together are the item (item_words is the longest one's). Other columns aren't looked at.
+
+    Jobs run when this is called: items are blocked and made a filter, documents read once. What is left, the
+    stretches with candidates, is a table.
+    """
+    parts, rows, found = _leaked(documents.filter("doc_id is not null"), items, least, block_words)
+    lists = found.groupBy("t1", "t2", "item_id").agg(F.first("doc_words").alias("doc_words"), F.collect_set(F.struct("first", "last")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _shared(shared.value)
-        codes = _Codes(auto.vocab)
         for b in batches:
             out = []
-            for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                code = np.fromiter(map(codes.__getitem__, _WORD.findall(mask(text or ""))), np.int32)
-                ends = auto.ends(code) if len(code) else []
-                out.append([*before, *(int(k) for v in _spans(auto, ends).values() for x in v for k in x)])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
+            for runs in b.column(4).to_pylist():
+                spans = _joined([(r["first"], r["last"]) for r in runs], least)
+                out.append((max(z - a + 1 for a, z in spans), sum(z - a + 1 for a, z in _covered(spans))))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array([x[k] for x in out], pa.int32()) for k in (0, 1)]], names=["t1", "t2", "item_id", "doc_words", "longest", "matched"])
+
+    per_text = lists.select("t1", "t2", "item_id", "doc_words", "runs").mapInArrow(run, LEAKS)
+    sizes = parts.groupBy("item_id").agg(F.max("item_words").alias("item_words"))
+    # copies of one text are rows of their own; a text in very many rows is salted
+    copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("w"))
+    each = per_text.join(sizes, "item_id").groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", "longest", "matched", "item_words", "doc_words")).alias("leaks")).join(copies, ["t1", "t2"])
+    return weighted_join(rows, each, ["t1", "t2"], "w", ["doc_id"]).select("doc_id", F.inline("leaks"))
 
-    return run
+
+CLEANED = "doc_id bigint, text string, removed_words int, doc_words int, dropped boolean"
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 8, remove_from: int = 13, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
@@ -292,45 +421,52 @@ def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 8, remove_
     text, from the first to the last letter. Where stretches of ``least`` words or
     more cover over ``max_coverage`` of a document's words, it is dropped: its
     text is null. All documents come out once per row; null texts stay null
-    and are not dropped. Of several blocks each adds its stretches to the rows, which are
-    written in between, so that one automaton at a time is held; the last one cuts.
+    and are not dropped. ``block_words`` changes no result (see ``find_leaks``, and for the jobs run when this is called).
+
+    Texts with leaks are told by their hash; a bit filter of bounded size sends all other rows
+    past the join that brings the stretches to cut.
     """
-    spark = documents.sparkSession
-    blocks = automata(items, least, block_words)
-    auto = next(blocks, None) or Automaton([], least)
-    rows = documents.select("doc_id", "text", F.array().cast("array<int>").alias("spans"))
-    for more in blocks:
-        rows = cut(rows.mapInArrow(_marked(_share(spark, auto)), MARKED), "leak-spans")
-        auto = more
-    shared = _share(spark, auto)
+    _, rows, found = _leaked(documents, items, least, block_words)
+    leaks = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("item_id", "first", "last")).alias("runs"))
+    copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("w"))
+    leaks = cut(leaks.join(copies, ["t1", "t2"]), "leaks")
+    shared = documents.sparkSession.sparkContext.broadcast(_filter(leaks.select(F.col("t1").alias("gram")), leaks.count()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            t1 = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_passes(t1, table))], names=[*b.schema.names, "may"])
+
+    keyed = documents.select(F.col("doc_id").cast("long"), "text", *_fingerprint())
+    flagged = keyed.mapInArrow(marked, "doc_id bigint, text string, t1 bigint, t2 bigint, may boolean")
+    runs = weighted_join(flagged.filter("may"), leaks, ["t1", "t2"], "w", ["doc_id"], how="left").select("doc_id", "text", "runs")
+    all_rows = flagged.filter("not may").select("doc_id", "text", F.lit(None).cast(leaks.schema["runs"].dataType).alias("runs")).unionByName(runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _shared(shared.value)
-        codes = _Codes(auto.vocab)
         for b in batches:
             out = []
-            for doc, text, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc, text, runs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if text is None:
                     out.append((doc, None, 0, 0, False))
                     continue
-                at = [(m.start(), m.end(), codes[m.group()]) for m in _WORD.finditer(mask(text))]
-                ends = auto.ends(np.array([x[2] for x in at], np.int32)) if at else []
-                covered: list[list[int]] = []
-                every = [tuple(x) for v in _spans(auto, ends).values() for x in v]
-                for s, e in sorted([*every, *zip(before[::2], before[1::2], strict=True)]):
-                    if covered and s <= covered[-1][1]:
-                        covered[-1][1] = max(covered[-1][1], e)
-                    else:
-                        covered.append([s, e])
-                if sum(e - s + 1 for s, e in covered) > max_coverage * len(at):
+                if not runs:
+                    out.append((doc, text, 0, len(_WORD.findall(mask(text))), False))
+                    continue
+                at = [m.span() for m in _WORD.finditer(mask(text))]
+                by_item: dict[int, list] = {}
+                for r in runs:
+                    by_item.setdefault(r["item_id"], []).append((r["first"], r["last"]))
+                covered = _covered([x for v in by_item.values() for x in _joined(v, least)])
+                if sum(z - a + 1 for a, z in covered) > max_coverage * len(at):
                     out.append((doc, None, len(at), len(at), True))
                     continue
-                cut_out = [x for x in covered if x[1] - x[0] + 1 >= remove_from]
-                for s, e in reversed(cut_out):
-                    text = text[: at[s][0]] + text[at[e][1] :]
-                out.append((doc, text, sum(e - s + 1 for s, e in cut_out), len(at), False))
+                gone = [x for x in covered if x[1] - x[0] + 1 >= remove_from]
+                for a, z in reversed(gone):
+                    text = text[: at[a][0]] + text[at[z][1] :]
+                out.append((doc, text, sum(z - a + 1 for a, z in gone), len(at), False))
             if out:
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text", "removed_words", "doc_words", "dropped"])
 
-    return rows.mapInArrow(run, CLEANED)
+    return all_rows.mapInArrow(run, CLEANED)

@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +43,12 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: st
     return documents.select(*kept, text).mapInArrow(run, schema)
 
 
-def _plans(counted: DataFrame, targets: DataFrame, budget: int | None) -> DataFrame:
+def _plans(counted: DataFrame, targets: DataFrame, budget: int | None, exact: bool) -> DataFrame:
     """One row per (mix, source) with documents: share among these, repeats, tokens there are, the mix's total and the reach.
 
-    total is the largest at which every source can fill its share under its
-    repeats, or ``budget`` if that is less; reach, the finish time up to which documents
-    can lie within the total: each source ends at most one document short.
+    A source fills its share up to its capacity, its tokens times its repeats. Up to virtual time v it brings
+    min(capacity, share x v), so a mix's tokens grow with v piece by piece, ever slower. reach is
+    the v at which they exceed the total by every source's longest document: documents beyond can't lie within the total.
     """
     there = counted.groupBy("source").agg(F.sum("n_tokens").alias("there"), F.max("n_tokens").alias("longest"), F.count("*").alias("w"))
     wanted = (
@@ -56,16 +56,23 @@ def _plans(counted: DataFrame, targets: DataFrame, budget: int | None) -> DataFr
         .groupBy("mix_id", "source")
         .agg(F.sum("target_share").alias("target"), F.greatest(F.coalesce(F.min("max_repeats"), F.lit(1)), F.lit(0)).alias("repeats"))
     )
-    both = wanted.join(there, "source").filter("there > 0 and repeats > 0")
-    of = both.groupBy("mix_id").agg(F.sum("target").alias("all"), F.sum("longest").alias("slack"))
-    both = both.join(of, "mix_id").withColumn("share", F.col("target") / F.col("all"))
-    total = both.groupBy("mix_id").agg(F.min(F.col("there") * F.col("repeats") / F.col("share")).alias("most"))
-    if budget is not None:
-        total = total.withColumn("most", F.least("most", F.lit(float(budget))))
-    return both.join(total, "mix_id").select("mix_id", "source", "share", "repeats", "there", "w", F.floor("most").cast("long").alias("total"), (F.floor("most") + F.col("slack")).alias("reach"))
-
-
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
+    both = wanted.join(there, "source").filter("there > 0 and repeats > 0").withColumn("capacity", F.col("there") * F.col("repeats"))
+    of = both.groupBy("mix_id").agg(F.sum("target").alias("all"), F.sum("longest").alias("slack"), F.sum("capacity").alias("capacities"))
+    both = both.join(of, "mix_id").withColumn("share", F.col("target") / F.col("all")).withColumn("full", F.col("capacity") / F.col("share"))
+    most = F.min("full") if budget is None or exact else F.lit(None).cast("double")
+    total = both.groupBy("mix_id").agg(F.floor(F.least(most, F.lit(budget).cast("double"), F.max("capacities").cast("double"))).cast("long").alias("total"))
+    both = both.join(total, "mix_id").withColumn("goal", F.col("total") + F.col("slack"))
+    # sources in the order in which they run out; one row each, so a mix is a small group
+    order = Window.partitionBy("mix_id").orderBy("full", "source")
+    spent = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.sum("share").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    at = both.withColumn("v", (F.col("goal") - spent) / left)
+    # the goal lies in the piece before the first source that has not run out by then, whose v is the largest that fits its piece
+    reach = at.groupBy("mix_id").agg(F.coalesce(F.max(F.when(F.col("v") <= F.col("full"), F.col("v"))), F.max("full")).alias("reach"))
+    return both.join(reach, "mix_id").select("mix_id", "source", "share", "repeats", "there", "w", "total", "reach")
+
+
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY, exact: bool = False) -> DataFrame:
     """(mix_id, source, doc_id, repeat, n_tokens, finish, running_tokens): the documents of every mix, in the order of running_tokens.
 
     A source's documents are shuffled by a seeded hash. A document's virtual
@@ -76,19 +83,22 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     run over range partitions with stitched offsets, so a source (or a mix)
     that holds most rows is cut into many tasks.
 
-    The budget is the largest that all sources can fill under max_repeats, or
-    ``budget`` if less. Shares of sources without documents (or with max_repeats below 1) go to the
+    Without ``budget`` a mix is the largest in which every source has its target share under max_repeats.
+    A stated budget is filled to within one document: sources that run out give all they have
+    under max_repeats, and the others share the rest in proportion to their targets (``shares`` reports what came of it). With
+    ``exact``, shares go before the budget, and the mix is no larger than without one. A
+    budget beyond all sources' repeats takes everything. Shares of sources without documents (or with max_repeats below 1) go to the
     others in proportion; ``shares`` shows them as missed. repeat counts from
     0. Rows with a null doc_id, source or text take no part; an empty text has
     0 tokens and goes with its predecessor. Of repeated target rows shares add up and the
     least max_repeats holds; a null max_repeats is 1.
     """
     counted = cut(count_tokens(documents.filter("doc_id is not null and source is not null and text is not null").select("doc_id", "source", "text"), vocabulary), "counted")
-    return _queue(counted, targets, budget, seed)
+    return _queue(counted, targets, budget, seed, exact)
 
 
-def _queue(counted: DataFrame, targets: DataFrame, budget: int | None, seed: int) -> DataFrame:
-    plans = cut(_plans(counted, targets, budget), "plans")
+def _queue(counted: DataFrame, targets: DataFrame, budget: int | None, seed: int, exact: bool = False) -> DataFrame:
+    plans = cut(_plans(counted, targets, budget, exact), "plans")
     per_source = plans.groupBy("source").agg(F.first("w").alias("w"), F.collect_list(F.struct("mix_id", "share", "repeats", "there", "total", "reach")).alias("plan"))
     shuffled = counted.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
     summed = running_sum(shuffled, ["source"], ["key", "doc_id", "n_tokens"], "n_tokens", "upto")

@@ -19,11 +19,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     lexicon = _t(spark, d, "lexicon")
-    return top_terms(distinctiveness(_t(spark, d, "text_terms"), lexicon), lexicon, "tfidf").select("corpus", "text_id", "name")
+    scored = distinctiveness(_t(spark, d, "text_terms"), lexicon, min_df=1, scores=("tfidf",))
+    return top_terms(scored, lexicon, "tfidf").select("corpus", "text_id", "name")
 
 
 def p2_divergence(spark: SparkSession, d: str) -> DataFrame:
-    scored = distinctiveness(_t(spark, d, "text_terms"), _t(spark, d, "lexicon"), min_df=2)
+    scored = distinctiveness(_t(spark, d, "text_terms"), _t(spark, d, "lexicon"), scores=("divergence",))
     return scored.select("corpus", "text_id", "id", "freq", (F.round("divergence", 6) + F.lit(0.0)).alias("divergence"))
 
 

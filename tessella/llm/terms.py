@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +113,12 @@ def record_counts(entries: DataFrame, record: str = "text_id") -> DataFrame:
     return entries.select("corpus", record).distinct().groupBy("corpus").agg(F.count("*").alias("n"))
 
 
-def term_frequencies(text_terms: DataFrame, lexicon: DataFrame, common: float = 0.1, rare_df: int = 3, rare_cf: int = 5) -> DataFrame:
+def term_frequencies(text_terms: DataFrame, lexicon: DataFrame, common: float | str | Fraction = 0.1, rare_df: int = 3, rare_cf: int = 5) -> DataFrame:
     """(corpus, id, cf, df, n, mark) of every term of every corpus.
 
     mark is ``common`` for a df above ``common`` x n, else ``rare`` for a df
-    below rare_df or a cf below rare_cf, else null. What counts is said at
+    below rare_df or a cf below rare_cf, else null. ``common`` is taken as the
+    decimal (or fraction, as in "1/3") it is written as, and compared in integers. What counts is said at
     ``counted_entries``. Corpora are few; their record counts are joined as
     Spark sees fit. Terms only in null texts or corpora don't appear; an empty
     table gives an empty result.
@@ -124,37 +126,48 @@ def term_frequencies(text_terms: DataFrame, lexicon: DataFrame, common: float =
     entries = cut(counted_entries(text_terms, lexicon), "entries")
     n = record_counts(entries)
     terms = last_seen_counts(entries).join(n, "corpus")
-    mark = F.when(F.col("df") > common * F.col("n"), "common").when((F.col("df") < rare_df) | (F.col("cf") < rare_cf), "rare")
-    if common == 0.1:  # exact in integers
-        mark = F.when(F.col("df") * 10 > F.col("n"), "common").when((F.col("df") < rare_df) | (F.col("cf") < rare_cf), "rare")
+    share = Fraction(str(common))
+    wide = lambda c, k: F.col(c).cast("decimal(38,0)") * F.lit(k).cast("decimal(19,0)")
+    mark = F.when(wide("df", share.denominator) > wide("n", share.numerator), "common").when((F.col("df") < rare_df) | (F.col("cf") < rare_cf), "rare")
     return terms.select("corpus", "id", "cf", "df", "n", mark.alias("mark"))
 
 
-def distinctiveness(text_terms: DataFrame, lexicon: DataFrame, mu: float = 2000.0, min_df: int = 1) -> DataFrame:
+MIN_DF = 2
+
+
+def distinctiveness(text_terms: DataFrame, lexicon: DataFrame, mu: float = 2000.0, min_df: int = MIN_DF, scores: tuple[str, ...] = ("divergence", "tfidf")) -> DataFrame:
     """Every term of every text, scored against its corpus.
 
-    (corpus, text_id, id, freq, df, n, divergence, tfidf). ``divergence`` is the term's
+    (corpus, text_id, id, freq, df, n) and the scores asked for. ``divergence`` is the term's
     contribution p ln(p / q) to the relative entropy between the text's
     Dirichlet-smoothed distribution p = (freq + mu q) / (length + mu) and the
-    corpus's q = cf / total; terms with a df below ``min_df`` are left out of
-    the result (though not out of lengths). ``tfidf`` is freq ln(n / df).
+    corpus's q = cf / total. ``tfidf`` is freq ln(n / df). Terms with a df below ``min_df``
+    are left out of the result (though not out of lengths and totals).
 
     Frequencies are added up per (text, term) first; term statistics, one row
-    per (corpus, term), are joined back with heavy terms salted, text lengths
-    by a plain join, as a text is never large against a corpus... a text that
-    is has its rows split by adaptive execution. Nulls as in counted_entries.
+    per (corpus, term), are joined back with heavy terms salted. Lengths of texts are
+    worked out and joined only for the divergence, salted alike, as a text may hold a third of all rows. Nulls as in counted_entries.
     """
+    if unknown := set(scores) - {"divergence", "tfidf"}:
+        raise ValueError(f"unknown scores {sorted(unknown)}")
     entries = cut(counted_entries(text_terms, lexicon).groupBy("corpus", "text_id", "id").agg(F.sum("freq").alias("freq")), "text-terms")
-    stats = entries.groupBy("corpus", "id").agg(F.sum("freq").alias("cf"), F.count("*").alias("df"))
     totals = entries.groupBy("corpus", "text_id").agg(F.sum("freq").alias("length"), F.count("*").alias("w"))
+    if "divergence" in scores:
+        totals = cut(totals, "text-lengths")  # also read three times by the join of lengths
+    stats = entries.groupBy("corpus", "id").agg(F.sum("freq").alias("cf"), F.count("*").alias("df"))
     corpora = totals.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
-    # each is read three times by the joins below
+    # read three times by the join below
     stats = cut(stats.join(corpora, "corpus").withColumn("w", F.col("df")), "term-statistics")
-    lengths = cut(totals, "text-lengths")
-    scored = weighted_join(weighted_join(entries, stats.filter(F.col("df") >= min_df), ["corpus", "id"], "w", ["text_id"]), lengths, ["corpus", "text_id"], "w", ["id"])
-    q = F.col("cf") / F.col("total")
-    p = (F.col("freq") + mu * q) / (F.col("length") + mu)
-    return scored.select("corpus", "text_id", "id", "freq", "df", "n", (p * F.log(p / q)).alias("divergence"), (F.col("freq") * F.log(F.col("n") / F.col("df"))).alias("tfidf"))
+    scored = weighted_join(entries, stats.filter(F.col("df") >= min_df), ["corpus", "id"], "w", ["text_id"])
+    out = [F.col(c) for c in ("corpus", "text_id", "id", "freq", "df", "n")]
+    if "divergence" in scores:
+        scored = weighted_join(scored, totals, ["corpus", "text_id"], "w", ["id"])
+        q = F.col("cf") / F.col("total")
+        p = (F.col("freq") + mu * q) / (F.col("length") + mu)
+        out.append((p * F.log(p / q)).alias("divergence"))
+    if "tfidf" in scores:
+        out.append((F.col("freq") * F.log(F.col("n") / F.col("df"))).alias("tfidf"))
+    return scored.select(*out)
 
 
 def top_terms(scored: DataFrame, lexicon: DataFrame, score: str, k: int = 3) -> DataFrame:

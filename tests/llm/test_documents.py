@@ -33,9 +33,7 @@ def test_automaton_against_brute_force():
                     grams[tuple(w[k : k + least])].add(i)
             auto = Automaton(items, least)
             doc = [rng.choice("abcd") for _ in range(40)]
-            import numpy as np
-
-            got = {at: set(auto.items[level]) for at, level in auto.ends(np.array([auto.vocab.get(x, -1) for x in doc]))}
+            got = {at: set(auto.items[level]) for at, level in auto.ends(doc)}
             want = {k + least - 1: grams[tuple(doc[k : k + least])] for k in range(len(doc) - least + 1) if tuple(doc[k : k + least]) in grams}
             assert got == want
 
@@ -69,6 +67,43 @@ def test_leaks_are_removed_by_any_number_of_blocks(spark):
     assert one == many and len(many) == 6 and sum("removed_words=28" in r for r in many) == 2
 
 
+def test_leaks_against_brute_force_for_any_block(spark):
+    """Long and short items, repeated ids, copies of texts; blocks smaller than an item, and a filter that is full."""
+    from tessella.llm import leaks
+
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(12)]
+    texts = [(k % 5, [rng.choice(vocab) for _ in range(rng.randrange(2, 60))]) for k in range(7)]
+    docs = [(k, [rng.choice(vocab) for _ in range(40)] + rng.choice(texts)[1][: rng.randrange(40)] + [rng.choice(vocab) for _ in range(9)]) for k in range(30)]
+    docs += docs[:3] + [(99, docs[0][1])]
+    least = 4
+    want = []
+    for d, w in docs:
+        for i in {i for i, _ in texts}:
+            grams = {tuple(t[k : k + least]) for j, t in texts if j == i for k in range(len(t) - least + 1)}
+            ends = [k for k in range(len(w) - least + 1) if tuple(w[k : k + least]) in grams]
+            if ends:
+                spans = []
+                for k in ends:
+                    if spans and spans[-1][1] == k + least - 2:
+                        spans[-1][1] = k + least - 1
+                    else:
+                        spans.append([k, k + least - 1])
+                want.append((d, i, max(z - a + 1 for a, z in spans), len({x for a, z in spans for x in range(a, z + 1)}), max(len(t) for j, t in texts if j == i), len(w)))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], DOCS)
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in texts], ITEMS)
+    cleaned = []
+    for block, bits, share in ((200_000, 28, 100_000), (7, 28, 50), (4, 3, 100_000)):
+        before = leaks.MOST_BITS, leaks.SHARE
+        leaks.MOST_BITS, leaks.SHARE = bits, share
+        try:
+            assert sorted(map(tuple, find_leaks(d, i, least, block).collect())) == sorted(want), (block, bits)
+            cleaned.append(sorted(map(str, remove_leaks(d, i, least, 6, 0.6, block).collect())))
+        finally:
+            leaks.MOST_BITS, leaks.SHARE = before
+    assert len(cleaned[0]) == len(docs) and cleaned[0] == cleaned[1] == cleaned[2]
+
+
 def test_mix_reaches_shares_and_keeps_caps(spark):
     rng = random.Random(2)
     rows = [(k, s, rng.randrange(1, 20)) for k, s in enumerate(["big"] * 600 + ["mid"] * 150 + ["small"] * 40)]
@@ -93,8 +128,23 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
             assert abs(got[m][s] - w * all_) <= 20
     assert repeats[1, "big"] == 1 and repeats[1, "mid"] <= 2 and repeats[1, "small"] <= 8 and repeats[4, "small"] == 1
     assert mixed.groupBy("mix_id", "doc_id", "repeat").count().filter("count > 1").count() == 0
-    less = _queue(counted, targets.filter("mix_id = 1"), 1000, 7)
+    first = targets.filter("mix_id = 1")
+    less = _queue(counted, first, 1000, 7)
     assert 980 <= less.agg(F.sum("n_tokens")).first()[0] <= 1000
+    # a budget beyond the smaller sources' reach is filled by the others; exact shares go first if asked
+    caps = {"big": there["big"], "mid": 2 * there["mid"], "small": 8 * there["small"]}
+    assert caps["mid"] / 0.3 < caps["big"] / 0.5
+    for budget in (total[1] + 500, sum(caps.values()) - 300, sum(caps.values()) + 9999):
+        sums = {r.source: r.n for r in _queue(counted, first, budget, 7).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+        aim = min(budget, sum(caps.values()))
+        assert aim - 20 <= sum(sums.values()) <= aim and all(sums[s] <= caps[s] for s in caps)
+        short = {s for s in caps if sums[s] < caps[s] - 20}
+        assert all(abs(sums["big"] / 0.5 - sums[s] / w) <= 120 for s, w in (("mid", 0.3), ("small", 0.2)) if {"big", s} <= short)
+    assert _queue(counted, first, total[1] + 500, 7, True).agg(F.sum("n_tokens")).first()[0] <= total[1]
+    one = spark.createDataFrame([(k, "long" if k else "short", 10) for k in range(1001)], counted.schema)
+    half = spark.createDataFrame([(1, "long", 0.5, 1), (1, "short", 0.5, 1)], targets.schema)
+    got = {(r.source, r.tokens, round(r.share, 3), r.target_share) for r in shares(_queue(one, half, 5000, 7), half).collect()}
+    assert got == {("long", 4990, 0.998, 0.5), ("short", 10, 0.002, 0.5)}
     reached = {(r.mix_id, r.source): r.share for r in shares(mixed, targets).collect()}
     assert reached[2, "gone"] == 0.0 and reached[2, "big"] == 1.0 and reached[3, "big"] == 0.0
 

@@ -69,7 +69,8 @@ def test_terms_against_brute_force(spark, lexicon, seed):
     for (c, x), t in texts.items():
         ranked = sorted((-round(f * math.log(n[c] / df_[c][i]), 6), f"w{i}") for i, f in t.items())
         best |= {(c, x, name) for s, name in ranked[:3] if s < 0}
-    scored = distinctiveness(df, lexicon)
+    scored = distinctiveness(df, lexicon, min_df=1, scores=("tfidf",))
+    assert "divergence" not in scored.columns
     assert {(r.corpus, r.text_id, r.name) for r in top_terms(scored, lexicon, "tfidf").collect()} == best
 
 
@@ -82,6 +83,10 @@ def test_terms_edge_cases(spark, lexicon):
     df = spark.createDataFrame(rows, TERMS).selectExpr("*", "'own' as w", "1 as k0")
     got = [tuple(r) for r in term_frequencies(df, lexicon).collect()]
     assert got == [("A", 1, 7, 1, 1, "common")]
+    # one of ten texts is exactly a tenth: not above it, however the share is written
+    tenth = spark.createDataFrame([(None, "B", k, 1 if k == 0 else 2, None, 9, t) for k in range(10)], TERMS)
+    for share, want in ((0.1, {1: "rare", 2: "common"}), ("1/10", {1: "rare", 2: "common"}), (0.09, {1: "common", 2: "common"}), ("9/10", {1: "rare", 2: None}), (0.9, {1: "rare", 2: None})):
+        assert {r.id: r.mark for r in term_frequencies(tenth, lexicon, share).collect()} == want
     assert term_frequencies(df.limit(0), lexicon).collect() == []
     assert distinctiveness(df.limit(0), lexicon).collect() == []
 
