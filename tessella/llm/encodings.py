@@ -6,14 +6,15 @@ import hashlib
 import html
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.filters import bit_filter, may_hold
 from tessella.operators.skew import weighted_join
 from tessella.session import cut, partitions
 
@@ -27,6 +28,7 @@ RUN = re.compile("[^\0-\x7f]+")
 HIDDEN = re.compile("[^!-~]")
 LOST = re.compile("[\\s\x7f-\xa0\xad]")
 UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+OWN_RUNS, OWN_WORDS = "learned>runs", "learned>words"
 STRIPPED = "—–“”„‘’‚…•"
 MARK = "�"
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
@@ -66,9 +68,19 @@ def _rules() -> dict[str, tuple[str, str]]:
 
 
 class Rules:
-    """Transformations by name, applied forwards (to check twins) and backwards (to restore)."""
+    """Transformations by name, applied forwards (to check twins) and backwards (to restore).
 
-    def __init__(self, names: list[str] | None = None) -> None:
+    ``units`` are the mappings learned from twins, by rule: garbled characters to the clean one. Those of
+    the rule "" are of a transformation that no pair of encodings explains.
+    """
+
+    def __init__(self, names: list[str] | None = None, units: dict[str, dict[str, str]] | None = None) -> None:
+        self.units = units or {}
+        own = self.units.get("", {})
+        self.own_single = {g: c for g, c in own.items() if len(g) == 1}
+        several = sorted((g for g in own if len(g) > 1), key=len, reverse=True)
+        self.own_multi = re.compile(f"(?:{'|'.join(map(re.escape, several))})+") if several else None
+        self.own_unit = re.compile("|".join(map(re.escape, several))) if several else None
         every = _rules()
         self.names = [n for n in every if names is None or n in names or every[n][0] == "utf-8"]
         # taught rules first: they win ties
@@ -154,10 +166,32 @@ class Rules:
         rest.subtract(m.group().encode("latin-1").decode("utf-8", "replace") for m in UTF8.finditer(run.translate(self.read[n])))
         return {c for c in leads if rest[c] > 0}
 
+    def undo_own(self, run: str, alphabet: frozenset[str]) -> tuple[str, str] | None:
+        """(restored run, OWN_RUNS) if learned sequences of several characters make up the whole run, and give a word."""
+        if self.own_multi is None or not self.own_multi.fullmatch(run):
+            return None
+        clean = self.own_unit.sub(lambda m: self.units[""][m.group()], run)
+        return (clean, OWN_RUNS) if _wordlike(clean) and set(clean) <= alphabet else None
+
+    def origin(self, rule: str, garbled: str, clean: str) -> str:
+        """``learned`` if twins showed every mapping that turns the one into the other, ``codec`` if the rule's encodings supplied some."""
+        units = self.units.get(rule, {})
+        if rule in (OWN_RUNS, OWN_WORDS):
+            return "learned"
+        if rule in self.write:
+            there = {g: c for g, c in ((self.forwards(rule, c), c) for c in set(clean) if c > "\x7f") if g in garbled}
+            return "learned" if there and all(units.get(g) == c for g, c in there.items()) else "codec"
+        pairs = {(g, c) for g, c in zip(garbled, clean) if g > "\x7f" and g != c}  # noqa: B905
+        return "learned" if len(garbled) == len(clean) and pairs and all(units.get(g) == c for g, c in pairs) else "codec"
+
     def undo_single(self, word: str, alphabet: frozenset[str]) -> list[tuple[str, str]]:
         """(restored word, rule) for each rule whose inverse gives usual characters that make a word."""
         high = {c for c in word if c > "\x7f"}
         out = []
+        if high and high <= self.own_single.keys():
+            u = "".join(self.own_single.get(c, c) for c in word)
+            if all(c in alphabet for c in u if c > "\x7f") and _wordlike(u):
+                out.append((u, OWN_WORDS))
         for n in self.single:
             back = self.back[n]
             if high <= back.keys():
@@ -229,11 +263,33 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-TWINS = "rule string, garbled string, clean string"
+TWINS = "kind string, rule string, garbled string, clean string"
+
+
+def _units(pairs: list[tuple[str, str]]) -> dict[str, str] | None:
+    """Garbled characters to the clean one, if one mapping of as many characters each explains all pairs of a segment.
+
+    For transformations that no encodings explain the bar is high: at least three different runs and
+    four different clean characters, one mapping both ways, and no character that stays.
+    """
+    if len(set(pairs)) < 3:
+        return None
+    for m in (1, 2, 3):
+        if all(len(g) == m * len(c) for g, c in pairs):
+            both = {(g[m * k : m * k + m], x) for g, c in pairs for k, x in enumerate(c)}
+            units = dict(both)
+            if len(units) == len(both) == len(set(units.values())) >= 4 and all(x not in g for g, x in both):
+                return units
+    return None
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Between equal ASCII characters lie runs of others; where those of a segment differ from its twin's by one rule, the rule and the runs come out."""
+    """Between equal ASCII characters lie runs of others. Where a segment's differ from its twin's by one transformation, out come:
+
+    ``run``: the rule of encodings that explains it, and each pair of runs; ``unit``: each mapping of garbled
+    characters to a clean one in these. Without such a rule, units come out under the rule "" if all runs
+    differ and ``_units`` finds one mapping; the twin in more documents, or the shorter one, is then taken as clean.
+    """
     rules = Rules()
     memo: dict[tuple[str, str], set[str]] = {}
 
@@ -244,11 +300,18 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memo[a, b] = rules.between(a, b)
         return memo[a, b]
 
+    def units_of(name: str, a: str, b: str) -> list[tuple[str, str]]:
+        if name in rules.write:
+            every = [(rules.forwards(name, c), c) for c in b]
+            return [x for x in every if x[0] != x[1]] if "".join(g for g, _ in every) == a else []
+        return [(g, c) for g, c in zip(a, b, strict=True) if g != c] if len(a) == len(b) else []
+
     split = re.compile("[!-~]")
     for batch in batches:
         rows = []
-        for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            pairs = [(a, b) for a, b in ((x.replace(" ", ""), y.replace(" ", "")) for x, y in zip(split.split(one), split.split(two), strict=True)) if a != b]
+        for one, two, rarer in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            every = [(x.replace(" ", ""), y.replace(" ", "")) for x, y in zip(split.split(one), split.split(two), strict=True)]
+            pairs = [(a, b) for a, b in every if a != b]
             if not pairs:
                 continue
             for side in (pairs, [(b, a) for a, b in pairs]):
@@ -259,33 +322,57 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         break
                 if common:
                     name = min(common, key=lambda n: rules.names.index(n) if n in rules.names else -1)
-                    rows += [(name, a, b) for a, b in side]
+                    rows += [("run", name, a, b) for a, b in side]
+                    rows += [("unit", name, g, c) for a, b in side for g, c in units_of(name, a, b)]
                     break
+            else:
+                words = [(x.split(), y.split()) for x, y in zip(split.split(one), split.split(two), strict=True)]
+                if all(len(x) == len(y) for x, y in words):
+                    pairs = [p for x, y in words for p in zip(x, y, strict=True)]
+                    for side, sure in ((pairs, rarer), ([(b, a) for a, b in pairs], not rarer)):
+                        units = _units(side)
+                        if units and (sure or len(next(iter(units))) > 1):
+                            rows += [("unit", "", g, c) for g, c in units.items()]
+                            break
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["rule", "garbled", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["kind", "rule", "garbled", "clean"])
 
 
 def learn(terms: DataFrame) -> DataFrame:
-    """(rule, garbled, clean, n): mappings by character alignment of segments with equal skeletons.
+    """(kind, rule, garbled, clean, n): mappings by character alignment of segments with equal skeletons (see ``_align``).
 
     The skeleton is the segment without non-ASCII characters (and blanks),
     LEAST_SKELETON characters at least. Each variant of a skeleton is aligned
     with the one in most documents, so pairs are no more than variants.
     """
     segments = terms.filter("kind = 's'")
-    best = segments.groupBy("key").agg(F.max_by("text", F.struct("n", -F.length("text"), "text")).alias("twin"), F.count("*").alias("v")).filter("v > 1")
-    pairs = segments.join(best, "key").filter(F.col("text") != F.col("twin")).select("text", "twin")
-    return pairs.mapInArrow(_align, TWINS).groupBy("rule", "garbled", "clean").agg(F.count("*").alias("n"))
+    best = segments.groupBy("key").agg(F.max_by(F.struct("text", "n"), F.struct("n", -F.length("text"), "text")).alias("twin"), F.count("*").alias("v")).filter("v > 1")
+    pairs = segments.join(best, "key").filter(F.col("text") != F.col("twin.text")).select("text", F.col("twin.text").alias("twin"), (F.col("n") < F.col("twin.n")).alias("rarer"))
+    return pairs.mapInArrow(_align, TWINS).groupBy("kind", "rule", "garbled", "clean").agg(F.count("*").alias("n"))
+
+
+def learned_units(learned: DataFrame, min_support: int, agreement: float = 0.9) -> dict[str, dict[str, str]]:
+    """By rule, the mappings that hold: seen ``min_support`` times, and in a share ``agreement`` of what their garbled characters were aligned with.
 
+    Under a rule a code point has one garbled form, so there are at most as many as rules times code points in use.
+    """
+    units = learned.filter("kind = 'unit'")
+    total = units.groupBy("rule", "garbled").agg(F.sum("n").alias("all"))
+    held = units.join(total, ["rule", "garbled"]).filter((F.col("n") >= min_support) & (F.col("n") >= agreement * F.col("all")))
+    out: dict[str, dict[str, str]] = {}
+    for r in held.select("rule", "garbled", "clean").collect():
+        out.setdefault(r.rule, {})[r.garbled] = r.clean
+    return out
 
-CANDIDATES = "word string, n bigint, clean string, rule string, wordlike boolean"
 
+CANDIDATES = "word string, n bigint, clean string, rule string, origin string, wordlike boolean"
 
-def _candidates(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
+
+def _candidates(rule_names: list[str], units: dict[str, dict[str, str]], alphabet: frozenset[str]) -> Callable:
     """What the words of the collection, each once, may have been under the one-byte rules."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(rule_names)
+        rules = Rules(rule_names, units)
         for b in batches:
             rows: list[tuple] = []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -294,39 +381,32 @@ def _candidates(rule_names: list[str], alphabet: frozenset[str]) -> Callable:
                     found += [(w.replace("â", c), "stripped") for c in STRIPPED if c in alphabet]
                 if found:
                     like = _wordlike(w)
-                    rows += [(w, n, u, rule, like) for u, rule in found]
+                    rows += [(w, n, u, rule, "mark" if rule == "stripped" else rules.origin(rule, w, u), like) for u, rule in found]
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["word", "n", "clean", "rule", "wordlike"])
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["word", "n", "clean", "rule", "origin", "wordlike"])
 
     return run
 
 
-HITS = "doc_id bigint, kind string, word string, clean string, rule string"
-FILTER_BITS = 1 << 22
-
+HITS = "doc_id bigint, kind string, word string, clean string, rule string, origin string"
 
-def _word_filter(words: DataFrame) -> bytes:
-    """One bit per hash of a word: FILTER_BITS bits whatever the number of words, so it may be broadcast. Words are joined exactly afterwards."""
-    bit = F.crc32("word") % FILTER_BITS + 1  # these maps count from 1
-    maps = words.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
-    out = bytearray(FILTER_BITS // 8)
-    for r in maps.collect():  # FILTER_BITS / 32768 rows of 4 kB
-        at = (r.k - 1) * 4096
-        out[at : at + 4096] = r.m
-    return bytes(out)
 
-
-def _hits(rule_names: list[str], alphabet: frozenset[str], shared) -> Callable:
+def _hits(rule_names: list[str], units: dict[str, dict[str, str]], alphabet: frozenset[str], shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(rule_names)
+        rules = Rules(rule_names, units)
         bits = shared.value
-        runs: dict[str, tuple[str, str] | None] = {}
+        runs: dict[str, tuple[str, str, str, str, str] | None] = {}
         words: dict[str, bool] = {}
 
         def listed(w: str) -> bool:
-            at = zlib.crc32(w.encode("utf-8", "surrogatepass")) % FILTER_BITS
-            return bool(bits[at >> 3] >> (at & 7) & 1)
+            return may_hold(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42), bits)  # Spark's own hash
+
+        def undone(r: str) -> tuple[str, str, str, str, str] | None:
+            found = (rules.undo_multi(r, alphabet) or rules.undo_own(r, alphabet)) if len(r) > 1 else None
+            # by learned mappings alone, a run that is a word as it stands needs company
+            kind = "maybe" if found and found[1] == OWN_RUNS and _wordlike(r) else "run"
+            return found and (kind, r, *found, rules.origin(found[1], r, found[0]))
 
         for b in batches:
             rows: list[tuple] = []
@@ -335,26 +415,26 @@ def _hits(rule_names: list[str], alphabet: frozenset[str], shared) -> Callable:
                     continue
                 text = plain(raw)
                 if MARK in text:
-                    rows.append((doc, "mark", MARK, "", "cp1252>utf-8"))
+                    rows.append((doc, "mark", MARK, "", "cp1252>utf-8", "mark"))
                 for c in set(C1.findall(text)):
-                    rows.append((doc, "mark", c, META.get(c, ""), "cp1252>latin-1"))
+                    rows.append((doc, "mark", c, META.get(c, ""), "cp1252>latin-1", "mark"))
                 for r in set(RUN.findall(text)):
                     if r not in runs:
                         if len(runs) > 200_000:
                             runs.clear()
-                        runs[r] = rules.undo_multi(r, alphabet) if len(r) > 1 else None
+                        runs[r] = undone(r)
                     if hit := runs[r]:
-                        rows.append((doc, "run", r, hit[0], hit[1]))
+                        rows.append((doc, *hit))
                 for w in set(WORD.findall(text)):
                     if w not in words:
                         if len(words) > 400_000:
                             words.clear()
                         words[w] = listed(w)
                     if words[w]:
-                        rows.append((doc, "word", w, "", ""))
+                        rows.append((doc, "word", w, "", "", ""))
             if rows:
-                kinds = (pa.int64(), *[pa.string()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "kind", "word", "clean", "rule"])
+                kinds = (pa.int64(), *[pa.string()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "kind", "word", "clean", "rule", "origin"])
 
     return run
 
@@ -366,11 +446,11 @@ def _alphabet(terms: DataFrame, share: float) -> frozenset[str]:
     return frozenset(c for c, n in counted.items() if c > "\x9f" and n >= least)
 
 
-def _judge(terms: DataFrame, names: list[str], alphabet: frozenset[str]) -> DataFrame:
-    """(word, clean, rule, strong, weak, n): words that the collection's own words show to be garbled."""
+def _judge(terms: DataFrame, names: list[str], units: dict[str, dict[str, str]], alphabet: frozenset[str]) -> DataFrame:
+    """(word, clean, rule, origin, strong, weak, n): words that the collection's own words show to be garbled."""
     words = terms.filter("kind = 'w'").select(F.col("text").alias("word"), "n")
     vocab = words.groupBy(F.lower("word").alias("form")).agg(F.sum("n").alias("m"))
-    cand = words.repartition(partitions(terms.sparkSession), "word").mapInArrow(_candidates(names, alphabet), CANDIDATES)
+    cand = words.repartition(partitions(terms.sparkSession), "word").mapInArrow(_candidates(names, units, alphabet), CANDIDATES)
     known = (
         cand.withColumn("form", F.lower("clean")).join(vocab.withColumnRenamed("m", "n_clean"), "form").drop("form")
         .withColumn("form", F.lower("word")).join(vocab.withColumnRenamed("m", "n_word"), "form").drop("form")
@@ -383,55 +463,61 @@ def _judge(terms: DataFrame, names: list[str], alphabet: frozenset[str]) -> Data
     symbol = (size == 1) & ~F.col("clean").rlike("(?U)\\w") & (F.col("n_clean") >= 100 * F.col("n_word"))
     strong = F.when(F.col("rule") == "stripped", lone).otherwise(odd | symbol)
     weak = (F.col("n_clean") >= 2) & (F.col("n_clean") > F.col("n_word")) & (size >= 3) & (F.col("rule") != "stripped")
-    return known.select("word", "clean", "rule", strong.alias("strong"), weak.alias("weak"), "n").filter("strong or weak")
+    return known.select("word", "clean", "rule", "origin", strong.alias("strong"), weak.alias("weak"), "n").filter("strong or weak")
 
 
 def _words_found(hits: DataFrame, judged: DataFrame) -> DataFrame:
-    """(doc_id, word, clean, rule, strong): the judged words in the documents; heavy words are salted."""
-    one = judged.groupBy("word").agg(F.collect_list(F.struct("clean", "rule", "strong")).alias("as"), F.max("n").alias("w"))  # no more than there are rules
+    """(doc_id, word, clean, rule, origin, strong): the judged words in the documents; heavy words are salted."""
+    one = judged.groupBy("word").agg(F.collect_list(F.struct("clean", "rule", "origin", "strong")).alias("as"), F.max("n").alias("w"))  # no more than there are rules
     return weighted_join(hits.filter("kind = 'word'").select("doc_id", "word"), one, ["word"], "w", ["doc_id"]).select("doc_id", "word", F.explode("as").alias("a")).select("doc_id", "word", "a.*")
 
 
 def find_garbled(documents: DataFrame, min_support: int = 2, usual: float = 0.0005, untaught: int = 5) -> DataFrame:
-    """(doc_id, word, clean, rule): every garbled word or run of a document, with what it was.
+    """(doc_id, word, clean, rule, origin): every garbled word or run of a document, with what it was.
 
     1. Segments whose text without non-ASCII characters is equal are near-twins;
-       their runs of other characters are aligned, and each difference that an
-       encoding explains becomes a mapping (``learn``).
-    2. Rules with ``min_support`` mappings are applied backwards to every
-       document. A run of UTF-8 sequences under a learned rule is garbled if it
+       their runs of other characters are aligned, and the differences become mappings
+       of garbled characters to clean ones (``learn``, ``learned_units``), by the encodings that explain them, or by none.
+    2. Mappings of rules with ``min_support`` pairs of runs are applied to every
+       document. A run of UTF-8 sequences under a rule is garbled if it
        gives characters of the collection's alphabet (in a share ``usual`` of all documents) and
        leaves fewer letters over. A word under a one-byte rule is garbled if the
        collection holds the restored word clearly more often; if both are
        words, more is asked, or two such words by one rule in the document.
+       origin is ``learned`` where twins showed every mapping it took, and ``codec`` where the
+       rule's encodings filled in characters that no twin showed.
        A UTF-8 rule without that support needs ``untaught`` runs in a document.
     3. U+FFFD, C1 controls, and a lone first byte's character whose others were stripped,
-       show garbled text that can't be restored (clean is "" or a guess).
+       show garbled text that can't be restored (clean is "" or a guess); their origin is ``mark``.
 
     Null texts or ids give no rows; ASCII texts neither. Each row of
     documents counts by itself, repeated ids together. All counts cover all documents.
     What a word may have been is worked out once per distinct word; documents are
-    then searched for the judged words by a broadcast bit filter of fixed size and an exact join.
+    then searched for the judged words by a broadcast bit filter of bounded size and an exact join.
+    Jobs run when this is called: terms are counted, mappings learned, words judged and documents searched, each once.
     """
     docs = documents.filter("text is not null and doc_id is not null")
     terms = cut(docs.select("text").mapInArrow(_terms, TERMS).groupBy("kind", "key", "text").agg(F.sum("n").alias("n")), "terms")
-    learned = learn(terms).groupBy("rule").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_support)
-    names = sorted(r.rule for r in learned.collect())  # at most as many as there are rules
+    learned = cut(learn(terms), "learned")
+    taught = learned.filter("kind = 'run'").groupBy("rule").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_support)
+    names = sorted(r.rule for r in taught.collect())  # at most as many as there are rules
+    units = learned_units(learned, min_support)
     alphabet = _alphabet(terms, usual)
-    judged = cut(_judge(terms, names, alphabet), "judged-words")
-    shared = documents.sparkSession.sparkContext.broadcast(_word_filter(judged))
-    hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, alphabet, shared), HITS), "hits")
+    judged = cut(_judge(terms, names, units, alphabet), "judged-words")
+    words = judged.select("word").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(words.select(F.xxhash64("word").alias("gram")), words.count()))
+    hits = cut(docs.select("doc_id", "text").mapInArrow(_hits(names, units, alphabet, shared), HITS), "hits")
     runs = hits.filter("kind = 'run'")
-    if names:
-        known = F.col("rule").isin(names)
-    else:
-        known = F.lit(False)
+    known = F.col("rule").isin(*names, OWN_RUNS)
     # a rule that no twin taught must show itself in several runs of the document
     told = runs.filter(~known).groupBy("doc_id", "rule").agg(F.count_distinct("word").alias("k")).filter(F.col("k") >= untaught).select("doc_id", "rule")
-    sure = hits.filter((F.col("kind") == "mark") | ((F.col("kind") == "run") & known)).unionByName(runs.join(told, ["doc_id", "rule"]).select(hits.columns)).select("doc_id", "word", "clean", "rule")
+    out = ["doc_id", "word", "clean", "rule", "origin"]
+    sure = hits.filter((F.col("kind") == "mark") | ((F.col("kind") == "run") & known)).unionByName(runs.join(told, ["doc_id", "rule"]).select(hits.columns)).select(*out)
+    company = runs.filter(F.col("rule") == OWN_RUNS).select("doc_id").distinct()
+    sure = sure.unionByName(hits.filter("kind = 'maybe'").join(company, "doc_id").select(*out))
     found = cut(_words_found(hits, judged), "words")
     enough = found.groupBy("doc_id", "rule").agg(F.max("strong").alias("s"), F.count_distinct("word").alias("k")).filter("s or k >= 2").select("doc_id", "rule")
-    return sure.unionByName(found.join(enough, ["doc_id", "rule"]).select("doc_id", "word", "clean", "rule"))
+    return sure.unionByName(found.join(enough, ["doc_id", "rule"]).select(*out))
 
 
 def garbled_documents(documents: DataFrame, **options) -> DataFrame:
@@ -493,13 +579,14 @@ def restore(documents: DataFrame, found: DataFrame, usual: float = 0.0005) -> Da
             for doc, text, maps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = plain(text)
                 guess = any(m["rule"] == "stripped" for m in maps or ())
-                runs = {m["word"]: m["clean"] for m in maps or () if m["rule"].startswith("utf-8>")}
+                multi = lambda rule: rule.startswith("utf-8>") or rule == OWN_RUNS
+                runs = {m["word"]: m["clean"] for m in maps or () if multi(m["rule"])}
                 often = Counter(m["rule"] for m in maps or ())
                 marks = {m["word"]: m["clean"] for m in maps or () if m["rule"] == "cp1252>latin-1" and C1.fullmatch(m["word"])}
                 # where rules disagree on a word, the one with most words in the document holds
-                single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not m["rule"].startswith("utf-8>") and m["rule"] != "stripped" and m["word"] not in marks}
+                single = {m["word"]: m["clean"] for m in sorted(maps or (), key=lambda m: (often[m["rule"]], m["rule"])) if not multi(m["rule"]) and m["rule"] != "stripped" and m["word"] not in marks}
                 if single:
-                    main = max((n for n in often if not n.startswith("utf-8>") and n not in ("stripped", "cp1252>latin-1")), key=lambda n: (often[n], n))
+                    main = max((n for n in often if not multi(n) and n not in ("stripped", "cp1252>latin-1")), key=lambda n: (often[n], n))
                     back = rules_for({main}).back.get(main, {}) if often[main] >= 5 else {}
 
                     def fix(m: re.Match, single: dict = single, back: dict = back) -> str:
@@ -537,6 +624,10 @@ def restore(documents: DataFrame, found: DataFrame, usual: float = 0.0005) -> Da
                     while (more := RUN.sub(again, text)) != text:  # garbled repeatedly; each undoing shortens a run
                         text = more
                     torn = any(set(r) & lost or rules.remains(r, names, usual_here) for r in set(RUN.findall(text)) - settled)
+                own = [m for m in maps or () if m["rule"] in (OWN_RUNS, OWN_WORDS)]
+                if own:  # characters that only garbled words had
+                    left = {c for m in own for c in m["word"] if c > "\x7f"} - {c for m in own for c in m["clean"]}
+                    torn = torn or not left.isdisjoint(text)
                 if C1.search(text):
                     # controls within or after the first byte of a UTF-8 sequence aren't characters of their own
                     text = RUN.sub(lambda m, marks=marks, multi=bool(runs): _controls(m.group(), marks, multi), text)

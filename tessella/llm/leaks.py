@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.filters import bit_filter, passes
 from tessella.operators.skew import running_sum, weighted_join
 from tessella.session import cut
 
@@ -234,38 +235,6 @@ def item_parts(items: DataFrame, least: int, block_words: int) -> DataFrame:
     return cut(placed.select("item_id", "item_words", "codes", "n", F.floor((F.col("_upto") - F.col("n")) / block_words).alias("block")), "item-parts")
 
 
-MOST_BITS = 28
-PROBES = (0, 12, 24, 36)
-
-
-def _filter(grams: DataFrame, runs: int) -> bytes:
-    """Four bits per run of words in 64 bits a run, but 2 ** MOST_BITS (32 MB) at most: what is broadcast has that bound.
-
-    Made as bitmaps of 4 kB by Spark. Of other runs 0.002 % pass by chance, 0.4 % with 20 million
-    runs in it; that costs time later, no results.
-    """
-    bits = min(MOST_BITS, max(16, (64 * max(runs, 1)).bit_length()))
-    mask_ = (1 << bits) - 1
-    each = F.array(*[F.shiftrightunsigned("gram", k).bitwiseAND(mask_) for k in PROBES])
-    at = grams.select(F.explode(each).alias("b")).withColumn("b", F.col("b") + 1)  # these maps count from 1
-    maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
-    out = bytearray((1 << bits) // 8)
-    for r in maps.collect():  # at most 2 ** MOST_BITS / 32768 rows
-        start = (r.k - 1) * 4096
-        out[start : start + 4096] = r.m[: len(out) - start]
-    return bytes(out)
-
-
-def _passes(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    mask_ = np.uint64(len(bits) * 8 - 1)
-    out = None
-    for k in PROBES:
-        at = (grams >> np.uint64(k)) & mask_
-        hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-        out = hit if out is None else out & hit
-    return out.astype(bool)
-
-
 STRETCHES = "doc_id bigint, t1 bigint, t2 bigint, k int, start int, doc_words int, codes array<bigint>"
 
 
@@ -284,7 +253,7 @@ def _stretches(documents: DataFrame, bits: bytes, least: int) -> DataFrame:
                 code = _coded(text, codes)
                 if len(code) < least:
                     continue
-                hit = _passes(_grams(code, least), table)
+                hit = passes(_grams(code, least), table)
                 if hit.any():
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
                     for k, (a, z) in enumerate(zip(edges[::2], edges[1::2], strict=True)):
@@ -333,7 +302,7 @@ def _leaked(documents: DataFrame, items: DataFrame, least: int, block_words: int
     runs, last = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
     grams = parts.select("block", "codes").mapInArrow(_gram_rows(least), "block bigint, grams array<bigint>").select("block", F.explode("grams").alias("gram"))
     docs = documents.filter("text is not null")
-    stretches = cut(_stretches(docs, _filter(grams, runs), least), "stretches")
+    stretches = cut(_stretches(docs, bit_filter(grams, runs), least), "stretches")
     rows = stretches.filter("k = 0").select("doc_id", "t1", "t2")
     texts = stretches.drop("doc_id").dropDuplicates(["t1", "t2", "k"])
     led = texts.withColumn("block", F.lit(0).cast("long"))
@@ -430,13 +399,13 @@ def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 8, remove_
     leaks = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("item_id", "first", "last")).alias("runs"))
     copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("w"))
     leaks = cut(leaks.join(copies, ["t1", "t2"]), "leaks")
-    shared = documents.sparkSession.sparkContext.broadcast(_filter(leaks.select(F.col("t1").alias("gram")), leaks.count()))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(leaks.select(F.col("t1").alias("gram")), leaks.count()))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             t1 = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_passes(t1, table))], names=[*b.schema.names, "may"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(passes(t1, table))], names=[*b.schema.names, "may"])
 
     keyed = documents.select(F.col("doc_id").cast("long"), "text", *_fingerprint())
     flagged = keyed.mapInArrow(marked, "doc_id bigint, text string, t1 bigint, t2 bigint, may boolean")

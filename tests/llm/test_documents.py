@@ -69,7 +69,7 @@ def test_leaks_are_removed_by_any_number_of_blocks(spark):
 
 def test_leaks_against_brute_force_for_any_block(spark):
     """Long and short items, repeated ids, copies of texts; blocks smaller than an item, and a filter that is full."""
-    from tessella.llm import leaks
+    from tessella.llm import filters, leaks
 
     rng = random.Random(9)
     vocab = [f"w{k}" for k in range(12)]
@@ -94,13 +94,13 @@ def test_leaks_against_brute_force_for_any_block(spark):
     i = spark.createDataFrame([(k, " ".join(w)) for k, w in texts], ITEMS)
     cleaned = []
     for block, bits, share in ((200_000, 28, 100_000), (7, 28, 50), (4, 3, 100_000)):
-        before = leaks.MOST_BITS, leaks.SHARE
-        leaks.MOST_BITS, leaks.SHARE = bits, share
+        before = filters.MOST_BITS, leaks.SHARE
+        filters.MOST_BITS, leaks.SHARE = bits, share
         try:
             assert sorted(map(tuple, find_leaks(d, i, least, block).collect())) == sorted(want), (block, bits)
             cleaned.append(sorted(map(str, remove_leaks(d, i, least, 6, 0.6, block).collect())))
         finally:
-            leaks.MOST_BITS, leaks.SHARE = before
+            filters.MOST_BITS, leaks.SHARE = before
     assert len(cleaned[0]) == len(docs) and cleaned[0] == cleaned[1] == cleaned[2]
 
 
@@ -188,6 +188,27 @@ def test_garbled(spark):
     assert garbled_documents(df.limit(0)).collect() == []
 
 
+def test_mappings_that_no_listed_encodings_explain_are_learned(spark):
+    """Read as an encoding outside the rules' list: taught by a few twins, applied to documents without one."""
+    told = ["Он вышел из дома, и снег всё ещё шёл над городом", "Мальчик долго смотрел в окно, потом взял книгу", "Зимой здесь рано темнеет, и улицы пусты"]
+    more = ["Над городом шёл снег, мальчик вышел из дома", "Потом он долго смотрел на улицы и взял книгу"]
+    rows = [(k, (told + more)[k % 5] + f", part {k % 15} of the long book, told again") for k in range(30)]
+    twins = [(100 + 10 * n + k, garble(rows[k][1], w, "cp775")) for n, w in enumerate(("utf-8", "cp1251")) for k in range(8)]
+    lone = [(200 + 10 * n + k, garble(t + f", a page of its own, number {k}{n}.", w, "cp775"), t) for n, w in enumerate(("utf-8", "cp1251")) for k, t in enumerate(more)]
+    # edits between near-twins that are no garbling: words, accents, dashes
+    edits = [(300, "Он вошёл в дома, и снег всё ещё лёг над городом, part 0 of the long book, told again"), (301, "Une forêt très éloignée, où l’été s’achève déjà, loin d’ici"), (302, "Une forêt très éloignée, où l’été s’achève déjà, loin d’ici"), (303, "Une forét trés èloignèe, où l’èté s’achéve dèjà, loin d’ici")]
+    df = spark.createDataFrame(rows + twins + [x[:2] for x in lone] + edits, DOCS)
+    found = find_garbled(df, usual=0.01).cache()
+    assert {r.doc_id for r in found.select("doc_id").distinct().collect()} == {k for k, *_ in twins + lone}
+    origins = {(r.rule, r.origin) for r in found.select("rule", "origin").distinct().collect()}
+    assert ("learned>runs", "learned") in origins and ("learned>words", "learned") in origins
+    restored = {r.doc_id: r for r in restore(df, found).collect()}
+    for k, _, clean in lone:
+        # letters that no twin showed often enough stay, and are owned up to
+        right = set(restored[k].restored.split()) & set(clean.split())
+        assert len(right) >= 3 and (restored[k].whole == restored[k].restored.startswith(clean)), restored[k]
+
+
 def test_restores_what_was_garbled_repeatedly(spark):
     russian, greek = "Он вышел из дома, и снег всё ещё шёл над городом.", "Η θάλασσα ήταν ήσυχη και το πλοίο έφυγε νωρίς."
     rows = [(k, (russian, greek, BASE[0])[k % 3] + f" Part {k // 3} of the long book, told again.") for k in range(30)]
