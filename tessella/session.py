@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +51,8 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, so nothing upstream is computed again by the branches
-    that follow, and survives the loss of executors. The table goes when the
-    driver's JVM ends.
+    that follow, and survives the loss of executors. The table goes with the
+    ``scratch`` block around it, else when the driver's JVM ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
@@ -58,10 +61,29 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+_OWNED = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut within the block, in this thread, are removed at its end; results must have been read or saved by then."""
+    before = getattr(_OWNED, "paths", None)
+    _OWNED.paths = []
+    try:
+        yield
+    finally:
+        mine, _OWNED.paths = _OWNED.paths, before
+        for at in mine:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _delete_on_exit(spark: SparkSession, at: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if getattr(_OWNED, "paths", None) is not None:
+        _OWNED.paths.append(at)
 
 
 def cut_buckets(df: DataFrame, keys: list[str], order: list[str], name: str = "stage") -> DataFrame:

@@ -60,6 +60,21 @@ def test_running_sum(spark):
     assert "part" in running_sum(df, ["k"], ["o"], "v", "s").columns
 
 
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from tessella.session import cut, scratch
+
+    df = spark.range(5)
+    with scratch(spark):
+        with scratch(spark):
+            inner = cut(df).inputFiles()[0]
+        outer = cut(df).inputFiles()[0]
+        assert not os.path.exists(inner.removeprefix("file://")) and os.path.exists(outer.removeprefix("file://"))
+    assert not os.path.exists(outer.removeprefix("file://"))
+    assert cut(df).count() == 5
+
+
 def test_weighted_join_keeps_every_row(spark):
     left = spark.createDataFrame([("hot", i) for i in range(500)] + [("c%d" % i, i) for i in range(50)] + [(None, 1)], "k string, x bigint")
     right = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("w"), F.max("x").alias("m"))
