@@ -62,3 +62,13 @@ def entity_decode(s: Column) -> Column:
 
 def zap_controls(s: Column) -> Column:
     return F.regexp_replace(s, "[\\x00-\\x1f]", "?")
+
+
+def valid_text(s: Column) -> Column:
+    """Whether the bytes of a string are UTF-8; null for null."""
+    return F.is_valid_utf8(s)
+
+
+def repair_text(s: Column) -> Column:
+    """Bytes that aren't UTF-8 as U+FFFD."""
+    return F.make_valid_utf8(s)

@@ -87,7 +87,10 @@ def _delete_on_exit(spark: SparkSession, at: str) -> None:
 
 
 def cut_buckets(df: DataFrame, keys: list[str], order: list[str], name: str = "stage") -> DataFrame:
-    """As ``cut``, hashed into buckets by ``keys`` and sorted in them: windows and joins by these keys read it without a shuffle."""
+    """As ``cut``, hashed into buckets by ``keys`` and sorted in them: windows and joins by these keys read it without a shuffle.
+
+    The table is external and known to the session's catalog for as long as the session lasts.
+    """
     spark = df.sparkSession
     n = partitions(spark)
     table = f"tessella_{uuid.uuid4().hex}"
