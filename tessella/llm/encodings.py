@@ -347,7 +347,8 @@ def learn(terms: DataFrame) -> DataFrame:
     """
     segments = terms.filter("kind = 's'")
     best = segments.groupBy("key").agg(F.max_by(F.struct("text", "n"), F.struct("n", -F.length("text"), "text")).alias("twin"), F.count("*").alias("v")).filter("v > 1")
-    pairs = segments.join(best, "key").filter(F.col("text") != F.col("twin.text")).select("text", F.col("twin.text").alias("twin"), (F.col("n") < F.col("twin.n")).alias("rarer"))
+    # a skeleton may have very many variants
+    pairs = weighted_join(segments, best, ["key"], "v", ["text"]).filter(F.col("text") != F.col("twin.text")).select("text", F.col("twin.text").alias("twin"), (F.col("n") < F.col("twin.n")).alias("rarer"))
     return pairs.mapInArrow(_align, TWINS).groupBy("kind", "rule", "garbled", "clean").agg(F.count("*").alias("n"))
 
 
