@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.regex import matches
 from tessella.model import Corpus
 from tessella.operators.ranges import point_in_interval
-from tessella.operators.skew import running_sum
+from tessella.operators.skew import running_sum, weighted_join
 
 
 def max_cpos(c: Corpus, att: str) -> DataFrame:
@@ -105,8 +105,10 @@ def cpos2str(c: Corpus, att: str, cpos: list[int]) -> DataFrame:
     return c.tokens.filter(F.col("cpos").isin(cpos)).select("corpus", "cpos", att)
 
 
-def cpos2id(c: Corpus, att: str, cpos: list[int]) -> DataFrame:
-    return cpos2str(c, att, cpos).join(c.lexicon(att), ["corpus", att]).select("corpus", "cpos", "id")
+def cpos2id(c: Corpus, att: str, cpos: list[int] | None = None) -> DataFrame:
+    """(corpus, cpos, id) of the positions (without a list, of all); heavy types are salted."""
+    rows = c.tokens.select("corpus", "cpos", att) if cpos is None else cpos2str(c, att, cpos)
+    return weighted_join(rows, c.lexicon(att), ["corpus", att], "freq", ["cpos"]).select("corpus", "cpos", "id")
 
 
 def cpos2struc(c: Corpus, satt: str, cpos: list[int] | DataFrame | None = None) -> DataFrame:
@@ -129,9 +131,9 @@ def struc2cpos(c: Corpus, satt: str, strucs: list[int]) -> DataFrame:
     return c.regions.filter((F.col("satt") == satt) & F.col("struc").isin(strucs)).select("corpus", "struc", "start", "end", "value")
 
 
-def cpos2alg(c: Corpus, cpos: list[int]) -> DataFrame:
-    """(corpus, cpos, target, bead): the bead of each position, by target."""
-    rows = c.tokens.filter(F.col("cpos").isin(cpos)).select("corpus", "cpos")
+def cpos2alg(c: Corpus, cpos: list[int] | None = None) -> DataFrame:
+    """(corpus, cpos, target, bead): the bead of each position (without a list, of all), by target."""
+    rows = (c.tokens if cpos is None else c.tokens.filter(F.col("cpos").isin(cpos))).select("corpus", "cpos")
     beads = c.beads.select(F.col("source").alias("corpus"), "target", "bead", F.col("s1").alias("_lo"), F.col("s2").alias("_hi"))
     return point_in_interval(rows, "cpos", beads, "_lo", "_hi").select("corpus", "cpos", "target", "bead")
 

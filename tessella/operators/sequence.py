@@ -346,7 +346,7 @@ def _leads(rows: DataFrame, query: Query, plan: Plan, paths: list[_Path], late:
             at = k - 1 if closing else k
             furthest = max(furthest, at)
             used.add((f"t{s}", at))
-            all_of.append(F.col(_at(f"t{s}", at)))
+            all_of.append(F.coalesce(F.col(_at(f"t{s}", at)), F.lit(False)))
             if not closing:  # a region that was entered isn't left but by its end tag
                 for name, o in open_.items():
                     used.add((f"{name}_end", o))
@@ -371,10 +371,11 @@ def _leads(rows: DataFrame, query: Query, plan: Plan, paths: list[_Path], late:
             k += not sym.ahead
         if query.constraint is not None:
             all_of.append(AtOffsets(compiler, {**labels, "matchend": path.size - 1}, None, used).test(query.constraint))
-        all_of.append(F.col("_bound") >= F.col("cpos") + last)
+        # first what decides whether the tokens are there: a test may fail on what isn't
         if furthest:
             used.add(("cpos", furthest))
-            all_of.append(F.col(_at("cpos", furthest)) == F.col("cpos") + furthest)
+            all_of.insert(0, F.coalesce(F.col(_at("cpos", furthest)) == F.col("cpos") + furthest, F.lit(False)))
+        all_of.insert(0, F.coalesce(F.col("_bound") >= F.col("cpos") + last, F.lit(False)))
         hit = all_of[0]
         for c in all_of[1:]:
             hit = hit & c
