@@ -35,17 +35,20 @@ class Corpus:
     functions: dict[str, object] = field(default_factory=dict)  # dynamic attributes: names of functions from columns to a column
     blocks: DataFrame | None = None  # tokens by block as ``blocked`` gives them, stored in buckets of (corpus, _block)
     longest: dict[str, int] = field(default_factory=dict)  # words of the longest region of each s-attribute, where known
+    bare: DataFrame | None = None  # tokens without regions, as ``build`` got them
 
     @classmethod
     def build(cls, tokens: DataFrame, regions: DataFrame | None, patts: tuple[str, ...], satts: tuple[str, ...] = (), beads: DataFrame | None = None, properties: dict[str, str] | None = None) -> Corpus:
         """Denormalise the regions onto the tokens."""
         if regions is None:
             regions = tokens.sparkSession.createDataFrame([], "corpus string, satt string, struc bigint, start bigint, end bigint, value string")
-        return cls(flag_columns(tokens.select("corpus", "cpos", *patts), regions, list(satts)), regions, tuple(patts), tuple(satts), beads, dict(properties or {}))
+        bare = tokens.select("corpus", "cpos", *patts)
+        flagged = flag_columns(bare.withColumn("_block", F.floor(F.col("cpos") / BLOCK)), regions, list(satts), BLOCK).drop("_block")
+        return cls(flagged, regions, tuple(patts), tuple(satts), beads, dict(properties or {}), bare=bare)
 
     def only(self, name: str) -> Corpus:
         c = F.col("corpus") == name
-        return replace(self, tokens=self.tokens.filter(c), regions=self.regions.filter(c), blocks=None if self.blocks is None else self.blocks.filter(c))
+        return replace(self, tokens=self.tokens.filter(c), regions=self.regions.filter(c), blocks=None if self.blocks is None else self.blocks.filter(c), bare=None if self.bare is None else self.bare.filter(c))
 
     def blocked(self, width: int) -> DataFrame:
         """Tokens with ``_block``, a run of positions, and ``_own``: false for what is repeated of its neighbours.
@@ -60,10 +63,13 @@ class Corpus:
 
     def stored(self, name: str) -> Corpus:
         """The corpus as tables in the shared folder: tokens in blocks, hashed and sorted by (corpus, _block), regions, beads."""
-        blocks = cut_buckets(_halo(self.tokens, HALO), ["corpus", "_block"], ["corpus", "_block", "cpos"], name)
         regions = cut(self.regions, f"{name}-regions")
+
+        fresh = self.bare is not None and bool(self.satts)
+        rows = flag_columns(_halo(self.bare, HALO), regions, list(self.satts), BLOCK, 1, HALO) if fresh else _halo(self.tokens, HALO)
+        blocks = cut_buckets(rows, ["corpus", "_block"], ["corpus", "_block", "cpos"], name, partitioned=fresh)
         longest = {r.satt: r.n for r in regions.groupBy("satt").agg(F.max(F.col("end") - F.col("start") + 1).alias("n")).collect()}  # one row an attribute
-        return replace(self, tokens=blocks.filter("_own").drop("_block", "_own"), regions=regions, beads=None if self.beads is None else cut(self.beads, f"{name}-beads"), blocks=blocks, longest={s: longest.get(s, 0) for s in self.satts})
+        return replace(self, tokens=blocks.filter("_own").drop("_block", "_own"), regions=regions, beads=None if self.beads is None else cut(self.beads, f"{name}-beads"), bare=None, blocks=blocks, longest={s: longest.get(s, 0) for s in self.satts})
 
     def size(self) -> DataFrame:
         """(corpus, size): one more than the last position."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1024
@@ -28,21 +28,25 @@ def point_in_interval(points: DataFrame, at: str, intervals: DataFrame, lo: str,
     return joined if how in ("left_semi", "left_anti") else joined.drop("_prb", "_pc")
 
 
-def flag_columns(tokens: DataFrame, regions: DataFrame, satts: list[str]) -> DataFrame:
-    """Tokens with ``<s>_id, <s>_start, <s>_end, <s>_value`` of the region of each s-attribute around them, or nulls.
+def flag_columns(tokens: DataFrame, regions: DataFrame, satts: list[str], size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Tokens by ``_block`` with ``<s>_id, <s>_start, <s>_end, <s>_value`` of the region of each s-attribute around them, or nulls.
 
-    One interval join finds all regions of a token; a token lies in one region per
-    attribute at most, so they are put side by side per token.
+    ``size`` is the number of positions of a block; it may hold ``before`` tokens of the block before and ``after`` of the next one.
+    A region is sent to each block it touches; there, starts and tokens are put in order, and the last start seen
+    is the region of a token if it reaches that far. So tokens are shuffled once, by (corpus, _block). Regions of one attribute don't
+    overlap; where they do, the one that starts last counts, of those that start alike the least struc.
     """
     if not satts:
         return tokens
-    r = regions.filter(F.col("satt").isin(satts)).select(
-        F.col("corpus"), "satt", F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.struct("struc", "start", "end", "value").alias("_r")
-    )
-    hit = point_in_interval(tokens.select("corpus", "cpos"), "cpos", r, "_lo", "_hi")
-    wide = hit.groupBy("corpus", "cpos").agg(*[F.min(F.when(F.col("satt") == s, F.col("_r"))).alias(f"_{s}") for s in satts])
-    out = tokens.join(wide, ["corpus", "cpos"], "left")
+    own = [F.when(F.col("satt") == s, F.struct("struc", "start", "end", "value")).alias(f"_r_{s}") for s in satts]
+    touched = F.sequence(F.floor((F.col("start") - after) / size), F.floor((F.col("end") + before) / size))
+    marks = regions.filter(F.col("satt").isin(satts) & (F.col("start") <= F.col("end"))).select("corpus", F.explode(touched).alias("_block"), F.col("start").alias("cpos"), (-F.col("struc")).alias("_turn"), *own)
+    rows = tokens.withColumn("_turn", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True)
+    # starts come before the token at their place
+    w = Window.partitionBy("corpus", "_block").orderBy("cpos", F.col("_turn").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumns({f"_r_{s}": F.last(f"_r_{s}", True).over(w) for s in satts}).filter("_turn is null")
+    out = []
     for s in satts:
-        c = F.col(f"_{s}")
-        out = out.withColumns({f"{s}_id": c["struc"], f"{s}_start": c["start"], f"{s}_end": c["end"], f"{s}_value": c["value"]}).drop(f"_{s}")
-    return out
+        r = F.when(F.col(f"_r_{s}.end") >= F.col("cpos"), F.col(f"_r_{s}"))
+        out += [r[c].alias(f"{s}_{n}") for n, c in (("id", "struc"), ("start", "start"), ("end", "end"), ("value", "value"))]
+    return seen.select(*tokens.columns, *out)

@@ -86,16 +86,18 @@ def _delete_on_exit(spark: SparkSession, at: str) -> None:
         _OWNED.paths.append(at)
 
 
-def cut_buckets(df: DataFrame, keys: list[str], order: list[str], name: str = "stage") -> DataFrame:
+def cut_buckets(df: DataFrame, keys: list[str], order: list[str], name: str = "stage", partitioned: bool = False) -> DataFrame:
     """As ``cut``, hashed into buckets by ``keys`` and sorted in them: windows and joins by these keys read it without a shuffle.
 
+    ``partitioned`` says that the plan's last exchange is one by ``keys`` already, as before a window by them.
+
     The table is external and known to the session's catalog for as long as the session lasts.
     """
     spark = df.sparkSession
     n = partitions(spark)
     table = f"tessella_{uuid.uuid4().hex}"
     at = f"{shared_dir(spark)}/{table}-{name}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*order).option("path", at).saveAsTable(table)
+    (df if partitioned else df.repartition(n, *keys)).write.bucketBy(n, *keys).sortBy(*order).option("path", at).saveAsTable(table)
     _delete_on_exit(spark, at)
     return spark.table(table)
 
