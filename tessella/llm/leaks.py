@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.filters import bit_filter, passes
-from tessella.operators.skew import running_sum, weighted_join
+from tessella.operators.skew import weighted_join
 from tessella.session import cut
 
 # Tags that end a line or a block; all others leave no gap between letters.
@@ -209,8 +209,8 @@ def _grams(code: np.ndarray, least: int) -> np.ndarray:
 PARTS = "item_id bigint, part int, item_words int, n bigint, codes array<bigint>"
 
 
-def item_parts(items: DataFrame, least: int, block_words: int) -> DataFrame:
-    """(item_id, item_words, codes, block): the items' words in parts of at most ``block_words``, in blocks of about as many.
+def item_parts(items: DataFrame, least: int, block_words: int) -> tuple[DataFrame, int, int]:
+    """(item_id, item_words, codes, n, block): the items' words in parts of at most ``block_words``, hashed into blocks of about as many; words and blocks in all.
 
     Parts of one item share ``least`` - 1 words, so every run of ``least`` words lies in one of them.
     Items shorter than ``least`` words, or without id or text, have none.
@@ -231,8 +231,10 @@ def item_parts(items: DataFrame, least: int, block_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "part", "item_words", "n", "codes"])
 
     parts = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(run, PARTS)
-    placed = running_sum(parts.dropDuplicates(["item_id", "codes"]).withColumn("_all", F.lit(0)), ["_all"], ["item_id", "part", "n", "codes"], "n", "_upto")
-    return cut(placed.select("item_id", "item_words", "codes", "n", F.floor((F.col("_upto") - F.col("n")) / block_words).alias("block")), "item-parts")
+    parts = cut(parts.dropDuplicates(["item_id", "codes"]), "item-parts")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_words))
+    return parts.withColumn("block", F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)).cast("long")), total, blocks
 
 
 STRETCHES = "doc_id bigint, t1 bigint, t2 bigint, k int, start int, doc_words int, codes array<bigint>"
@@ -279,7 +281,8 @@ def _gram_rows(least: int):
     return run
 
 
-FOUND = "t1 bigint, t2 bigint, item_id bigint, doc_words int, first int, last int"
+FOUND = "doc_id bigint, t1 bigint, t2 bigint, copies bigint, item_id bigint, doc_words int, first int, last int"
+ROW = ["doc_id", "t1", "t2"]
 SHARE = 100_000
 
 
@@ -288,40 +291,35 @@ def _walk(parts: pa.Table, stretches: pa.Table, least: int) -> pa.Table:
     rows: list[tuple] = []
     if parts.num_rows and stretches.num_rows:
         auto = Automaton(list(zip(parts["item_id"].to_pylist(), parts["codes"].to_pylist(), strict=True)), least)
-        for t1, t2, start, n, code in zip(*(stretches[c].to_pylist() for c in ("t1", "t2", "start", "doc_words", "codes")), strict=True):
+        for doc, t1, t2, copies, start, n, code in zip(*(stretches[c].to_pylist() for c in (*ROW, "copies", "start", "doc_words", "codes")), strict=True):
             for i, runs in auto.runs(code).items():
-                rows += [(t1, t2, i, n, start + a, start + z) for a, z in runs]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = (*[pa.int64()] * 3, *[pa.int32()] * 3)
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["t1", "t2", "item_id", "doc_words", "first", "last"])
+                rows += [(doc, t1, t2, copies, i, n, start + a, start + z) for a, z in runs]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    kinds = (*[pa.int64()] * 5, *[pa.int32()] * 3)
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*ROW, "copies", "item_id", "doc_words", "first", "last"])
 
 
-def _leaked(documents: DataFrame, items: DataFrame, least: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The items' parts; the document rows (doc_id, t1, t2) with stretches; and by text and item the runs of places where a match ends."""
-    parts = item_parts(items, least, block_words)
-    runs, last = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("block"), F.lit(0))).first()
+def _leaked(documents: DataFrame, items: DataFrame, least: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """The items' parts, and by document, text and item the runs of places where a match ends; equal rows of documents come once, with their number."""
+    parts, runs, blocks = item_parts(items, least, block_words)
     grams = parts.select("block", "codes").mapInArrow(_gram_rows(least), "block bigint, grams array<bigint>").select("block", F.explode("grams").alias("gram"))
-    docs = documents.filter("text is not null")
-    stretches = cut(_stretches(docs, bit_filter(grams, runs), least), "stretches")
-    rows = stretches.filter("k = 0").select("doc_id", "t1", "t2")
-    texts = stretches.drop("doc_id").dropDuplicates(["t1", "t2", "k"])
-    led = texts.withColumn("block", F.lit(0).cast("long"))
-    if last:
-        # lead each text's stretches to the blocks that share a run with them; runs found in many texts are salted
-        own = texts.select("t1", "t2", "k", "codes").mapInArrow(_gram_rows(least), "t1 bigint, t2 bigint, k int, grams array<bigint>").select("t1", "t2", "k", F.explode("grams").alias("gram"))
+    stretches = cut(_stretches(documents.filter("text is not null"), bit_filter(grams, runs), least), "stretches")
+    once = stretches.groupBy(*ROW, "k").agg(*[F.first(c).alias(c) for c in ("start", "doc_words", "codes")], F.count("*").alias("copies"))
+    led = once.withColumn("block", F.lit(0).cast("long"))
+    if blocks > 1:
+        # lead stretches to the blocks that share a run with them; runs found in many stretches are salted
+        own = once.select(*ROW, "k", "codes").mapInArrow(_gram_rows(least), "doc_id bigint, t1 bigint, t2 bigint, k int, grams array<bigint>").select(*ROW, "k", F.explode("grams").alias("gram"))
         known = grams.distinct().join(own.groupBy("gram").agg(F.count("*").alias("w")), "gram")
-        to = weighted_join(own, known, ["gram"], "w", ["t1", "k"]).select("t1", "t2", "k", "block").distinct()
-        led = cut(texts.join(to, ["t1", "t2", "k"]), "led-stretches")
-    led = led.withColumn("size", F.size("codes").cast("long"))
+        to = weighted_join(own, known, ["gram"], "w", ["doc_id", "t1", "k"]).select(*ROW, "k", "block").distinct()
+        led = cut(once.join(to, [*ROW, "k"]), "led-stretches")
     # a block that many stretches lead to is walked by several tasks, each with its automaton
-    shares = led.groupBy("block").agg((F.ceil(F.sum("size") / SHARE)).cast("int").alias("tasks"))
+    shares = led.groupBy("block").agg(F.ceil(F.sum(F.size("codes")) / SHARE).cast("int").alias("tasks"))
     left = parts.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).select("block", "share", "item_id", "codes")
-    right = led.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("t1", "t2", "k"), F.col("tasks")).cast("int")).select("block", "share", "t1", "t2", "start", "doc_words", "codes")
-    found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(lambda a, b: _walk(a, b, least), FOUND)
-    return parts, rows, found
+    right = led.join(shares, "block").withColumn("share", F.pmod(F.xxhash64(*ROW, "k"), F.col("tasks")).cast("int")).select("block", "share", *ROW, "copies", "start", "doc_words", "codes")
+    return parts, left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(lambda a, b: _walk(a, b, least), FOUND)
 
 
-LEAKS = "t1 bigint, t2 bigint, item_id bigint, doc_words int, longest int, matched int"
+LEAKS = "doc_id bigint, copies bigint, item_id bigint, doc_words int, longest int, matched int"
 
 
 def _joined(runs: list[tuple[int, int]], least: int) -> list[list[int]]:
@@ -361,8 +359,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 8, block_wor
     Jobs run when this is called: items are blocked and made a filter, documents read once. What is left, the
     stretches with candidates, is a table.
     """
-    parts, rows, found = _leaked(documents.filter("doc_id is not null"), items, least, block_words)
-    lists = found.groupBy("t1", "t2", "item_id").agg(F.first("doc_words").alias("doc_words"), F.collect_set(F.struct("first", "last")).alias("runs"))
+    parts, found = _leaked(documents.filter("doc_id is not null"), items, least, block_words)
+    lists = found.groupBy(*ROW, "item_id").agg(F.first("copies").alias("copies"), F.first("doc_words").alias("doc_words"), F.collect_set(F.struct("first", "last")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -370,14 +368,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 8, block_wor
             for runs in b.column(4).to_pylist():
                 spans = _joined([(r["first"], r["last"]) for r in runs], least)
                 out.append((max(z - a + 1 for a, z in spans), sum(z - a + 1 for a, z in _covered(spans))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array([x[k] for x in out], pa.int32()) for k in (0, 1)]], names=["t1", "t2", "item_id", "doc_words", "longest", "matched"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array([x[k] for x in out], pa.int32()) for k in (0, 1)]], names=["doc_id", "copies", "item_id", "doc_words", "longest", "matched"])
 
-    per_text = lists.select("t1", "t2", "item_id", "doc_words", "runs").mapInArrow(run, LEAKS)
+    each = lists.select("doc_id", "copies", "item_id", "doc_words", "runs").mapInArrow(run, LEAKS)
     sizes = parts.groupBy("item_id").agg(F.max("item_words").alias("item_words"))
-    # copies of one text are rows of their own; a text in very many rows is salted
-    copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("w"))
-    each = per_text.join(sizes, "item_id").groupBy("t1", "t2").agg(F.collect_list(F.struct("item_id", "longest", "matched", "item_words", "doc_words")).alias("leaks")).join(copies, ["t1", "t2"])
-    return weighted_join(rows, each, ["t1", "t2"], "w", ["doc_id"]).select("doc_id", F.inline("leaks"))
+    # equal rows of documents are rows of their own
+    return each.join(sizes, "item_id").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "item_id", "longest", "matched", "item_words", "doc_words")
 
 
 CLEANED = "doc_id bigint, text string, removed_words int, doc_words int, dropped boolean"
@@ -395,10 +391,9 @@ def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 8, remove_
     Texts with leaks are told by their hash; a bit filter of bounded size sends all other rows
     past the join that brings the stretches to cut.
     """
-    _, rows, found = _leaked(documents, items, least, block_words)
-    leaks = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("item_id", "first", "last")).alias("runs"))
-    copies = rows.groupBy("t1", "t2").agg(F.count("*").alias("w"))
-    leaks = cut(leaks.join(copies, ["t1", "t2"]), "leaks")
+    # only the text matters, so equal texts count as equal rows
+    _, found = _leaked(documents.withColumn("doc_id", F.lit(0)), items, least, block_words)
+    leaks = cut(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("item_id", "first", "last")).alias("runs"), F.first("copies").alias("w")), "leaks")
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(leaks.select(F.col("t1").alias("gram")), leaks.count()))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
