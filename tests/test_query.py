@@ -185,6 +185,29 @@ def test_labels_with_patterns_functions_and_variables(m1):
     assert ask(c, 'a:[tail(word, 1) = "s"]+ [tail(a.word, 1) != tail(word, 1)]') == [(8, 9)] and ask(c, 'a:[] [tail(a.word, 2) = "og" & pos = "V"]') == [(3, 4)]
 
 
+def test_regions_across_blocks(spark, m1, monkeypatch):
+    from tessella import model
+
+    want = sorted(map(str, m1.tokens.collect()))
+    monkeypatch.setattr(model, "BLOCK", 4)
+    monkeypatch.setattr(model, "HALO", 3)
+    regions = m1.regions.unionByName(m1.regions.filter("false"))
+    c = Corpus.build(m1.tokens.select("corpus", "cpos", "word", "pos"), regions, ("word", "pos"), ("np", "s"))
+    columns = m1.tokens.columns
+    assert sorted(map(str, c.tokens.select(columns).collect())) == want
+    stored = c.stored("small")
+    assert sorted(map(str, stored.tokens.select(columns).collect())) == want
+    rows = stored.blocks.collect()
+    assert {(r._block, r.cpos) for r in rows} == {(b, p) for b in range(3) for p in range(max(0, 4 * b - 1), min(12, 4 * b + 7))} | {(3, 11)}
+    assert {str(r) for r in stored.blocks.select(columns).distinct().collect()} == set(want) and all(r._own == (r.cpos // 4 == r._block) for r in rows)
+    for text in ('[pos="A"]+ []* [pos="N"] within s', "<np> []{1,5} </np>"):
+        assert ask(stored, text) == ask(m1, text)
+    # inverted regions and regions of other attributes are left out; of overlapping ones the last start counts
+    odd = spark.createDataFrame([("M1", "s", 0, 5, 2, "x"), ("M1", "z", 0, 0, 9, "x"), ("M1", "s", 1, 0, 6, "a"), ("M1", "s", 2, 5, 9, "b")], "corpus string, satt string, struc bigint, start bigint, end bigint, value string")
+    got = {r.cpos: r.s_value for r in Corpus.build(m1.tokens.select("corpus", "cpos", "word"), odd, ("word",), ("s",)).tokens.collect()}
+    assert got == {p: "a" if p < 5 else "b" if p < 10 else None for p in range(12)}
+
+
 def test_delete_keeps_equal_rows(spark):
     a = ranges(spark, [(0, 1), (2, 3), (2, 3), (4, 4)])
     assert pairs(refine.delete_lines(a, 1)) == [(0, 1), (2, 3), (4, 4)] and pairs(refine.delete_lines(a, 0, 2)) == [(4, 4)]
