@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.encodings import find_garbled, garbled_documents, restore
-from tessella.llm.leaks import find_leaks, remove_leaks
+from tessella.llm.leaks import BREAKING, find_leaks, remove_leaks
 from tessella.llm.mixing import mix, shares
 from tessella.llm.pairs import associations, basket_items
 from tessella.llm.terms import distinctiveness, term_frequencies, top_terms
@@ -111,7 +113,40 @@ ITEMS = """
               from ab join n using (corpus) join c a on a.corpus = ab.corpus and a.id = id_a
               join c b on b.corpus = ab.corpus and b.id = id_b where n_ab * n.n >= 4 * a.n_i * b.n_i)"""
 
+def _words_sql() -> str:
+    """CTEs that read documents and items into words as ``llm.leaks.words`` does, and pair their runs of eight words.
+
+    Named character references are those of the standard library; numeric ones are resolved by number.
+    """
+    names = {n: c for n, c in html.entities.html5.items() if n.endswith(";") and n[:-1].isalnum()}
+    listed = ", ".join("'&{}': '{}'".format(n, c.replace("'", "''")) for n, c in sorted(names.items()))
+    letter, mark = r"[\p{L}\p{N}]", r"[\x{300}-\x{36f}]"
+    text = r"""
+    with src as (select 'd' as kind, doc_id as id, text from documents where doc_id is not null and text is not null
+                 union all select 'i', item_id, text from test_items where item_id is not null and text is not null),
+    ent as (select map {LISTED} as m),
+    a as (select kind, id, row_number() over () as row, regexp_replace(regexp_replace(regexp_replace(text, '<!--.*?-->', '', 'gs'), '</?(?:BREAKING)(?:\s[^<>]*)?/?>', ' ', 'gi'), '</?[A-Za-z][^<>]*>', '', 'g') as x from src),
+    p as (select kind, id, row, unnest(regexp_extract_all(x, '&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|[^&]+|&', 0, 's')) as e, generate_subscripts(regexp_extract_all(x, '&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|[^&]+|&', 0, 's'), 1) as nr from a),
+    b as (select kind, id, row, string_agg(case when regexp_full_match(e, '&#[0-9]+;') then chr(try_cast(e[3:len(e) - 1] as int)) when regexp_full_match(e, '&#[xX][0-9a-fA-F]+;') then chr(try_cast('0x' || e[4:len(e) - 1] as int))
+                 when e[1] = '&' and len(e) > 1 then coalesce(m[e], e) else e end, '' order by nr) as x from p, ent group by all),
+    c as (select kind, id, row, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?m)^[ \t:]*(?:\{\||\|-)[^\n]*', ' ', 'g'), '\[(?:https?|ftp)?:?//[^\s\]]*', ' ', 'g'),
+          '\[\[[^\[\]\n|]*(?:\|[^\[\]\n|]*)*\|', '', 'g'), '''{2,}|\[\[|\]\]|[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g') as x from b),
+    w as (select kind, id, row, list_transform(regexp_extract_all(x, 'LETTER(?:MARK*LETTER|MARK)*'), lambda v: replace(replace(nfc_normalize(lower(v)), 'ß', 'ss'), 'ς', 'σ')) as v from c),
+    g as (select kind, id, row, len(v) as n, k, array_to_string(v[k:k + 7], ' ') as gram from (select *, unnest(range(1, len(v) - 6)) as k from w where len(v) >= 8)),
+    hit as (select distinct d.id as doc_id, d.row, d.n as doc_words, i.id as item_id, d.k from g d join (select distinct id, gram from g where kind = 'i') i using (gram) where d.kind = 'd')"""
+    return text.replace("LISTED", listed).replace("BREAKING", BREAKING).replace("LETTER", letter).replace("MARK", mark)
+
+
+LEAKED = _words_sql()
+
 SQL = {
+    "p6_found": LEAKED + " select doc_id, item_id from (select distinct row, doc_id, item_id from hit)",
+    "p6_spans": LEAKED
+    + """, isle as (select *, k - row_number() over (partition by row, item_id order by k) as run from hit),
+        span as (select row, item_id, run, count(*) + 7 as size from isle group by 1, 2, 3), most as (select row, item_id, max(size) as longest from span group by 1, 2),
+        word as (select row, doc_id, item_id, doc_words, count(distinct wd) as matched from (select *, unnest(range(k, k + 8)) as wd from hit) group by 1, 2, 3, 4),
+        size as (select id as item_id, max(len(v)) as item_words from w where kind = 'i' group by 1)
+        select doc_id, item_id, longest::int as longest, matched::int as matched, item_words::int as item_words, doc_words::int as doc_words from word join most using (row, item_id) join size using (item_id)""",
     "p2_found": ENTRIES
     + """, r as (select e.corpus, e.text_id, e.name, round(e.freq * ln(n.n / s.df), 6) as score
               from e join s using (corpus, id) join n using (corpus))
