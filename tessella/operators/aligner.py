@@ -102,25 +102,26 @@ def _grams(word: str, ngrams: tuple[tuple[int, int], ...]) -> list[tuple[int, st
 
 def _bags(rows: pd.DataFrame, f: Features, pairs: bool) -> list[tuple[int, int, int, Counter]]:
     """(start, end, characters, weighted features) of each sentence."""
-    out = []
+    out: list[tuple[int, int, int, Counter]] = []
     grams: dict[str, list] = {}  # of this group's words
     rows = rows.sort_values("cpos", kind="stable")
-    for (s, e), g in rows.groupby(["s", "e"], sort=True):
-        bag: Counter = Counter()
-        chars = 0
-        lists = g["pairs"] if pairs else [None] * len(g)
-        for w, shared, listed in zip(g["w"], g["shared"], lists, strict=True):
-            chars += len(w)
-            if shared is True or shared == True and not pd.isna(shared):  # noqa: E712
-                bag["w", w, f.shared] += 1
-            if w not in grams:
-                grams[w] = _grams(w, f.ngrams)
-            for k in grams[w]:
-                bag[k] += 1
-            if listed is not None and not isinstance(listed, float):
-                for p in listed:
-                    bag["p", p, f.pairs] += 1
-        out.append((int(s), int(e), chars, bag))
+    lists = rows["pairs"].tolist() if pairs else [None] * len(rows)
+    begun, end, chars, bag = None, 0, 0, Counter()
+    for s, e, w, shared, listed in zip(rows["s"].tolist(), rows["e"].tolist(), rows["w"].tolist(), rows["shared"].tolist(), lists, strict=True):
+        if s != begun:
+            if begun is not None:
+                out.append((begun, end, chars, bag))
+            begun, end, chars, bag = s, e, 0, Counter()
+        chars += len(w)
+        if shared is True:
+            bag["w", w, f.shared] += 1
+        if w not in grams:
+            grams[w] = _grams(w, f.ngrams)
+        bag.update(grams[w])
+        if listed is not None and not isinstance(listed, float):
+            bag.update(("p", p, f.pairs) for p in listed)
+    if begun is not None:
+        out.append((begun, end, chars, bag))
     return out
 
 
